@@ -8,6 +8,7 @@ engine can repeat. Everything grows with its table.
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,12 @@ def brokers(spark: SparkSession, sf_dir: str) -> DataFrame:
         (key % 2 == 0).alias("enabled"))
 
 
+def _ok(attempt: Column) -> Column:
+    e, b = F.col("poll_id"), F.col("block")
+    return (((e * 7 + b * 13 + attempt * 5) % 4 != 0)
+            & ((attempt == 3) | ((e + b * 3) % 11 != 0)))
+
+
 def _landed(events: DataFrame, n_devices: int) -> DataFrame:
     """Events crossed with block and attempt numbers; word 0 in `base`."""
     e, b, a = F.col("poll_id"), F.col("block"), F.col("attempt")
@@ -72,10 +79,9 @@ def _landed(events: DataFrame, n_devices: int) -> DataFrame:
         F.round(F.col("value") * 100).cast("bigint").alias("cents"),
         F.explode(F.array(*[F.lit(k) for k in BLOCKS])).alias("block"))
     reads = reads.select("*", F.explode(F.array(*[F.lit(k) for k in ATTEMPTS])).alias("attempt"))
-    ok = ((e * 7 + b * 13 + a * 5) % 4 != 0) & ((a == 3) | ((e + b * 3) % 11 != 0))
     return reads.select(
         F.concat(F.lit("DEV_"), F.col("device")).alias("device_name"), "device",
-        "poll_id", "poll_ts", "block", "attempt", ok.alias("ok"),
+        "poll_id", "poll_ts", "block", "attempt", _ok(a).alias("ok"),
         (e * 40503 + b * 7919 + a * 104729 + F.col("cents") * 31).alias("base"))
 
 
@@ -97,10 +103,17 @@ def _events(spark: SparkSession, sf_dir: str, stream: bool) -> DataFrame:
             .parquet(sf_dir))
 
 
-def reads_of(spark: SparkSession, sf_dir: str, driver: str, stream: bool = False) -> DataFrame:
-    """Landed reads where every event is a poll of one driver."""
+def reads_of(spark: SparkSession, sf_dir: str, driver: str, stream: bool = False,
+             resolved: bool = False) -> DataFrame:
+    """Landed reads where every event is a poll of one driver.
+
+    With `resolved`, only the first good attempt has been landed.
+    """
     counts = {b.block: b.count for b in CATALOG[driver].blocks}
     reads = _landed(_events(spark, sf_dir, stream), table(spark, sf_dir, "supplier").count())
+    if resolved:
+        earlier = reduce(or_, [(F.col("attempt") > a) & _ok(F.lit(a)) for a in ATTEMPTS])
+        reads = reads.where(F.col("ok") & ~earlier)
     count = reduce(lambda rest, k: F.when(F.col("block") == k, counts[k]).otherwise(rest),
                    counts, F.lit(0))
     return _registers(reads.where(F.col("block").isin(list(counts))), F.lit(driver), count)
@@ -164,9 +177,12 @@ def cpuinfo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run of the logger for every minute of `orders` and `events`."""
-    def minutes(name: str, column: str) -> DataFrame:
-        ts = as_instant(F.col(column))
-        return table(spark, sf_dir, name).select(F.date_trunc("minute", ts).alias("minute"))
-    return (minutes("events", "ts").union(minutes("orders", "o_orderdate")).distinct()
-            .select(F.lit("0badc0de").alias("serial"), F.lit("config").alias("config"), "minute"))
+    """A run of the logger in the minute of every event and in the minute after.
+
+    Most of the latter have no records.
+    """
+    ts = as_instant(F.col("ts"))
+    minutes = F.explode(F.array(ts, ts + F.expr("INTERVAL 1 MINUTE")))
+    return (table(spark, sf_dir, "events").select(minutes.alias("ts"))
+            .select(F.lit("0badc0de").alias("serial"), F.lit("config").alias("config"),
+                    F.date_trunc("minute", "ts").alias("minute")).distinct())
