@@ -84,15 +84,15 @@ _BLOCKS_SCHEMA = pa.schema([
     ("accept", pa.string()), ("n_blocks", pa.int32()), ("min_size", pa.int32()),
     ("present", pa.list_(pa.int32())), ("paired", pa.list_(pa.int32())),
 ])
-_FIELDS_SCHEMA = pa.schema([
-    ("driver", pa.string()), ("field", pa.string()), ("kind", pa.string()),
-    ("block", pa.int32()), ("offset", pa.int32()), ("aux", pa.int32()),
-    ("divisor", pa.float64()), ("multiplier", pa.float64()), ("clamp", pa.bool_()),
-])
-_RULE = [("field", pa.string()), ("kind", pa.string()), ("slot", pa.int32()),
-         ("offset", pa.int32()), ("aux", pa.int32()), ("divisor", pa.float64()),
-         ("multiplier", pa.float64()), ("clamp", pa.bool_())]
-_RULES_SCHEMA = pa.schema([("driver", pa.string()), ("rules", pa.list_(pa.struct(_RULE)))])
+# A rule in numbers: value = ((hi << 16 | lo) >> shift & mask), its sign bit
+# unfolded, / divisor * multiplier, not below floor. `lenient` takes a bad word as 0.
+_RULE = [("field", pa.string()), ("kind", pa.string()), ("block", pa.int32()),
+         ("hi", pa.int32()), ("lo", pa.int32()), ("shift", pa.int32()), ("mask", pa.int64()),
+         ("sign", pa.int64()), ("lenient", pa.bool_()), ("divisor", pa.float64()),
+         ("multiplier", pa.float64()), ("floor", pa.float64())]
+_FIELDS_SCHEMA = pa.schema([("driver", pa.string()), *_RULE])
+_RULES_SCHEMA = pa.schema([("driver", pa.string()), ("rules", pa.list_(pa.struct(
+    [*_RULE, ("slot", pa.int32())])))])
 _VERSIONS_SCHEMA = pa.schema([
     ("driver", pa.string()), ("label", pa.string()), ("version", pa.string()),
 ])
@@ -154,10 +154,9 @@ class Catalog:
         return _frame(spark, rows, _BLOCKS_SCHEMA)
 
     def fields_frame(self, spark: SparkSession) -> DataFrame:
-        """One row per (driver, field)."""
-        return _frame(spark, [(d.name, f.name, f.kind, f.block, f.offset, f.aux,
-                               float(f.divisor), float(f.multiplier), f.clamp)
-                              for d in self for f in d.fields], _FIELDS_SCHEMA)
+        """One row per (driver, field), its rule in numbers."""
+        return _frame(spark, [(d.name, *_rule(f)) for d in self for f in d.fields],
+                      _FIELDS_SCHEMA)
 
     def rules_frame(self, spark: SparkSession) -> DataFrame:
         """One row per driver with all its rules in record order.
@@ -165,10 +164,9 @@ class Catalog:
         `slot` is the place of the rule's block in `block_numbers()`.
         """
         slots = {k: i for i, k in enumerate(self.block_numbers())}
-        names = [n for n, _ in _RULE]
-        return _frame(spark, [(d.name, [
-            dict(zip(names, (f.name, f.kind, slots[f.block], f.offset, f.aux, float(f.divisor),
-                             float(f.multiplier), f.clamp))) for f in d.fields])
+        names = [name for name, _ in _RULE]
+        return _frame(spark, [
+            (d.name, [{**dict(zip(names, _rule(f))), "slot": slots[f.block]} for f in d.fields])
             for d in self], _RULES_SCHEMA)
 
     def versions_frame(self, spark: SparkSession) -> DataFrame:
@@ -176,6 +174,16 @@ class Catalog:
         return _frame(spark, [(d.name, d.label, d.version) for d in self], _VERSIONS_SCHEMA)
 
 
+def _rule(f: Field) -> tuple:
+    wide = f.kind in ("u32", "s32")
+    hi, lo = f.words() if wide else (None, f.offset)
+    shift = f.aux if f.kind == "bit" else 0
+    mask = {"bit": 1, "u16": -1, "s16": 0xFFFF, "u32": 0xFFFFFFFF, "s32": 0xFFFFFFFF}[f.kind]
+    sign = {"s16": 1 << 15, "s32": 1 << 31}.get(f.kind, 0)
+    return (f.name, f.kind, f.block, hi, lo, shift, mask, sign, f.kind == "s16",
+            float(f.divisor), float(f.multiplier), 0.0 if f.clamp else None)
+
+
 def _frame(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
     columns = list(zip(*rows)) if rows else [[] for _ in schema]
     return spark.createDataFrame(

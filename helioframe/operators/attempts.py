@@ -8,14 +8,10 @@ part of the key, so a device with most of the rows still spreads evenly.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helioframe.catalog import CATALOG, Catalog
-from helioframe.functions.words import fits_16_bits
 from helioframe.operators.lookup import lookup_join
 from helioframe.operators.registry import enabled
 
@@ -45,18 +41,16 @@ def dispatch(reads: DataFrame, devices: DataFrame, catalog: Catalog = CATALOG,
 
 def accepted(catalog: Catalog = CATALOG) -> Column:
     """Whether a read passes the accept rule of its block; true where there is none."""
-    rules = [((F.col("driver") == d.name) & (F.col("block") == b.block), b.accept)
+    rules = [f"WHEN driver = '{d.name}' AND block = {b.block} THEN coalesce({b.accept}, false)"
              for d in catalog for b in d.blocks if b.accept]
-    return reduce(lambda rest, rule: F.when(rule[0], F.coalesce(F.expr(rule[1]), F.lit(False)))
-                  .otherwise(rest), rules, F.lit(True))
+    return F.expr(f"CASE {' '.join(rules)} ELSE true END") if rules else F.lit(True)
 
 
 def whole() -> Column:
     """Whether a read holds every word its rules need (bounds from `blocks_frame`)."""
-    r = F.col("registers")
-    return ((F.size(r) >= F.col("min_size"))
-            & F.forall("present", lambda i: F.get(r, i).isNotNull())
-            & F.forall("paired", lambda i: F.coalesce(fits_16_bits(F.get(r, i)), F.lit(False))))
+    return F.expr("""size(registers) >= min_size
+        AND forall(present, i -> get(registers, i) IS NOT NULL)
+        AND forall(paired, i -> coalesce(get(registers, i) BETWEEN 0 AND 65535, false))""")
 
 
 def _usable(dispatched: DataFrame) -> DataFrame:
@@ -87,17 +81,14 @@ def assemble(dispatched: DataFrame, catalog: Catalog = CATALOG) -> DataFrame:
     each of these holds the words its rules need; others give no row.
     """
     numbers = catalog.block_numbers()
-    read = F.struct("rank", "whole", "registers")
-    best = [F.min(F.when(F.col("block") == k, F.col("read"))).alias(f"read_{k}") for k in numbers]
+    best = [F.expr(f"min(CASE WHEN block = {k} THEN read END) AS read_{k}") for k in numbers]
+    read = F.struct(_rank(catalog).alias("rank"), whole().alias("whole"), "registers")
     polls = (_usable(dispatched)
-             .withColumn("rank", _rank(catalog)).withColumn("whole", whole())
              .select(*POLL, *DEVICE, "n_blocks", "block", read.alias("read"))
              .groupBy(*POLL, *DEVICE, "n_blocks").agg(*best))
-    n_whole = reduce(add, [F.coalesce(F.col(f"read_{k}.whole").cast("int"), F.lit(0))
-                           for k in numbers])
-    return (polls.where(n_whole == F.col("n_blocks"))
-            .select(*POLL, *DEVICE, *[F.col(f"read_{k}.registers").alias(f"registers_{k}")
-                                      for k in numbers]))
+    n_whole = " + ".join(f"coalesce(CAST(read_{k}.whole AS INT), 0)" for k in numbers)
+    return (polls.where(f"{n_whole} = n_blocks")
+            .selectExpr(*POLL, *DEVICE, *[f"read_{k}.registers AS registers_{k}" for k in numbers]))
 
 
 def complete_polls(dispatched: DataFrame) -> DataFrame:
@@ -123,21 +114,18 @@ def read_failures(dispatched: DataFrame, catalog: Catalog = CATALOG) -> DataFram
     One pass: a poll is seen through any of its reads, each expected block is
     looked up in what was counted per block, and blocks never tried count 0.
     """
-    expected = [F.when(F.col("driver").isin([d.name for d in catalog
-                                             if k in d.block_numbers()]), F.lit(k))
-                for k in catalog.block_numbers()]
-    tried = [F.struct(
-        F.lit(k).alias("block"),
-        F.count(F.when((F.col("block") == k) & F.col("within"), 1)).alias("attempts"),
-        F.count(F.when((F.col("block") == k) & F.col("within") & F.col("ok"), 1)).alias("good"))
-        for k in catalog.block_numbers()]
-    polls = (dispatched
-             .withColumn("within", F.col("attempt") < F.col("max_attempts"))
-             .groupBy(*POLL, *DEVICE).agg(F.array(*tried).alias("tried")))
-    return (polls.select(*POLL, *DEVICE, F.inline(F.filter(
-        "tried", lambda t: F.array_contains(F.array_compact(F.array(*expected)), t.block)
-        & (t.good == 0))))
-        .drop("good"))
+    tried, expected = [], []
+    for k in catalog.block_numbers():
+        owners = ", ".join(f"'{d.name}'" for d in catalog if k in d.block_numbers())
+        expected.append(f"CASE WHEN driver IN ({owners}) THEN {k} END")
+        tried.append(f"""struct({k} AS block,
+            count_if(block = {k} AND attempt < max_attempts) AS attempts,
+            count_if(block = {k} AND attempt < max_attempts AND ok) AS good)""")
+    polls = dispatched.groupBy(*POLL, *DEVICE).agg(
+        F.expr(f"array({', '.join(tried)})").alias("tried"))
+    missing = F.expr(f"""inline(filter(tried, t ->
+        t.good = 0 AND array_contains(array_compact(array({', '.join(expected)})), t.block)))""")
+    return polls.select(*POLL, *DEVICE, missing).drop("good")
 
 
 def attempt_stats(reads: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from helioframe.catalog import CATALOG, Catalog, Driver
 from helioframe.functions import tags
-from helioframe.functions.words import field_value, rule_value
+from helioframe.functions.words import field_sql, rule_sql
 from helioframe.operators.attempts import DEVICE, POLL, assemble, dispatch
 
 
@@ -23,7 +23,7 @@ def tag_columns() -> list[Column]:
 
 def value_columns(driver: Driver) -> list[Column]:
     """One double per catalogue field of `driver`, from `registers_k`."""
-    return [field_value(F.col(f"registers_{f.block}"), f).alias(f.name) for f in driver.fields]
+    return [F.expr(f"{field_sql(f'registers_{f.block}', f)} AS `{f.name}`") for f in driver.fields]
 
 
 def decode_wide(polls: DataFrame, driver: Driver, keep: tuple[str, ...] = ("poll_id",)) -> DataFrame:
@@ -36,16 +36,18 @@ def decode_long(polls: DataFrame, catalog: Catalog = CATALOG) -> DataFrame:
     """One row per field, for a mixed fleet in one pass.
 
     The catalogue is joined by (driver, block), a broadcast hash join over a few
-    hundred rows; no Python and no shuffle.
+    hundred rows; no Python and no shuffle. The tags are made part of the
+    exploded blocks, or the join would format the date anew for every field.
     """
-    blocks = F.array(*[F.struct(F.lit(k).alias("block"), F.col(f"registers_{k}").alias("registers"))
-                       for k in catalog.block_numbers()])
+    tagged = F.struct(*tag_columns()).alias("tags")
+    blocks = F.array(*[F.struct(F.lit(k).alias("block"), F.col(f"registers_{k}").alias("registers"),
+                                tagged) for k in catalog.block_numbers()])
     rules = catalog.fields_frame(polls.sparkSession)
-    return (polls.select("poll_id", *tag_columns(), "driver", F.inline(blocks))
+    return (polls.select("poll_id", "driver", F.inline(blocks))
             .where("registers IS NOT NULL")
             .join(F.broadcast(rules), ["driver", "block"])
-            .select("poll_id", "Device_Name", "Measurement_Suffix", "Date", "driver", "field",
-                    rule_value(F.col("registers")).alias("value")))
+            .select("poll_id", "tags.*", "driver", "field",
+                    F.expr(rule_sql("registers")).alias("value")))
 
 
 def pivot_wide(long: DataFrame, driver: Driver) -> DataFrame:
@@ -66,17 +68,17 @@ def records(polls: DataFrame, catalog: Catalog = CATALOG) -> DataFrame:
     place, so the poll stays one row. Generated columns per driver would be
     faster for one driver but too much code for all of them in one stage.
     """
-    registers = F.array(*[f"registers_{k}" for k in catalog.block_numbers()])
-    entries = F.transform("rules", lambda r: F.struct(
-        r["field"], rule_value(F.get(registers, r["slot"]), lambda name: r[name])))
+    value = rule_sql("get(registers, r.slot)", "r.")
+    entries = F.expr(f"map_from_entries(transform(rules, r -> struct(r.field, {value})))")
     # Tags are text and values are numbers, so the object is built in two halves.
     head = F.rtrim(tags.record_json(["Device_Name", "Measurement_Suffix", "Date"]), F.lit("}"))
-    values = F.to_json(F.map_from_entries(entries))
-    return (polls.join(F.broadcast(catalog.rules_frame(polls.sparkSession)), "driver")
-            .select("poll_id", "config", "position", "poll_ts", *tag_columns(),
-                    values.alias("values"))
-            .withColumn("record", F.concat(head, F.lit(","), F.ltrim("values", F.lit("{"))))
-            .drop("values"))
+    tail = F.ltrim(F.to_json(entries), F.lit("{"))
+    registers = F.array(*[f"registers_{k}" for k in catalog.block_numbers()])
+    return (polls.select("poll_id", "config", "position", "driver", "poll_ts", *tag_columns(),
+                         registers.alias("registers"))
+            .join(F.broadcast(catalog.rules_frame(polls.sparkSession)), "driver")
+            .select("poll_id", "config", "position", "poll_ts", "Device_Name",
+                    "Measurement_Suffix", "Date", F.concat(head, F.lit(","), tail).alias("record")))
 
 
 def decode(driver_name: str, reads: DataFrame, devices: DataFrame,

@@ -218,49 +218,49 @@ R = "registers"
 
 @query
 def decode_u16(spark, sf):
-    return _words(spark, sf, value=words.u16(F.col(R), 3))
+    return _words(spark, sf, value=words.u16(R, 3))
 
 
 @query
 def decode_s16(spark, sf):
-    return _words(spark, sf, value=words.s16(F.col(R), 10))
+    return _words(spark, sf, value=words.s16(R, 10))
 
 
 @query
 def decode_u32(spark, sf):
-    return _words(spark, sf, value=words.u32(F.col(R), 28, 29))
+    return _words(spark, sf, value=words.u32(R, 28, 29))
 
 
 @query
 def decode_s32(spark, sf):
-    return _words(spark, sf, value=words.s32(F.col(R), 22, 23))
+    return _words(spark, sf, value=words.s32(R, 22, 23))
 
 
 @query
 def decode_u32_swapped(spark, sf):
-    return _words(spark, sf, value=words.u32(F.col(R), 41, 40))
+    return _words(spark, sf, value=words.u32(R, 41, 40))
 
 
 @query
 def scale_pow10(spark, sf):
-    return _words(spark, sf, **{f"by_{d}": words.scale(words.u16(F.col(R), 5), d)
+    return _words(spark, sf, **{f"by_{d}": words.scale(words.u16(R, 5), d)
                                 for d in (1, 10, 100, 1000)})
 
 
 @query
 def post_multiplier(spark, sf):
-    return _words(spark, sf, value=words.scale(words.u32(F.col(R), 21, 22), 10, 10))
+    return _words(spark, sf, value=words.scale(words.u32(R, 21, 22), 10, 10))
 
 
 @query
 def decode_bits(spark, sf):
-    return _words(spark, sf, **{f"bit_{n}": words.bit(words.word(F.col(R), 1), n)
+    return _words(spark, sf, **{f"bit_{n}": words.bit(R, 1, n)
                                 for n in range(16)})
 
 
 @query
 def clamp_negative(spark, sf):
-    return _words(spark, sf, value=words.clamp_negative(words.s16(F.col(R), 0)))
+    return _words(spark, sf, value=words.clamp_negative(words.s16(R, 0)))
 
 
 # Decoded telemetry

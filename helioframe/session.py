@@ -10,6 +10,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join even where that costs another shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Generated projections are wide; do not record a call site for every Column.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # HotSpot leaves methods beyond 8000 bytes uncompiled; split the stage instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
