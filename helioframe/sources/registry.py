@@ -18,7 +18,8 @@ _ON, _OFF = ("yes", "true", "on"), ("no", "false", "off")
 
 def _scalar(item: Column, key: str) -> Column:
     """The value after `key :`, without its comment and quotes; NULL if absent."""
-    text = F.regexp_extract(item, rf"(?m)^[ \t]*{key}[ \t]*:[ \t]*(.*?)(?:[ \t]+#.*)?[ \t\r]*$", 1)
+    value = r"""("[^"\n]*"|'[^'\n]*'|.*?)(?:[ \t]+#.*)?[ \t\r]*$"""
+    text = F.regexp_extract(item, rf"(?m)^[ \t]*{key}[ \t]*:[ \t]*{value}", 1)
     return F.nullif(F.regexp_replace(text, r"""^(['"])(.*)\1$""", "$2"), F.lit(""))
 
 
