@@ -11,8 +11,8 @@ from helioframe.functions.host import UNKNOWN_SERIAL
 HOST_POSITION = 2_147_483_647  # after every registry position
 
 
-def package_snapshots(records: DataFrame, runs: DataFrame, prefix: str, zone: str = "UTC",
-                      part_devices: int = 10_000) -> DataFrame:
+def package_snapshots(records: DataFrame, runs: DataFrame, devices: DataFrame, prefix: str,
+                      zone: str = "UTC", part_devices: int = 10_000) -> DataFrame:
     """One row per run: its file name and all its records as a JSON array.
 
     `records` has config, position, poll_ts, poll_id and record (see
@@ -24,27 +24,32 @@ def package_snapshots(records: DataFrame, runs: DataFrame, prefix: str, zone: st
     A run reads each device of its configuration once, so an array is bounded by
     the registry. A configuration with more than `part_devices` devices is
     divided by registry position into several files, each a valid array named
-    `...-p1`, `...-p2`; no task ever holds a larger group. The host record of
-    such a run closes the first file.
+    `...-p1`, `...-p2`, so no task holds a larger group. The host record of such
+    a run closes the first file.
+
+    Runs are grouped together with the records instead of joined to the arrays:
+    the texts cross the network once.
     """
-    keys = [k for k in ("serial", "config") if k in records.columns] + ["minute"]
-    position = F.col("position")
-    part = F.when(position == HOST_POSITION, 0).otherwise(F.floor(position / part_devices))
-    arrays = (records
-              .withColumn("minute", tags.minute(F.col("poll_ts")))
-              .withColumn("part", part.cast("int"))
-              .groupBy(*keys, "part")
-              .agg(F.array_sort(F.collect_list(F.struct("position", "poll_id", "record")))
-                   .alias("entries"))
-              .select(*keys, "part", F.concat(
-                  F.lit("["), F.array_join(F.col("entries.record"), ","), F.lit("]"))
-                  .alias("payload")))
+    keys = [k for k in ("serial", "config") if k in records.columns] + ["minute", "part"]
+    last = devices.agg(F.coalesce(F.max("position"), F.lit(0))).first()[0]
+    part = F.expr(f"CASE WHEN position = {HOST_POSITION} THEN 0 "
+                  f"ELSE CAST(position DIV {part_devices} AS INT) END")
+    entries = (records.withColumns({"minute": tags.minute(F.col("poll_ts")), "part": part})
+               .withColumn("entry", F.struct("position", "poll_id", "record"))
+               .select(*keys, "entry"))
+    listed = runs.withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.lit(last // part_devices))))
+    packed = (entries.unionByName(listed, allowMissingColumns=True)
+              .groupBy(*keys).agg(
+                  F.max("serial").alias("run_serial"),
+                  F.array_sort(F.collect_list("entry")).alias("entries"))
+              .where("part = 0 OR size(entries) > 0"))
+    serial = F.coalesce("serial" if "serial" in keys else "run_serial", F.lit(UNKNOWN_SERIAL))
     name = tags.file_name(prefix, F.col("serial"), F.col("config"), F.col("minute"), zone)
     later = F.concat(F.lit("-p"), F.col("part"), F.lit(".json.gz"))
-    return (runs.join(arrays, keys, "full_outer")
-            .withColumns({"serial": F.coalesce("serial", F.lit(UNKNOWN_SERIAL)),
-                          "part": F.coalesce("part", F.lit(0)),
-                          "payload": F.coalesce("payload", F.lit("[]"))})
-            .withColumn("file_name", F.when(F.col("part") == 0, name)
-                        .otherwise(F.regexp_replace(name, r"\.json\.gz$", later)))
-            .select("serial", "config", "minute", "part", "file_name", "payload"))
+    payload = F.concat(F.lit("["), F.array_join(F.col("entries.record"), ","), F.lit("]"))
+    return packed.withColumn("serial", serial).select(
+        "serial", "config", "minute", "part",
+        F.when(F.col("part") == 0, name)
+        .otherwise(F.regexp_replace(name, r"\.json\.gz$", later)).alias("file_name"),
+        payload.alias("payload"))

@@ -395,7 +395,7 @@ def record_json(spark, sf):
 
 
 def _packages(spark: SparkSession, sf: str, records: DataFrame) -> DataFrame:
-    return package.package_snapshots(records, tb.runs(spark, sf), PREFIX, ZONE)
+    return package.package_snapshots(records, tb.runs(spark, sf), tb.devices(spark, sf), PREFIX, ZONE)
 
 
 @query

@@ -35,7 +35,7 @@ def collect(reads: DataFrame, devices: DataFrame, hosts: DataFrame | None = None
     return found if hosts is None else found.unionByName(hosts)
 
 
-def run(found: DataFrame, runs: DataFrame, prefix: str, path: str | None = None,
+def run(found: DataFrame, runs: DataFrame, devices: DataFrame, prefix: str, path: str | None = None,
         brokers: DataFrame | None = None, publish: Callable | None = None,
         sinks: Iterable[str] = ("files",), zone: str = "UTC") -> None:
     """Send records to the chosen sinks. Leave out "files" for a dry run.
@@ -50,4 +50,4 @@ def run(found: DataFrame, runs: DataFrame, prefix: str, path: str | None = None,
     if "messages" in sinks:
         msg.deliver(msg.build_messages(found, brokers), brokers, publish)
     if "files" in sinks:
-        out.write_snapshots(package_snapshots(found, runs, prefix, zone), path)
+        out.write_snapshots(package_snapshots(found, runs, devices, prefix, zone), path)

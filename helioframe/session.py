@@ -14,6 +14,9 @@ SETTINGS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     # HotSpot leaves methods beyond 8000 bytes uncompiled; split the stage instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Open polls of a large fleet are kept on disk, not on the heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 

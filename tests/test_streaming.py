@@ -5,7 +5,7 @@ from helioframe.catalog import CATALOG
 from helioframe.operators import attempts, decode
 from helioframe.sources.landed import stream_registers
 from fixtures import brokers, devices, reads
-from test_package import SCHEMA, record, records, runs
+from test_package import SCHEMA, record, records, registry, runs
 from helioframe.operators.package import package_snapshots
 
 INVERTER = "inv_abb_pvs800"
@@ -58,7 +58,8 @@ def test_stateless_decode_equals_batch(spark, tmp_path):
 def test_replayed_snapshot_files_add_nothing(spark, tmp_path):
     path = f"{tmp_path}/files"
     packed = package_snapshots(records(
-        spark, (0, 1, 0, record("A", 1.5)), (0, 2, 0, record("A", 2.5))), runs(spark, 0, 1), "s")
+        spark, (0, 1, 0, record("A", 1.5)), (0, 2, 0, record("A", 2.5))), runs(spark, 0, 1),
+        registry(spark), "s")
     sinks.write_snapshots(packed, path)
     sinks.write_snapshots(packed, path)
     frame = streaming.stream_snapshots(spark, path, SCHEMA)
