@@ -8,6 +8,7 @@ Column expressions.
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 from dataclasses import dataclass, field, replace
 
@@ -91,8 +92,12 @@ _RULE = [("field", pa.string()), ("kind", pa.string()), ("block", pa.int32()),
          ("sign", pa.int64()), ("lenient", pa.bool_()), ("divisor", pa.float64()),
          ("multiplier", pa.float64()), ("floor", pa.float64())]
 _FIELDS_SCHEMA = pa.schema([("driver", pa.string()), *_RULE])
-_RULES_SCHEMA = pa.schema([("driver", pa.string()), ("rules", pa.list_(pa.struct(
-    [*_RULE, ("slot", pa.int32())])))])
+# The same per driver, for records: `key` is the name as JSON text, `slot` the
+# place of the block in `block_numbers()`. Bits need less and are kept apart.
+_VALUE = [("key", pa.string()), ("slot", pa.int32()), *_RULE[3:]]
+_BIT = [("key", pa.string()), ("slot", pa.int32()), ("lo", pa.int32()), ("shift", pa.int32())]
+_RULES_SCHEMA = pa.schema([("driver", pa.string()), ("numbers", pa.list_(pa.struct(_VALUE))),
+                           ("bits", pa.list_(pa.struct(_BIT)))])
 _VERSIONS_SCHEMA = pa.schema([
     ("driver", pa.string()), ("label", pa.string()), ("version", pa.string()),
 ])
@@ -159,14 +164,16 @@ class Catalog:
                       _FIELDS_SCHEMA)
 
     def rules_frame(self, spark: SparkSession) -> DataFrame:
-        """One row per driver with all its rules in record order.
-
-        `slot` is the place of the rule's block in `block_numbers()`.
-        """
+        """One row per driver with all its rules in record order."""
         slots = {k: i for i, k in enumerate(self.block_numbers())}
-        names = [name for name, _ in _RULE]
+
+        def entry(f: Field) -> dict:
+            return {"key": json.dumps(f.name) + ":", "slot": slots[f.block],
+                    **dict(zip([name for name, _ in _RULE], _rule(f)))}
+
         return _frame(spark, [
-            (d.name, [{**dict(zip(names, _rule(f))), "slot": slots[f.block]} for f in d.fields])
+            (d.name, *[[{name: entry(f)[name] for name, _ in columns} for f in d.fields
+                        if (f.kind == "bit") == bits] for columns, bits in ((_VALUE, False), (_BIT, True))])
             for d in self], _RULES_SCHEMA)
 
     def versions_frame(self, spark: SparkSession) -> DataFrame:

@@ -14,6 +14,9 @@ from helioframe.functions.words import field_sql, rule_sql
 from helioframe.operators.attempts import DEVICE, POLL, assemble, dispatch
 
 
+TAGS = ["Device_Name", "Measurement_Suffix", "Date"]
+
+
 def tag_columns() -> list[Column]:
     """The three tags every record starts with."""
     return [F.col("device_name").alias("Device_Name"),
@@ -62,23 +65,29 @@ def pivot_wide(long: DataFrame, driver: Driver) -> DataFrame:
 
 
 def records(polls: DataFrame, catalog: Catalog = CATALOG) -> DataFrame:
-    """Polls of a mixed fleet as records: device, tags and the record as JSON text.
+    """Polls as records: device, tags and the record as JSON text.
 
-    A driver's rules are joined as one array (a row per driver) and applied in
-    place, so the poll stays one row. Generated columns per driver would be
-    faster for one driver but too much code for all of them in one stage.
+    One driver's record is a generated struct. For a mixed fleet that would be
+    too much code for one stage; there a driver's rules are joined as arrays (a
+    row per driver) and applied in place. Either way a poll stays one row.
     """
-    value = rule_sql("get(registers, r.slot)", "r.")
-    entries = F.expr(f"map_from_entries(transform(rules, r -> struct(r.field, {value})))")
-    # Tags are text and values are numbers, so the object is built in two halves.
-    head = F.rtrim(tags.record_json(["Device_Name", "Measurement_Suffix", "Date"]), F.lit("}"))
-    tail = F.ltrim(F.to_json(entries), F.lit("{"))
+    kept = ["poll_id", "config", "position", "poll_ts"]
+    if len(catalog.drivers) == 1:
+        (driver,) = catalog
+        text = tags.record_json([*tag_columns(), *value_columns(driver)])
+        return (polls.where(F.col("driver") == driver.name)
+                .select(*kept, *tag_columns(), text.alias("record")))
+    number = rule_sql("get(registers, r.slot)", "r.")
+    bit = "shiftright(get(get(registers, b.slot), b.lo), b.shift) & 1"
+    values = F.expr(f"""array_join(concat(
+        transform(numbers, r -> concat(r.key, CAST({number} AS STRING))),
+        transform(bits, b -> concat(b.key, IF({bit} = 1, '1.0', '0.0')))), ',')""")
+    # Tags may hold any text, so Spark writes them; keys and numbers need no escape.
+    head = F.rtrim(tags.record_json(TAGS), F.lit("}"))
     registers = F.array(*[f"registers_{k}" for k in catalog.block_numbers()])
-    return (polls.select("poll_id", "config", "position", "driver", "poll_ts", *tag_columns(),
-                         registers.alias("registers"))
+    return (polls.select(*kept, "driver", *tag_columns(), registers.alias("registers"))
             .join(F.broadcast(catalog.rules_frame(polls.sparkSession)), "driver")
-            .select("poll_id", "config", "position", "poll_ts", "Device_Name",
-                    "Measurement_Suffix", "Date", F.concat(head, F.lit(","), tail).alias("record")))
+            .select(*kept, *TAGS, F.concat(head, F.lit(","), values, F.lit("}")).alias("record")))
 
 
 def decode(driver_name: str, reads: DataFrame, devices: DataFrame,
