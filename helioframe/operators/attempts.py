@@ -74,21 +74,44 @@ def choose_attempt(dispatched: DataFrame, catalog: Catalog = CATALOG) -> DataFra
             .select(*POLL, *DEVICE, "block", "best.attempt", "best.registers"))
 
 
+def _polls(dispatched: DataFrame, catalog: Catalog) -> DataFrame:
+    """One row per poll: the read that counts of block k in `read_k`, if any."""
+    best = [F.expr(f"min(CASE WHEN block = {k} THEN read END) AS read_{k}")
+            for k in catalog.block_numbers()]
+    read = F.struct(_rank(catalog).alias("rank"), whole().alias("whole"), "registers")
+    return (_usable(dispatched)
+            .select(*POLL, *DEVICE, "n_blocks", "block", read.alias("read"))
+            .groupBy(*POLL, *DEVICE, "n_blocks").agg(*best))
+
+
+def _total(flag: str, catalog: Catalog) -> str:
+    return " + ".join(f"CAST(coalesce({flag.format(k=k)}, false) AS INT)"
+                      for k in catalog.block_numbers())
+
+
 def assemble(dispatched: DataFrame, catalog: Catalog = CATALOG) -> DataFrame:
     """One row per whole poll, with the registers of block k in `registers_k`.
 
     A poll is whole when every block of its driver has a read that counts and
     each of these holds the words its rules need; others give no row.
     """
-    numbers = catalog.block_numbers()
-    best = [F.expr(f"min(CASE WHEN block = {k} THEN read END) AS read_{k}") for k in numbers]
-    read = F.struct(_rank(catalog).alias("rank"), whole().alias("whole"), "registers")
-    polls = (_usable(dispatched)
-             .select(*POLL, *DEVICE, "n_blocks", "block", read.alias("read"))
-             .groupBy(*POLL, *DEVICE, "n_blocks").agg(*best))
-    n_whole = " + ".join(f"coalesce(CAST(read_{k}.whole AS INT), 0)" for k in numbers)
-    return (polls.where(f"{n_whole} = n_blocks")
-            .selectExpr(*POLL, *DEVICE, *[f"read_{k}.registers AS registers_{k}" for k in numbers]))
+    return (_polls(dispatched, catalog)
+            .where(f"{_total('read_{k}.whole', catalog)} = n_blocks")
+            .selectExpr(*POLL, *DEVICE, *[f"read_{k}.registers AS registers_{k}"
+                                          for k in catalog.block_numbers()]))
+
+
+def unusable_polls(dispatched: DataFrame, catalog: Catalog = CATALOG) -> DataFrame:
+    """Polls that were read in full but hold words no rule can take, with the blocks.
+
+    They give no record; here they are kept as rejects while others go on.
+    """
+    bad = ", ".join(f"CASE WHEN read_{k} IS NOT NULL AND NOT coalesce(read_{k}.whole, false) "
+                    f"THEN {k} END" for k in catalog.block_numbers())
+    return (_polls(dispatched, catalog)
+            .where(f"{_total('read_{k} IS NOT NULL', catalog)} = n_blocks")
+            .selectExpr(*POLL, *DEVICE, f"array_compact(array({bad})) AS blocks")
+            .where("size(blocks) > 0"))
 
 
 def complete_polls(dispatched: DataFrame) -> DataFrame:

@@ -31,9 +31,11 @@ def host_metrics(samples: DataFrame, serials: DataFrame, device_name: str = "LOG
 
     The load averages over 1, 5 and 15 minutes are named 5, 10 and 15 minutes;
     the names are kept for those who already read them. `device_name` is the
-    constant name under which downstream tables know the host.
+    constant name under which downstream tables know the host. A sample without
+    a readable temperature gives no record: see `unusable_samples`.
     """
-    return samples.join(serials, "host", "left").select(
+    usable = samples.where(h.cpu_temp(F.col("cpu_temp_raw")).isNotNull())
+    return usable.join(serials, "host", "left").select(
         F.lit(device_name).alias("Device_Name"),
         h.cpu_temp(F.col("cpu_temp_raw")).alias("CPU_Temp"),
         F.col("cpu_usage").alias("CPU_Usage"),

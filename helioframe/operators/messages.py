@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -34,24 +35,26 @@ def build_messages(records: DataFrame, brokers: DataFrame) -> DataFrame:
         F.col("record").alias("payload"))
 
 
-def deliver(messages: DataFrame, brokers: DataFrame,
+def deliver(records: DataFrame, brokers: DataFrame,
             publish: Callable[[Row, DataFrame], None]) -> dict[int, bool]:
-    """Hand each enabled broker its messages, one try per broker.
+    """Hand each enabled broker the messages of all records, one try per broker.
 
     `publish(broker, messages)` gets a DataFrame and is expected to write it
     with a Spark writer or `foreachPartition`. A broker that fails is logged and
-    the next one goes on. The loop is over the configured broker list.
+    the next one goes on. The loop is over the configured broker list; records
+    are decoded once and kept once, not once per broker.
     """
     done = {}
-    messages = messages.persist()
+    records = records.persist(StorageLevel.DISK_ONLY)
     try:
         for broker in enabled(brokers).orderBy("broker").toLocalIterator():
+            own = brokers.where(F.col("broker") == broker["broker"])
             try:
-                publish(broker, messages.where(F.col("broker") == broker["broker"]))
+                publish(broker, build_messages(records, own))
                 done[broker["broker"]] = True
             except Exception:
                 log.exception("sending to broker %s failed", broker["broker"])
                 done[broker["broker"]] = False
     finally:
-        messages.unpersist()
+        records.unpersist()
     return done

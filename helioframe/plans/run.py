@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from helioframe import sinks as out
 from helioframe.catalog import CATALOG, Catalog
 from helioframe.functions import tags
-from helioframe.operators import messages as msg
 from helioframe.operators.attempts import assemble, dispatch
 from helioframe.operators.decode import records
+from helioframe.operators.messages import deliver
 from helioframe.operators.package import HOST_POSITION, package_snapshots
 
 SINKS = ("console", "messages", "files")
@@ -48,6 +48,6 @@ def run(found: DataFrame, runs: DataFrame, devices: DataFrame, prefix: str, path
     if "console" in sinks:
         out.dump(found)
     if "messages" in sinks:
-        msg.deliver(msg.build_messages(found, brokers), brokers, publish)
+        deliver(found, brokers, publish)
     if "files" in sinks:
         out.write_snapshots(package_snapshots(found, runs, devices, prefix, zone), path)

@@ -34,8 +34,11 @@ def read_snapshots_long(spark: SparkSession, path: str) -> DataFrame:
             .where(~F.col("field").isin(tags)))
 
 
-def stream_snapshot_files(spark: SparkSession, path: str, schema: str,
-                          multi_line: bool = False) -> DataFrame:
+def stream_snapshot_files(spark: SparkSession, path: str, schema: str, multi_line: bool = False,
+                          max_files: int | None = None) -> DataFrame:
     """Snapshot files as a stream of records."""
-    return (spark.readStream.schema(schema).option("multiLine", multi_line)
-            .option("recursiveFileLookup", True).json(path))
+    reader = (spark.readStream.schema(schema).option("multiLine", multi_line)
+              .option("recursiveFileLookup", True))
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.json(path)

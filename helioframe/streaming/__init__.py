@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from helioframe.catalog import CATALOG, Catalog
 from helioframe.operators.attempts import DEVICE, POLL, assemble, dispatch, whole
 from helioframe.operators.decode import decode_long
-from helioframe.operators.messages import build_messages, deliver
+from helioframe.operators.messages import deliver
 from helioframe.sources.snapshots import stream_snapshot_files
 
 
@@ -42,14 +42,14 @@ def stream_assemble(reads: DataFrame, devices: DataFrame, delay: str = "10 minut
     return decode_long(assemble(dispatch(waiting, devices, catalog), catalog), catalog)
 
 
-def stream_snapshots(spark: SparkSession, path: str, schema: str,
-                     delay: str = "10 minutes") -> DataFrame:
+def stream_snapshots(spark: SparkSession, path: str, schema: str, delay: str = "10 minutes",
+                     max_files: int | None = None) -> DataFrame:
     """Records from snapshot files; a file that is delivered again adds nothing.
 
     Whole records are compared, so two different reads of one device in one
-    minute both stay.
+    minute both stay. `max_files` bounds a micro-batch while catching up.
     """
-    records = (stream_snapshot_files(spark, path, schema)
+    records = (stream_snapshot_files(spark, path, schema, max_files=max_files)
                .withColumn("ts", F.to_timestamp("Date", "yyyy-MM-dd'T'HH:mm:ssX"))
                .withWatermark("ts", delay))
     return records.dropDuplicatesWithinWatermark(records.columns)
@@ -64,7 +64,7 @@ def stream_messages(records: DataFrame, brokers: DataFrame,
     the batch id lets it recognise that.
     """
     def send(batch: DataFrame, batch_id: int) -> None:
-        deliver(build_messages(batch, brokers), brokers,
+        deliver(batch, brokers,
                 lambda broker, messages: publish(batch_id, broker, messages))
 
     return (records.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)

@@ -94,6 +94,8 @@ def test_error_policy_by_kind(spark, bad, kept):
     assert set(wide) == ({1, 2} if kept else {2})
     long = decode.decode_fleet(*args)
     assert {r.poll_id for r in long.collect()} == set(wide)
+    rejects = attempts.unusable_polls(attempts.dispatch(*args)).collect()
+    assert [(r.poll_id, r.blocks) for r in rejects] == ([] if kept else [(1, [2])])
     assert long.where("value IS NULL").count() == 0
     assert all(v is not None for r in wide.values() for v in r)
     if kept:
