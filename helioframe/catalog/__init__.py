@@ -69,6 +69,8 @@ class Driver:
         names = [f.name for f in self.fields]
         if len(counts) != len(self.blocks) or len(set(names)) != len(names):
             raise ValueError(f"{self.name}: block numbers and field names must be unique")
+        if any(not 0 <= k <= 62 for k in counts):
+            raise ValueError(f"{self.name}: block numbers go from 0 to 62")
         for f in self.fields:
             if f.kind not in KINDS or f.divisor not in DIVISORS:
                 raise ValueError(f"{self.name}.{f.name}: unknown kind or divisor")

@@ -303,15 +303,15 @@ def register_driver(spark, sf):
     return decode.decode("site_meter", tb.reads_of(spark, sf, STATION), own, SITE_METER)
 
 
-def _spread(polls: pd.DataFrame) -> pd.DataFrame:
-    registers = polls["registers_1"]
-    return pd.DataFrame({"poll_id": polls["poll_id"], "Device_Name": polls["device_name"],
-                         "spread": [float(max(r) - min(r)) for r in registers]})
-
-
 @query
 def decode_with(spark, sf):
-    return decode.decode_with(_polls(spark, sf, STATION), _spread,
+    # Nested, so that it travels by value and workers need not have this module.
+    def spread(polls: pd.DataFrame) -> pd.DataFrame:
+        registers = polls["registers_1"]
+        return pd.DataFrame({"poll_id": polls["poll_id"], "Device_Name": polls["device_name"],
+                             "spread": [float(max(r) - min(r)) for r in registers]})
+
+    return decode.decode_with(_polls(spark, sf, STATION), spread,
                               "poll_id bigint, Device_Name string, spread double")
 
 

@@ -55,6 +55,17 @@ def write_measurements(records: DataFrame, path: str, ts: str = "poll_ts",
      .write.mode(mode).partitionBy("Measurement_Suffix", "day").parquet(path))
 
 
+def write_polls(polls: DataFrame, path: str, mode: str = "append") -> None:
+    """Whole polls by driver and day, to decode wide tables of many drivers from.
+
+    The choice among attempts and its shuffle are then paid once; a wide decode
+    reads only its driver's partitions.
+    """
+    (polls.withColumn("day", tags.utc_day(F.col("poll_ts")))
+     .hint("rebalance", "driver", "day")
+     .write.mode(mode).partitionBy("driver", "day").parquet(path))
+
+
 def dump(records: DataFrame, n: int = 20) -> None:
     """Print records as indented JSON."""
     (records.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("record"))

@@ -59,6 +59,14 @@ def test_register_driver_rejects_rules_outside_the_block(field):
         Catalog().register_driver("d", "1", [Block(1, "input", 0, 4)], [field])
 
 
+def test_register_driver_checks_names_and_block_numbers():
+    for blocks, fields in [([Block(63, "input", 0, 1)], []),
+                           ([Block(1, "input", 0, 1)] * 2, []),
+                           ([Block(1, "input", 0, 1)], [Field("A", "u16", 1, 0)] * 2)]:
+        with pytest.raises(ValueError):
+            Catalog().register_driver("d", "1", blocks, fields)
+
+
 def test_register_driver_adds_rows_only():
     more = CATALOG.register_driver("mine", "2.1", [Block(7, "input", 0, 2)],
                                    [Field("A", "u16", 7, 1)])

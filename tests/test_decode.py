@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from helioframe import sinks
 from helioframe.catalog import CATALOG, Block, Field
 from helioframe.operators import attempts, decode
 from helioframe.plans import testbed as tb
@@ -87,6 +88,21 @@ def test_decode_stays_in_the_jvm_and_shuffles_once(spark, sf):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_wide_tables_from_written_polls_read_one_partition(spark, tmp_path):
+    drivers = ["sensor_irradiation_akfen", "sensor_kippzonen_smp11"]
+    polls = attempts.assemble(attempts.dispatch(
+        reads(spark, ("A", 1, 1, 0, True, [5]), ("B", 2, 1, 0, True, [6])),
+        devices(spark, ("A", drivers[0], True), ("B", drivers[1], True))))
+    sinks.write_polls(polls, f"{tmp_path}/polls")
+    again = spark.read.parquet(f"{tmp_path}/polls")
+    for driver, value in zip(drivers, (5.0, 6.0)):
+        wide = decode.decode_wide(again, CATALOG[driver])
+        assert [r[-1] for r in wide.collect()] == [value]
+        plan = wide._jdf.queryExecution().executedPlan().toString()
+        assert "driver#" in plan.split("PartitionFilters")[1].split("]")[0]
+        assert "Exchange" not in plan
+
+
 def test_scan_reads_only_needed_columns(spark, sf, tmp_path):
     from helioframe.sources.landed import read_registers
     tb.reads_of(spark, sf, "inv_abb_pvs800").write.parquet(f"{tmp_path}/r")
