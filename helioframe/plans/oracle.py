@@ -218,8 +218,12 @@ MESSAGES = f"""SELECT broker, base_topic || '/' || device_name AS topic, record
   FROM record CROSS JOIN {TARGETS}"""
 
 ORACLE: dict[str, str] = {
-    "device_registry": DEVICES,
-    "broker_registry": BROKERS,
+    # Read back from one list per nation, or per kind of broker.
+    "device_registry": f"""SELECT CAST(row_number() OVER (PARTITION BY split_part(ip_address, '.', 3)
+      ORDER BY position) - 1 AS INTEGER) AS position, name, driver, enabled, measurement, slave_id,
+      ip_address, port FROM ({DEVICES})""",
+    "broker_registry": f"""SELECT CAST(row_number() OVER (PARTITION BY broker % 2 ORDER BY broker) - 1
+      AS INTEGER) AS broker, topic, ip_address, port, enabled FROM ({BROKERS})""",
     "enabled_devices": f"SELECT config, position, name FROM ({DEVICES}) WHERE enabled",
     "enabled_brokers": f"SELECT broker, topic FROM ({BROKERS}) WHERE enabled",
     "device_listing": f"""SELECT config, position, name || ' <--> ' || driver || ' <--> ' || ip_address

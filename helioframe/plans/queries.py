@@ -20,6 +20,7 @@ from helioframe.operators import attempts, decode, host, messages, package, regi
 from helioframe.plans import testbed as tb
 from helioframe.plans.shared import shared_folder
 from helioframe.sources.landed import read_registers, stream_registers
+from helioframe.sources.registry import read_brokers, read_devices
 from helioframe.sources.snapshots import read_snapshots, read_snapshots_long
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,12 +61,19 @@ def _station_records(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def device_registry(spark, sf):
-    return tb.devices(spark, sf)
+    path = shared_folder(spark, "devices")
+    entries = (tb.devices(spark, sf).drop("config")
+               .withColumn("site", F.split("ip_address", r"\.")[2]))
+    tb.write_yaml(entries, "devices", "site", "position", path)
+    return read_devices(spark, f"{path}/*/*.txt").drop("config")
 
 
 @query
 def broker_registry(spark, sf):
-    return tb.brokers(spark, sf)
+    path = shared_folder(spark, "brokers")
+    tb.write_yaml(tb.brokers(spark, sf).withColumn("site", F.col("broker") % 2),
+                  "servers", "site", "broker", path)
+    return read_brokers(spark, f"{path}/*/*.txt")
 
 
 @query

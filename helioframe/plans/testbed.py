@@ -64,6 +64,20 @@ def brokers(spark: SparkSession, sf_dir: str) -> DataFrame:
         (key % 2 == 0).alias("enabled"))
 
 
+def write_yaml(entries: DataFrame, section: str, site: str, order: str, path: str) -> None:
+    """Registry entries as YAML lists, one file per value of `site`."""
+    switch = F.when(F.col("enabled"), "yes  # on").otherwise("no  # off")
+    values = [(name, switch if name == "enabled" else F.col(name).cast("string"))
+              for name in entries.columns if name not in (site, order)]
+    lines = [F.concat(F.lit(f"{'      ' if i else '    - '}{name} : "), value)
+             for i, (name, value) in enumerate(values)]
+    body = entries.select(site, order, F.concat_ws("\n", *lines).alias("text"))
+    heads = entries.select(site).distinct().select(
+        site, F.lit(-1).alias(order), F.lit(f"{section}:").alias("text"))
+    (body.union(heads).repartition(site).sortWithinPartitions(site, order)
+     .select(site, "text").write.partitionBy(site).text(path))
+
+
 def _ok(attempt: Column) -> Column:
     e, b = F.col("poll_id"), F.col("block")
     return (((e * 7 + b * 13 + attempt * 5) % 4 != 0)
