@@ -11,7 +11,8 @@ import __spark_entry__ as entry_module  # noqa: E402
 duckdb = pytest.importorskip("duckdb")
 TABLES = """region nation customer supplier part orders lineitem events documents embeddings pages
     benchmark labels conversations""".split()
-QUERIES, ORACLE = entry_module.queries(), entry_module.oracle_sql()
+from helioframe.plans.oracle import ORACLE  # noqa: E402
+from helioframe.plans.queries import QUERIES  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -24,6 +25,8 @@ def other(sf):
 
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(ORACLE) <= set(entry_module.oracle_sql())
 
 
 @pytest.mark.parametrize("name", QUERIES)
