@@ -5,14 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm import sharding
-from helioframe.llm.shared import text_column
+from helioframe.llm import mixing, sharding
+from helioframe.llm.shared import WORD, cut, text_column
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes; sources weigh 3, 1, 2."""
+    sizes = cut(table(spark, sf_dir, "documents").select(
+        "doc_id", "source", F.regexp_count(text_column(), F.lit(WORD)).cast("long").alias("n")))
+    return mixing.mix(sizes, size=F.col("n")).select(
+        "doc_id", "mix.size", "mix.source_size", "mix.target",
+        (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard on the bounded-load ring; counts are at most one apart."""
     docs = table(spark, sf_dir, "documents").select(
@@ -23,6 +32,6 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op5_sharding": op5_sharding}
+QUERIES = {"op2_mixing": op2_mixing, "op5_sharding": op5_sharding}
 
 ORACLE: dict[str, str] = {}
