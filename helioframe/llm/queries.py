@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm import mixing, quality, sharding
+from helioframe.llm import mixing, near_duplicates, quality, sharding
 from helioframe.llm.shared import WORD, cut, text_column
 
 
@@ -32,11 +32,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near duplicates."""
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's statistics and whether base rules and outlier test keep it."""
     return quality.judge(table(spark, sf_dir, "documents"), ["doc_id", "lang", "source"]).drop("lang", "source")
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op5_sharding": op5_sharding, "op9_quality": op9_quality}
+QUERIES = {"op2_mixing": op2_mixing, "op5_sharding": op5_sharding, "op8_jaccard_join": op8_jaccard_join, "op9_quality": op9_quality}
 
 ORACLE: dict[str, str] = {}

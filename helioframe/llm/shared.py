@@ -56,10 +56,10 @@ def bitmap(values: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
     rows reach the driver, however many values there are. A place that isn't
     marked proves absence; a full bitmap only lets more rows through.
     """
-    place = F.pmod(F.col(values.columns[0]), F.lit(bits))
-    words = (values.select(F.floor(place / 32).alias("word"), F.shiftleft(
-        F.lit(1).cast("long"), F.pmod(place, F.lit(32)).cast("int")).alias("bit"))
-        .groupBy("word").agg(F.bit_or("bit").alias("bits")))
+    words = (values.select(F.pmod(F.col(values.columns[0]), F.lit(bits)).alias("place"))
+             .select(F.floor(F.col("place") / 32).alias("word"),
+                     F.expr("shiftleft(1L, cast(place % 32 AS int))").alias("bit"))
+             .groupBy("word").agg(F.bit_or("bit").alias("bits")))
     found = np.zeros(bits // 32, np.uint32)
     for word, marked in words.collect():
         found[word] = marked
