@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm import mixing, near_duplicates, quality, sharding
+from helioframe.llm import mixing, near_duplicates, quality, repeats, sharding
 from helioframe.llm.shared import WORD, cut, text_column
 
 
@@ -22,6 +22,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 35 words that also start elsewhere."""
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard on the bounded-load ring; counts are at most one apart."""
     docs = table(spark, sf_dir, "documents").select(
@@ -42,6 +48,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), ["doc_id", "lang", "source"]).drop("lang", "source")
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op5_sharding": op5_sharding, "op8_jaccard_join": op8_jaccard_join, "op9_quality": op9_quality}
+QUERIES = {"op2_mixing": op2_mixing, "op3_substring_dedup": op3_substring_dedup,
+           "op5_sharding": op5_sharding, "op8_jaccard_join": op8_jaccard_join, "op9_quality": op9_quality}
 
 ORACLE: dict[str, str] = {}
