@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm import mixing, near_duplicates, quality, repeats, sharding
+from helioframe.llm import contamination, mixing, near_duplicates, quality, repeats, sharding
 from helioframe.llm.shared import WORD, cut, text_column
 
 
@@ -13,6 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document lies in windows of benchmark items, and of which."""
+    found = contamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+                                        ["doc_id"])
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes; sources weigh 3, 1, 2."""
     sizes = cut(table(spark, sf_dir, "documents").select(
@@ -48,7 +56,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), ["doc_id", "lang", "source"]).drop("lang", "source")
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op3_substring_dedup": op3_substring_dedup,
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op3_substring_dedup": op3_substring_dedup,
            "op5_sharding": op5_sharding, "op8_jaccard_join": op8_jaccard_join, "op9_quality": op9_quality}
 
 ORACLE: dict[str, str] = {}
