@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm import contamination, mixing, near_duplicates, quality, repeats, sharding
+from helioframe.llm import contamination, mixing, near_duplicates, private, quality, repeats, sharding
 from helioframe.llm.shared import WORD, cut, text_column
 
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _only(kind: str):
+    return lambda k: F.when(k == kind, k)
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of every document lies in windows of benchmark items, and of which."""
     found = contamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
@@ -46,6 +50,18 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data, and terms that would give it away."""
+    found = private.private_spans(table(spark, sf_dir, "documents"), ["doc_id"])
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*private.KINDS))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    return found.select("doc_id", *[F.size(F.array_compact(F.transform(kinds, _only(k)))).cast("long")
+                                    .alias(f"n_{k}") for k in private.KINDS],
+                        F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of near duplicates."""
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"])
@@ -57,6 +73,6 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op3_substring_dedup": op3_substring_dedup,
-           "op5_sharding": op5_sharding, "op8_jaccard_join": op8_jaccard_join, "op9_quality": op9_quality}
+           "op5_sharding": op5_sharding, "op6_pii": op6_pii, "op8_jaccard_join": op8_jaccard_join, "op9_quality": op9_quality}
 
 ORACLE: dict[str, str] = {}
