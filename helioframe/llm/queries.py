@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm import contamination, mixing, near_duplicates, private, quality, repeats, sharding
+from helioframe.llm import contamination, mixing, near_duplicates, private, quality, repeats, revisits, sharding, token_counts
+from helioframe.llm.oracle import ORACLE  # noqa: F401
 from helioframe.llm.shared import WORD, cut, text_column
 
 
@@ -40,6 +41,50 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Web archive records from the pages: each page's response and its later revisits.
+
+    Pages are captured a minute apart. A revisit spells the address otherwise;
+    some servers send no tag or no validator, some pages have changed, some
+    responses failed, and some revisits come before any response.
+    """
+    page, said = F.col("page_id"), F.md5(F.coalesce("html", F.lit("")))
+    with_tag, with_time = page % 5 != 0, page % 10 != 0
+    first = pages.select(
+        (page * 4).alias("record_id"), F.lit("response").alias("kind"), F.col("url").alias("uri"),
+        F.timestamp_seconds(1704067200 + page * 60).alias("at"),
+        F.when(page % 13 == 7, 404).otherwise(200).alias("status"), said.alias("digest"),
+        F.create_map(F.lit("Content-Type"), F.lit("text/html"),
+                     F.lit("Content-Length"), F.octet_length(F.coalesce("html", F.lit(""))).cast("string"),
+                     F.lit("ETag"), F.when(with_tag, said),
+                     F.lit("Last-Modified"), F.when(with_time, page.cast("string")),
+                     F.lit("Cache-Control"), F.lit("max-age=60")).alias("headers"))
+    times = F.filter(F.array(F.when(page % 11 == 5, 0), F.lit(1), F.lit(2)), lambda k: k.isNotNull())
+    k, changed = F.col("k"), (page + F.col("k")) % 7 == 3
+    later = pages.withColumn("k", F.explode(times)).select(
+        (page * 4 + 1 + k).alias("record_id"), F.lit("revisit").alias("kind"),
+        F.when(k == 1, F.concat("url", F.lit("#again")))
+        .otherwise(F.concat(F.regexp_replace("url", "#.*$", ""), F.when(F.col("url").contains("?"), "&").otherwise("?"),
+                            F.lit("utm_source=again"))).alias("uri"),
+        F.timestamp_seconds(1704067200 + page * 60 + F.when(k == 0, -86400).otherwise(k * 86400)).alias("at"),
+        F.lit(304).alias("status"), said.alias("digest"),
+        F.create_map(F.lit("etag"), F.when(with_tag, F.concat(F.lit("W/"), said, F.when(changed, "x").otherwise(""))),
+                     F.lit("last-modified"), F.when(with_time, page.cast("string")),
+                     F.lit("Cache-Control"), F.concat(F.lit("max-age="), (k * 60).cast("string")),
+                     F.lit("Expires"), F.concat(F.lit("day "), k.cast("string")),
+                     F.lit("Content-Length"), F.lit("0")).alias("headers"))
+    return first.unionByName(later)
+
+
+def op4_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit of the pages, with the response it repeats and the merged headers."""
+    found = revisits.resolve(captures(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws(": ", e["key"], e["value"]))
+    return found.select("record_id", "url", F.unix_seconds("at").alias("seconds"), "outcome", "response_id",
+                        F.unix_seconds("response_at").alias("response_seconds"), "digest",
+                        F.array_join(lines, "\n").alias("headers"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard on the bounded-load ring; counts are at most one apart."""
     docs = table(spark, sf_dir, "documents").select(
@@ -62,6 +107,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and tokens within and beyond every encoded length that occurs."""
+    return token_counts.token_report(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of near duplicates."""
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"])
@@ -73,6 +123,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op3_substring_dedup": op3_substring_dedup,
-           "op5_sharding": op5_sharding, "op6_pii": op6_pii, "op8_jaccard_join": op8_jaccard_join, "op9_quality": op9_quality}
+           "op4_revisits": op4_revisits, "op5_sharding": op5_sharding, "op6_pii": op6_pii, "op7_token_counts": op7_token_counts,
+           "op8_jaccard_join": op8_jaccard_join, "op9_quality": op9_quality}
+
 
-ORACLE: dict[str, str] = {}
