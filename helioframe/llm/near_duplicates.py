@@ -8,19 +8,25 @@ sets' symmetric difference, and at a Jaccard similarity of 0.8 that is at most
 
 *Pigeonhole.* In a size band, hashes fall into fixed blocks, and a block's
 parity is the XOR of its hashes (64 bits, so equal parity means equal content).
-A node gives out its first `size / 4 + 2` blocks that aren't empty; of any two
-similar nodes, at least two of those blocks agree, since each differing hash
-spoils one block at most. A node with fewer blocks gives out the empty ones too,
-which keeps the count for two such nodes. Bands are wide, and a node near a
+A node gives out its first `size / 4 + spare` blocks that aren't empty; of any
+two similar nodes, at least `spare` of those blocks agree, since each differing
+hash spoils one block at most. A node with fewer blocks gives out the empty ones
+too, which keeps the count for two such nodes. Bands are wide, and a node near a
 band's lower end also gives out blocks of the band below.
 
-*Candidates.* All nodes that share a block are linked in thought to the least of
-them, the hub: a star, not all pairs; nodes of one batch are joined to their
-least before the shuffle, so a block that a third of all nodes share is few rows
-in any task. Stars are filtered by the Hamming distance of a bit sketch of about
-two bits per shingle, then verified on the whole sets. Where a block's nodes
-then lie in several components, all its pairs between components are tested
-likewise; that alone makes the components exact.
+*Stars.* All nodes that share a block are paired with a few hubs of it, not with
+each other (the least, and nodes that share the most blocks, for those are the
+least changed); nodes of one batch are joined to their least before the shuffle, so
+a block that a third of all nodes share is few rows in any task. Pairs are
+filtered by the Hamming distance of a bit sketch of two to four bits per
+shingle, then verified on the whole sets.
+
+*The rest.* Only nodes of different components can still add a link. Such a node
+agrees with a similar one in `spare` blocks, so it may leave out all but that
+many of its blocks but one: it looks into its rarest blocks only, at nodes of
+larger components. A node that shares fewer blocks than that has no link left to
+find; that is what ends the work for passages that many texts have in common.
+With those pairs tested the components are exact.
 """
 
 from __future__ import annotations
@@ -41,7 +47,9 @@ SHINGLE = 5
 #: Similarity at least 80 / 100.
 PERCENT = 80
 #: Keys are joined to their least node within about so many.
-FLUSH = 1_000_000
+FLUSH = 500_000
+#: Numbers of 64 bits of the short sketch that joins compare.
+SHORT = 4
 
 
 def _bands() -> np.ndarray:
@@ -54,7 +62,12 @@ def _bands() -> np.ndarray:
 
 BANDS = _bands()
 #: Blocks of each band: enough that a set has its share of blocks that aren't empty.
-BLOCKS = np.ceil(0.27 * BANDS[1:] + 10 + 1.5 * np.sqrt(BANDS[1:])).astype(np.int64)
+BLOCKS = np.ceil(0.36 * BANDS[1:] + 10 + 1.5 * np.sqrt(BANDS[1:])).astype(np.int64)
+
+
+def spare(n):
+    """In how many blocks, at least, a node of n shingles agrees with a similar one of its size or more."""
+    return 2 + n // 16
 
 
 class Sets:
@@ -86,6 +99,12 @@ def bit_sketch(hashes: np.ndarray) -> bytes:
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
 
 
+def short_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the hashes over a fixed number of bits."""
+    parity = np.bincount((hashes & U(64 * SHORT - 1)).astype(np.int64), minlength=64 * SHORT) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def hamming(a: bytes, b: bytes) -> int:
     """Differing bits; the longer sketch is folded to the shorter one's bits."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -97,19 +116,20 @@ def hamming(a: bytes, b: bytes) -> int:
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's set as (n, node, sketch); node and sketch are null for an empty set."""
+    """Each text's set as (n, node, sketch, short); all but n are null for an empty set."""
     for batch in batches:
-        n, node, sketch = [], [], []
+        n, node, sketch, short = [], [], [], []
         for _, _, words in pieces(batch.column("text"), lower=True):
             sets = Sets(words)
             n += sets.size.tolist()
             node += [x if k else None for x, k in zip(sets.node.tolist(), sets.size.tolist())]
             sketch += [bit_sketch(sets.of(i)) if sets.size[i] else None for i in range(words.n)]
+            short += [short_sketch(sets.of(i)) if sets.size[i] else None for i in range(words.n)]
         keep = [c for c in batch.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays(
             [batch.column(c) for c in keep]
-            + [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary())],
-            [*keep, "n", "node", "sketch"])
+            + [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary()),
+               pa.array(short, pa.list_(pa.int64()))], [*keep, "n", "node", "sketch", "short"])
 
 
 def block_keys(sets: Sets, texts: np.ndarray, band: np.ndarray, wanted: np.ndarray,
@@ -138,7 +158,9 @@ def block_keys(sets: Sets, texts: np.ndarray, band: np.ndarray, wanted: np.ndarr
         rank = np.concatenate([rank, np.zeros(len(empty), np.int64)])
     keep = rank < wanted[at]
     at, block, parity = at[keep], block[keep], parity[keep]
-    return mix(parity ^ mix(block + (band[at].astype(U) << U(40)))), texts[at]
+    key = mix(parity ^ mix(block + (band[at].astype(U) << U(40))))
+    # The last bit tells a node's two bands apart.
+    return (key & ~U(1)) | (band[at].astype(U) & U(1)), texts[at]
 
 
 def keys_of(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
@@ -147,9 +169,9 @@ def keys_of(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
     fit = np.flatnonzero(sets.size >= BANDS[0])
     n = sets.size[fit]
     band = np.searchsorted(BANDS, n, "right") - 1
-    own = block_keys(sets, fit, band, n // 4 + 2)
+    own = block_keys(sets, fit, band, n // 4 + spare(n))
     low = (band > 0) & (PERCENT * n <= 100 * (BANDS[band] - 1))
-    below = block_keys(sets, fit[low], band[low] - 1, 2 * n[low] // 9 + 2)
+    below = block_keys(sets, fit[low], band[low] - 1, 2 * n[low] // 9 + spare(n[low]))
     return (np.concatenate([own[0], below[0]]).view(np.int64),
             sets.node[np.concatenate([own[1], below[1]])])
 
@@ -234,6 +256,8 @@ def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"),
                                   F.col("sketch").alias(f"s{x}"))
     near = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(close, "a long, b long"))
+    if not near.take(1):
+        return near
     ends = cut(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
     sets = cut(texts.mapInArrow(sets_of(bitmap(ends)), "node long, hashes binary")
                .join(ends, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
@@ -251,24 +275,40 @@ def linked(texts: DataFrame, nodes: DataFrame) -> DataFrame:
                 .withColumn("hub", F.coalesce("hub", F.first("node").over(
                     Window.partitionBy("key", "hub").orderBy("node"))))
                 .where("node <> hub"))
-    tried = cut(stars.select(*_pair("node", "hub")).distinct())
+    # A node that shares many blocks is little changed, and so near to most of the others.
+    shares = stars.groupBy("node").agg(F.count(F.lit(1)).alias("shares"))
+    hubs = (stars.join(shares, "node").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array(
+        F.max_by("node", F.struct("shares", "node")), F.max_by("node", F.struct("shares", F.xxhash64("node"))))
+        .alias("hubs")).where("n > 1"))
+    more = (stars.join(hubs, "key").select("node", F.explode("hubs").alias("hub")).where("node <> hub"))
+    tried = cut(stars.select("node", "hub").unionByName(more).select(*_pair("node", "hub")).distinct())
     links = verified(texts, nodes, tried)
     found = components(links)
+
     # What the stars left apart: blocks whose nodes lie in several components.
     root = lambda x: found.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
-    rooted = (stars.join(root("node"), "node", "left").join(root("hub"), "hub", "left")
-              .withColumns({f"{x}_root": F.coalesce(f"{x}_root", x) for x in ("node", "hub")}))
-    apart = cut(rooted.where("node_root <> hub_root").select("key").distinct())
-    members = cut(rooted.join(apart, "key", "left_semi").select("key", F.explode(F.array(
-        F.struct(F.col("node"), F.col("node_root").alias("root")),
-        F.struct(F.col("hub").alias("node"), F.col("hub_root").alias("root")))).alias("m"))
-        .select("key", "m.*").distinct())
-    pairs = (members.alias("x").join(members.alias("y"), F.expr(
-        "x.key = y.key AND x.node < y.node AND x.root <> y.root"))
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        .join(tried, ["a", "b"], "left_anti"))
-    more = verified(texts, nodes, pairs)
-    return components(links.unionByName(more)) if more.take(1) else found
+    apart = (stars.join(root("node"), "node", "left").join(root("hub"), "hub", "left")
+             .where(F.coalesce("node_root", "node") != F.coalesce("hub_root", "hub")).select("key").distinct())
+    sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    known = (nodes.select("node", "n", "short").join(found, "node", "left").join(sizes, "root", "left")
+             .select("node", "n", "short", F.struct(F.coalesce("size", F.lit(1)).alias("size"),
+                                           F.coalesce("root", "node").alias("root")).alias("group")))
+    members = cut(stars.select("key", "node").union(stars.select("key", "hub"))
+                  .join(apart, "key", "left_semi").distinct().join(known, "node"))
+    crowd = members.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"), F.max("group").alias("largest"))
+    own = Window.partitionBy("node", F.col("key").bitwiseAND(F.lit(1)))
+    # A similar node may be a fifth smaller, and then spares as many blocks as its size says.
+    looking = (members.join(crowd, "key").withColumns({
+        "shared": F.count(F.lit(1)).over(own), "place": F.row_number().over(own.orderBy("crowd", "key"))})
+        .where(F.col("place") <= F.col("shared") - (2 + F.floor(F.col("n") / 20)) + 1)
+        .where("group < largest"))
+    apart_by = " + ".join(f"bit_count(x.short[{i}] ^ y.short[{i}])" for i in range(SHORT))
+    pairs = (looking.alias("x").join(members.alias("y"), F.expr(
+        f"x.key = y.key AND x.group < y.group AND 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)"
+        f" AND {apart_by} <= (x.n + y.n) div 9"))
+             .select(*_pair("x.node", "y.node")).distinct().join(tried, ["a", "b"], "left_anti"))
+    rest = verified(texts, nodes, pairs)
+    return components(links.unionByName(rest)) if rest.take(1) else found
 
 
 def near_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -285,10 +325,10 @@ def near_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
     kept = list(dict.fromkeys(["doc_id", *keep]))
     read = docs.select(*[f"`{c}`" for c in kept if c != "text"], F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"`{c}` {read.schema[c].dataType.simpleString()}" for c in kept if c != "text")
-    rows = cut(read.mapInArrow(describe, f"{schema}, n long, node long, sketch binary"))
+    rows = cut(read.mapInArrow(describe, f"{schema}, n long, node long, sketch binary, short array<long>"))
     nodes = cut(rows.where("node IS NOT NULL").groupBy("node").agg(
-        F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least")))
-    found = linked(texts, nodes.select("node", "n", "sketch"))
+        F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"), F.min("doc_id").alias("least")))
+    found = linked(texts, nodes.select("node", "n", "sketch", "short"))
     rooted = (nodes.select("node", "least").join(found, "node", "left")
               .withColumn("root", F.coalesce("root", "node")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
