@@ -5,19 +5,44 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from helioframe.llm import sharding
+from helioframe.llm import contamination, mixing, near_duplicates, quality, sharding
 from helioframe.llm.shared import cut
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the outlier test reject go."""
+    return quality.keep_good(docs)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one of least doc_id."""
+    return near_duplicates.one_of_each(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items go."""
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    bad = (contamination.decontaminate(docs, items, ["doc_id"]).where("contaminated")
+           .select("doc_id").distinct())
+    return docs.alias("d").join(bad.alias("b"), F.expr("d.doc_id <=> b.doc_id"), "left_anti")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's weight has it taken."""
+    return mixing.mixed(docs)
+
+
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its shard and its place in it."""
     return sharding.shard(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("sharding", shard)]
+STAGES: list[tuple[str, Stage]] = [("quality", good), ("near_duplicates", distinct),
+                                   ("decontamination", clean), ("mixing", mixed), ("sharding", shard)]
 
 #: The stages use robust estimates and balanced random choices, beyond SQL.
 ORACLE_SQL = None

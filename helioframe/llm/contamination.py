@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helioframe.llm.shared import bitmap, cut, marked
+from helioframe.llm.shared import bitmap, cut, marked, schema_of
 from helioframe.llm.words import ALNUM, cover, pieces
 
 WINDOW, SHINGLE = 13, 5
@@ -148,10 +148,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> Dat
                       "window", F.col("n").cast("int").alias("n"),
                       (F.col("at") - F.col("place")).cast("int").alias("at"), "words")).alias("candidates")))
     kept = [c for c in dict.fromkeys(keep) if c != "text"]
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
+    schema = schema_of(docs, kept, "id1 long, id2 long, n_words long, n_hit long, windows array<long>")
     checked = cut(docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), *ident, text.alias("text"))
                   .join(candidates, ["id1", "id2"], "left").select("row.*", "id1", "id2", "text", "candidates")
-                  .mapInArrow(verify, f"{schema}id1 long, id2 long, n_words long, n_hit long, windows array<long>"))
+                  .mapInArrow(verify, schema))
     hit = (checked.where("n_hit > 0").select("id1", "id2", F.explode("windows").alias("window"))
            .join(items.where("item_id IS NOT NULL").select("window", "item_id"), "window")
            .groupBy("id1", "id2").agg(F.array_sort(F.collect_set("item_id")).alias("items")))

@@ -195,3 +195,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
             .join(sources.alias("s"), F.expr("r.source <=> s.source"))
             .select("r.row.*", F.struct(F.col("r.size"), F.col("s.source_size"), F.col("s.target"),
                                         F.col("d.copies")).alias("mix")))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: every document as often as it is taken, with its own columns."""
+    found = mix(docs, **options)
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "mix"]
+    return (found.where("mix.copies > 0").select(F.struct(*own).alias("row"), F.explode(
+        F.sequence(F.lit(1).cast("long"), F.col("mix.copies")))).select("row.*"))

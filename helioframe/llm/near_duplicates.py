@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from helioframe.llm.components import components
-from helioframe.llm.shared import bitmap, cut, marked
+from helioframe.llm.shared import bitmap, cut, marked, schema_of
 from helioframe.llm.words import BYTE_BASE, WORD_BASE, U, by_text, mix, pieces
 
 SHINGLE = 5
@@ -324,8 +324,9 @@ def near_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
     texts = docs.select(F.col("text").cast("string").alias("text"))
     kept = list(dict.fromkeys(["doc_id", *keep]))
     read = docs.select(*[f"`{c}`" for c in kept if c != "text"], F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"`{c}` {read.schema[c].dataType.simpleString()}" for c in kept if c != "text")
-    rows = cut(read.mapInArrow(describe, f"{schema}, n long, node long, sketch binary, short array<long>"))
+    schema = schema_of(read, [c for c in kept if c != "text"],
+                       "n long, node long, sketch binary, short array<long>")
+    rows = cut(read.mapInArrow(describe, schema))
     nodes = cut(rows.where("node IS NOT NULL").groupBy("node").agg(
         F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"), F.min("doc_id").alias("least")))
     found = linked(texts, nodes.select("node", "n", "sketch", "short"))
@@ -336,3 +337,12 @@ def near_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
     return rows.join(named, "node", "left").select(
         *[f"`{c}`" for c in keep if c != "text"], F.col("n").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents, all their columns, with the least doc_id of their group; one row each."""
+    first = (near_duplicates(docs, ["doc_id"]).where("doc_id <=> component_id").select("doc_id").distinct())
+    same = Window.partitionBy("d.doc_id", F.xxhash64("d.text")).orderBy(F.lit(0))
+    return (docs.alias("d").join(first.alias("f"), F.expr("d.doc_id <=> f.doc_id"), "left_semi")
+            .select(F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("row"),
+                    F.row_number().over(same).alias("turn")).where("turn = 1").select("row.*"))

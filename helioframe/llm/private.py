@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helioframe.llm.shared import bitmap, cut, marked
+from helioframe.llm.shared import bitmap, cut, marked, schema_of
 from helioframe.llm.words import ALNUM, U, by_text, pieces
 
 KINDS = ("email", "ip", "card", "phone")
@@ -186,8 +186,8 @@ def private_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     kept = [c for c in dict.fromkeys(keep) if c != "text"]
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
-    rows = cut(docs.select(*[f"`{c}`" for c in kept], text.alias("text")).mapInArrow(scan, schema + SHAPE)
+    schema = schema_of(docs, kept, SHAPE)
+    rows = cut(docs.select(*[f"`{c}`" for c in kept], text.alias("text")).mapInArrow(scan, schema)
                .select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), "spans", "found",
                        F.monotonically_increasing_id().alias("at")))
     some = rows.where(F.size("spans") > 0)

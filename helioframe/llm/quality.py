@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helioframe.llm.shared import cut
+from helioframe.llm.shared import cut, schema_of
 from helioframe.llm.words import DENSE, by_text, cover, pieces
 
 SYMBOLS = np.zeros(256, bool)
@@ -101,9 +101,8 @@ def base_failed() -> Column:
 def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns in `keep` and the base statistics of every whole text; null is empty."""
     read = docs.select(*[f"`{c}`" for c in keep if c != "text"], F.col("text").cast("string"))
-    schema = ", ".join([f"`{c}` {read.schema[c].dataType.simpleString()}" for c in keep if c != "text"]
-                       + [f"{c} long" for c in BASE])
-    return read.mapInArrow(statistics, schema)
+    names = [c for c in keep if c != "text"]
+    return read.mapInArrow(statistics, schema_of(read, names, ", ".join(f"{c} long" for c in BASE)))
 
 
 def group_key(level: int, *names: str) -> Column:
@@ -190,3 +189,10 @@ def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
         .withColumn("distance", distance()).withColumn("base_failed", base_failed())
         .select(*own, *[F.col(f"s.{c}") for c in BASE], "base_failed", "distance",
                 (~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))).alias("kept")))
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The documents, all their columns, that base rules and outlier test keep."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                        "text", "lang", "source")
+    return judge(whole, ["row"]).where("kept").select("row.*")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helioframe.llm.shared import cut
+from helioframe.llm.shared import cut, schema_of
 from helioframe.llm.words import BYTE_BASE, WORD_BASE, U, Words, cover, mix, pieces
 
 WINDOW, FRAGMENT = 35, 8
@@ -245,8 +245,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], window: int = WINDOW) -> Da
     places = cut(rows.withColumn("seen", seen).where("n = 0 OR n = 1 AND seen > 1")
                  .groupBy("id1", "id2").agg(F.collect_set("place").alias("places")))
     kept = [c for c in dict.fromkeys(keep) if c != "text"]
-    read = docs.select(*[f"`{c}`" for c in kept], text.alias("text"))
-    schema = "".join(f"`{c}` {read.schema[c].dataType.simpleString()}, " for c in kept)
+    schema = schema_of(docs, kept, "n_words long, n_removed long, kept_text string")
     whole = (docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), *ident, text.alias("text"))
              .join(places, ["id1", "id2"], "left").select("row.*", "text", "places"))
-    return whole.mapInArrow(strip(window), f"{schema}n_words long, n_removed long, kept_text string")
+    return whole.mapInArrow(strip(window), schema)

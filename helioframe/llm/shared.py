@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bits of a bitmap that is sent to every task: 1 MB, whatever the input.
 BITMAP_BITS = 1 << 23
@@ -41,12 +42,9 @@ def cut(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def free_name(frame: DataFrame, wanted: str) -> str:
-    """A column name that the table doesn't have, whatever its case."""
-    taken = {c.lower() for c in frame.columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
+def schema_of(frame: DataFrame, names: list[str], more: str) -> T.StructType:
+    """The fields of some columns, whatever their names and types, and more as DDL."""
+    return T.StructType([frame.schema[c] for c in names] + T.StructType.fromDDL(more).fields)
 
 
 def bitmap(values: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helioframe.llm.shared import cut
+from helioframe.llm.shared import cut, schema_of
 
 #: The vocabulary, and the public pattern that it was made with.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -62,9 +62,8 @@ def token_counts(docs: DataFrame, keep: Sequence[str], ranks_path: str = RANKS)
     with open(ranks_path, "rb") as ranks:
         file = ranks.read()
     kept = [c for c in dict.fromkeys(keep) if c != "text"]
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
     return docs.select(*[f"`{c}`" for c in kept], F.col("text").cast("string").alias("text")).mapInArrow(
-        lengths(file), f"{schema}n_tokens long")
+        lengths(file), schema_of(docs, kept, "n_tokens long"))
 
 
 def histogram(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
