@@ -283,12 +283,13 @@ def linked(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     more = (stars.join(hubs, "key").select("node", F.explode("hubs").alias("hub")).where("node <> hub"))
     tried = cut(stars.select("node", "hub").unionByName(more).select(*_pair("node", "hub")).distinct())
     links = verified(texts, nodes, tried)
-    found = components(links)
+    found = cut(components(links))
 
     # What the stars left apart: blocks whose nodes lie in several components.
     root = lambda x: found.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
     apart = (stars.join(root("node"), "node", "left").join(root("hub"), "hub", "left")
              .where(F.coalesce("node_root", "node") != F.coalesce("hub_root", "hub")).select("key").distinct())
+    apart = cut(apart)
     sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     known = (nodes.select("node", "n", "short").join(found, "node", "left").join(sizes, "root", "left")
              .select("node", "n", "short", F.struct(F.coalesce("size", F.lit(1)).alias("size"),
@@ -308,7 +309,8 @@ def linked(texts: DataFrame, nodes: DataFrame) -> DataFrame:
         f" AND {apart_by} <= (x.n + y.n) div 9"))
              .select(*_pair("x.node", "y.node")).distinct().join(tried, ["a", "b"], "left_anti"))
     rest = verified(texts, nodes, pairs)
-    return components(links.unionByName(rest)) if rest.take(1) else found
+    stars_found = found.select(F.col("root").alias("a"), F.col("node").alias("b"))
+    return components(stars_found.unionByName(rest)) if rest.take(1) else found
 
 
 def near_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
