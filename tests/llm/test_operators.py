@@ -368,6 +368,7 @@ def test_fuzzy_lines(spark, docs_of, odd):
     for i, a in enumerate(lines):
         for b in lines[:i]:
             if a in blocks and b in blocks and blocks[a] & blocks[b] and len(a) < 2000 \
+                    and sum((x ^ y).bit_count() for x, y in zip(sim[a], sim[b])) <= fuzzy_lines.FAR \
                     and brute.edit(a, b) <= max(len(a), len(b)) // 5:
                 union.join(a, b)
     seen, want = set(), {}
