@@ -8,7 +8,7 @@ part of the key, so a device with most of the rows still spreads evenly.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helioframe.catalog import CATALOG, Catalog
@@ -18,8 +18,6 @@ from helioframe.operators.registry import enabled
 POLL = ["poll_id", "device_name", "poll_ts"]
 DEVICE = ["config", "position", "measurement", "driver"]
 
-_LATE = 1_000_000  # above any attempt number
-
 
 def dispatch(reads: DataFrame, devices: DataFrame, catalog: Catalog = CATALOG,
              on: tuple[str, ...] = ("device_name",)) -> DataFrame:
@@ -59,7 +57,9 @@ def _usable(dispatched: DataFrame) -> DataFrame:
 
 def _rank(catalog: Catalog) -> Column:
     # Accepted reads first, earliest ahead; without one, the latest read wins.
-    return F.when(accepted(catalog), F.col("attempt")).otherwise(2 * _LATE - F.col("attempt"))
+    good = accepted(catalog)
+    return F.struct((~good).alias("refused"),
+                    F.when(good, F.col("attempt")).otherwise(-F.col("attempt")).alias("turn"))
 
 
 def choose_attempt(dispatched: DataFrame, catalog: Catalog = CATALOG) -> DataFrame:
@@ -127,8 +127,11 @@ def _blocks_seen() -> Column:
 
 
 def drop_failed(dispatched: DataFrame) -> DataFrame:
-    """Reads of complete polls only."""
-    return dispatched.join(complete_polls(dispatched).select(*POLL), POLL, "left_semi")
+    """Reads of complete polls only; one pass, one shuffle. A poll without a stamp is one too."""
+    good = F.expr("CASE WHEN ok AND attempt < max_attempts THEN shiftleft(1L, block) END")
+    seen = F.bit_or(good).over(Window.partitionBy(*POLL, *DEVICE, "n_blocks"))
+    return (dispatched.withColumn("seen", seen)
+            .where(F.bit_count("seen") == F.col("n_blocks")).drop("seen"))
 
 
 def read_failures(dispatched: DataFrame, catalog: Catalog = CATALOG) -> DataFrame:

@@ -66,7 +66,7 @@ def write_polls(polls: DataFrame, path: str, mode: str = "append") -> None:
      .write.mode(mode).partitionBy("driver", "day").parquet(path))
 
 
-def dump(records: DataFrame, n: int = 20) -> None:
-    """Print records as indented JSON."""
-    (records.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("record"))
-     .show(n, truncate=False))
+def dump(records: DataFrame) -> None:
+    """Print all records as indented JSON; the driver holds one partition at a time."""
+    for row in records.select(F.to_json(F.struct("*"), {"pretty": "true"})).toLocalIterator():
+        print(row[0])

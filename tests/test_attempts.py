@@ -160,3 +160,11 @@ def test_attempt_stats(spark):
     rows = [("A", 1, 1, 0, False, None), ("A", 1, 1, 1, True, block(1)), ("A", 2, 1, 0, True, block(1))]
     (r,) = attempts.attempt_stats(reads(spark, *rows)).collect()
     assert (r.attempts, r.failed, r.last_attempt) == (3, 1, 1)
+
+
+def test_polls_without_a_stamp_are_kept_like_others(spark):
+    rows = full_poll(1) + full_poll(2, b3=None)
+    ds = (attempts.dispatch(reads(spark, *rows), devices(spark, ("A", INVERTER, True)))
+          .withColumn("poll_ts", F.lit(None).cast("timestamp")))
+    assert {r.poll_id for r in attempts.complete_polls(ds).collect()} == {1}
+    assert {(r.poll_id, r.block) for r in attempts.drop_failed(ds).collect()} == {(1, 1), (1, 2), (1, 3)}
