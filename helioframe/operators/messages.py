@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row
@@ -15,16 +17,23 @@ from helioframe.operators.registry import enabled
 log = logging.getLogger(__name__)
 
 
+def broker_key(brokers: DataFrame) -> list[str]:
+    """What tells brokers apart: numbers start anew in every configuration file."""
+    return [c for c in ("config", "broker") if c in brokers.columns]
+
+
 def fan_out(records: DataFrame, brokers: DataFrame) -> DataFrame:
     """Every record once per enabled broker.
 
     The brokers of a site are a short configured list. They enter as one array
     value that is exploded per record, so records neither shuffle nor join.
     """
+    key = broker_key(brokers)
     listed = enabled(brokers).agg(F.array_sort(F.collect_list(
-        F.struct("broker", "topic"))).alias("brokers"))
+        F.struct(*key, "topic"))).alias("brokers"))
+    names = {"config": "broker_config"}
     return records.withColumn("target", F.explode(listed.scalar())).select(
-        *[c for c in records.columns], F.col("target.broker").alias("broker"),
+        *[c for c in records.columns], *[F.col(f"target.{k}").alias(names.get(k, k)) for k in key],
         F.col("target.topic").alias("broker_topic"))
 
 
@@ -36,25 +45,27 @@ def build_messages(records: DataFrame, brokers: DataFrame) -> DataFrame:
 
 
 def deliver(records: DataFrame, brokers: DataFrame,
-            publish: Callable[[Row, DataFrame], None]) -> dict[int, bool]:
+            publish: Callable[[Row, DataFrame], None]) -> dict[int | tuple[str, int], bool]:
     """Hand each enabled broker the messages of all records, one try per broker.
 
     `publish(broker, messages)` gets a DataFrame and is expected to write it
     with a Spark writer or `foreachPartition`. A broker that fails is logged and
     the next one goes on. The loop is over the configured broker list; records
-    are decoded once and kept once, not once per broker.
+    are decoded once and kept once, not once per broker. The result has a key per
+    broker: its number, or (config, number) where brokers carry `config`.
     """
-    done = {}
+    done, names = {}, broker_key(brokers)
     records = records.persist(StorageLevel.DISK_ONLY)
     try:
-        for broker in enabled(brokers).orderBy("broker").toLocalIterator():
-            own = brokers.where(F.col("broker") == broker["broker"])
+        for broker in enabled(brokers).orderBy(*names).toLocalIterator():
+            own = brokers.where(reduce(and_, [F.col(k).eqNullSafe(F.lit(broker[k])) for k in names]))
+            key = tuple(broker[k] for k in names) if "config" in names else broker["broker"]
             try:
                 publish(broker, build_messages(records, own))
-                done[broker["broker"]] = True
+                done[key] = True
             except Exception:
-                log.exception("sending to broker %s failed", broker["broker"])
-                done[broker["broker"]] = False
+                log.exception("sending to broker %s failed", key)
+                done[key] = False
     finally:
         records.unpersist()
     return done

@@ -1,4 +1,4 @@
-"""Records to snapshot payloads, one JSON array per run."""
+"""Records to snapshot files, one JSON array per run."""
 
 from __future__ import annotations
 
@@ -9,47 +9,39 @@ from helioframe.functions import tags
 from helioframe.functions.host import UNKNOWN_SERIAL
 
 HOST_POSITION = 2_147_483_647  # after every registry position
+RUN = ["serial", "config", "minute", "file_name"]
 
 
-def package_snapshots(records: DataFrame, runs: DataFrame, devices: DataFrame, prefix: str,
-                      zone: str = "UTC", part_devices: int = 10_000) -> DataFrame:
-    """One row per run: its file name and all its records as a JSON array.
+def snapshot_entries(records: DataFrame, runs: DataFrame, prefix: str, zone: str = "UTC") -> DataFrame:
+    """The records of every run: `RUN` columns, position, poll_id and record.
 
     `records` has config, position, poll_ts, poll_id and record (see
-    `decode.records`), and serial where several loggers share a configuration
-    name. Records stand in registry order; the host record (position
-    `HOST_POSITION`) stands last. A run without records gives `[]`; records of
-    no listed run are packaged under the serial of an unknown host.
-
-    A run reads each device of its configuration once, so an array is bounded by
-    the registry. A configuration with more than `part_devices` devices is
-    divided by registry position into several files, each a valid array named
-    `...-p1`, `...-p2`, so no task holds a larger group. The host record of such
-    a run closes the first file.
-
-    Runs are grouped together with the records instead of joined to the arrays:
-    the texts cross the network once.
+    `decode.records`). Where it also has serial, a record belongs to the run of
+    that logger; otherwise to every run of its configuration and minute. A run
+    without records has one row, whose record is NULL. Records of no listed run
+    go under the serial of an unknown host.
     """
-    keys = [k for k in ("serial", "config") if k in records.columns] + ["minute", "part"]
-    last = devices.agg(F.coalesce(F.max("position"), F.lit(0))).first()[0]
-    part = F.expr(f"CASE WHEN position = {HOST_POSITION} THEN 0 "
-                  f"ELSE CAST(position DIV {part_devices} AS INT) END")
-    entries = (records.withColumns({"minute": tags.minute(F.col("poll_ts")), "part": part})
-               .withColumn("entry", F.struct("position", "poll_id", "record"))
-               .select(*keys, "entry"))
-    listed = runs.withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.lit(last // part_devices))))
-    packed = (entries.unionByName(listed, allowMissingColumns=True)
-              .groupBy(*keys).agg(
-                  F.max("serial").alias("run_serial"),
-                  F.array_sort(F.collect_list("entry")).alias("entries"))
-              .where("part = 0 OR size(entries) > 0"))
-    serial = F.coalesce("serial" if "serial" in keys else "run_serial", F.lit(UNKNOWN_SERIAL))
+    key = ["serial", "config", "minute"]
+    stamped = records.withColumn("minute", tags.minute(F.col("poll_ts")))
+    if "serial" not in records.columns:
+        stamped = stamped.join(runs.select(*key).distinct(), ["config", "minute"], "left")
+    found = stamped.select(F.coalesce("serial", F.lit(UNKNOWN_SERIAL)).alias("serial"), "config", "minute",
+                           "position", "poll_id", "record")
     name = tags.file_name(prefix, F.col("serial"), F.col("config"), F.col("minute"), zone)
-    later = F.concat(F.lit("-p"), F.col("part"), F.lit(".json.gz"))
+    return (found.unionByName(runs.select(*key).distinct(), allowMissingColumns=True)
+            .select(*key, name.alias("file_name"), "position", "poll_id", "record"))
+
+
+def package_snapshots(records: DataFrame, runs: DataFrame, prefix: str, zone: str = "UTC") -> DataFrame:
+    """One row per run: its file name and all its records as a JSON array.
+
+    Records stand in registry order, the host record (position `HOST_POSITION`)
+    last. A run without records gives `[]`. A run's records are held as one
+    array: for runs too large for that, `sinks.write_snapshot_files` writes the
+    entries one after the other.
+    """
+    entry = F.when(F.col("record").isNotNull(), F.struct("position", "poll_id", "record"))
+    packed = (snapshot_entries(records, runs, prefix, zone).groupBy(*RUN)
+              .agg(F.array_sort(F.collect_list(entry)).alias("entries")))
     payload = F.concat(F.lit("["), F.array_join(F.col("entries.record"), ","), F.lit("]"))
-    return packed.withColumn("serial", serial).select(
-        "serial", "config", "minute", "part",
-        F.when(F.col("part") == 0, name)
-        .otherwise(F.regexp_replace(name, r"\.json\.gz$", later)).alias("file_name"),
-        payload.alias("payload"))
+    return packed.select(*RUN, payload.alias("payload"))

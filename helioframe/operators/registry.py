@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helioframe.catalog import CATALOG, Catalog
 from helioframe.functions import tags
 
 
+def _lacking(entries: DataFrame) -> Column:
+    """Whether an entry lacks what it is known by."""
+    return reduce(or_, [F.col(c).isNull() for c in ("name", "driver", "topic") if c in entries.columns], F.lit(False))
+
+
 def enabled(entries: DataFrame) -> DataFrame:
-    """Entries switched on. A null switch is no switch: see `unusable_entries`."""
-    return entries.where("enabled")
+    """Entries switched on and whole; for the others that lack something see `unusable_entries`."""
+    return entries.where("enabled").where(~_lacking(entries))
 
 
 def unusable_entries(entries: DataFrame) -> DataFrame:
-    """Entries without an on/off switch, kept as rejects while the others go on."""
-    return entries.where("enabled IS NULL")
+    """Entries without an on/off switch, a name and driver, or a topic: rejects, while the others go on."""
+    return entries.where(F.col("enabled").isNull() | _lacking(entries))
 
 
 def device_listing(devices: DataFrame) -> DataFrame:

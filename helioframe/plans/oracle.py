@@ -154,6 +154,11 @@ RESOLVED = RECORD.replace("ok AND attempt < tries", """ok AND attempt < tries AN
 RUNS = """run AS (
   SELECT DISTINCT date_trunc('minute', ts) AS minute FROM events
   UNION SELECT date_trunc('minute', ts + INTERVAL 1 MINUTE) FROM events)"""
+PACKED = """packed AS (
+  SELECT date_trunc('minute', poll_ts) AS minute, count(*) AS records,
+         '[' || string_agg(record, ',' ORDER BY position, poll_id) || ']' AS payload
+  FROM record GROUP BY 1)"""
+LOGGERS = values([(s,) for s in tb.LOGGERS], "logger(serial)")
 STAMP = "strftime({ts} + INTERVAL 3 HOUR, '%Y%m%d%H%M')"
 
 DEVICES = f"""SELECT 'config' AS config, CAST(s_suppkey AS INT) AS position,
@@ -251,8 +256,9 @@ ORACLE: dict[str, str] = {
       SELECT poll_id, device_name, attempt, {METER_WORDS} FROM chosen WHERE block = 1""",
     "complete_polls": f"""WITH {FLEET}, {CHOSEN}, {POLL}
       SELECT poll_id, device_name, driver FROM poll""",
-    "drop_failed": f"""WITH {FLEET}, {CHOSEN}, {POLL} SELECT poll_id, device_name, block, attempt
-      FROM dispatched WHERE poll_id IN (SELECT poll_id FROM poll)""",
+    "drop_failed": f"""WITH {FLEET} SELECT poll_id, device_name, block, attempt FROM dispatched
+      QUALIFY bit_count(bit_or(CASE WHEN ok AND attempt < tries THEN 1 << block ELSE 0 END)
+                        OVER (PARTITION BY poll_id)) = n_blocks""",
     "read_failures": f"""WITH {FLEET} SELECT poll_id, device_name, block,
       count(CASE WHEN attempt < tries THEN 1 END) AS attempts FROM dispatched
       GROUP BY poll_id, device_name, block
@@ -304,14 +310,15 @@ ORACLE: dict[str, str] = {
     "parse_file_name": f"""SELECT event_id, printf('%X', user_id) AS serial,
       event_type || '_cfg' AS config, {STAMP.format(ts='ts')} AS stamp FROM events""",
     "record_json": f"WITH {RECORD} SELECT poll_id, record FROM record",
-    "snapshot_package": f"""WITH {RECORD}, {RUNS}, packed AS (
-        SELECT date_trunc('minute', poll_ts) AS minute,
-               '[' || string_agg(record, ',' ORDER BY position, poll_id) || ']' AS payload
-        FROM record GROUP BY 1)
-      SELECT '0badc0de' AS serial, 'config' AS config,
-        strftime(run.minute, '%Y-%m-%d %H:%M:%S') AS minute, 0 AS part,
-        '{q.PREFIX}_0badc0de_config_' || {STAMP.format(ts='run.minute')} || '.json.gz' AS file_name,
-        coalesce(payload, '[]') AS payload FROM run LEFT JOIN packed ON packed.minute = run.minute""",
+    "snapshot_package": f"""WITH {RECORD}, {RUNS}, {PACKED}
+      SELECT serial, 'config' AS config, strftime(run.minute, '%Y-%m-%d %H:%M:%S') AS minute,
+        '{q.PREFIX}_' || serial || '_config_' || {STAMP.format(ts='run.minute')} || '.json.gz' AS file_name,
+        coalesce(payload, '[]') AS payload
+      FROM run CROSS JOIN {LOGGERS} LEFT JOIN packed ON packed.minute = run.minute""",
+    "snapshot_files": f"""WITH {RECORD}, {RUNS}, {PACKED}
+      SELECT serial, 'config' AS config, {STAMP.format(ts='run.minute')} AS stamp,
+        CAST(coalesce(records, 0) AS INTEGER) AS records
+      FROM run CROSS JOIN {LOGGERS} LEFT JOIN packed ON packed.minute = run.minute""",
     "snapshot_read": f"SELECT * EXCLUDE (poll_id), CAST(NULL AS VARCHAR) AS _corrupt_record "
                      f"FROM ({decoded(q.STATION)})",
     "snapshot_long": f"SELECT * EXCLUDE (poll_id, driver) FROM ({long(FLEET)})",
@@ -328,6 +335,7 @@ ORACLE: dict[str, str] = {
     # Polls later than ten minutes before the last one are still open.
     "stream_assemble": long(single(q.INVERTER), CATALOG.only(q.INVERTER),
         "(SELECT * FROM poll WHERE poll_ts <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE)"),
-    "stream_snapshots": f"SELECT DISTINCT * EXCLUDE (poll_id) FROM ({decoded(q.STATION)})",
+    **{name: f"SELECT * EXCLUDE (poll_id), CAST(NULL AS VARCHAR) AS _corrupt_record "
+             f"FROM ({decoded(q.STATION)})" for name in ("stream_snapshots", "stream_snapshots_small_batches")},
     "stream_messages": f"WITH {RESOLVED} {MESSAGES}",
 }

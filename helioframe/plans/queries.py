@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from helioframe.functions import tags, words
 from helioframe.operators import attempts, decode, host, messages, package, registry
 from helioframe.plans import testbed as tb
 from helioframe.plans.shared import shared_folder
-from helioframe.sources.landed import read_registers, stream_registers
+from helioframe.sources.landed import read_host_samples, read_registers, stream_registers
 from helioframe.sources.registry import read_brokers, read_devices
 from helioframe.sources.snapshots import read_snapshots, read_snapshots_long
 
@@ -73,7 +74,7 @@ def broker_registry(spark, sf):
     path = shared_folder(spark, "brokers")
     tb.write_yaml(tb.brokers(spark, sf).withColumn("site", F.col("broker") % 2),
                   "servers", "site", "broker", path)
-    return read_brokers(spark, f"{path}/*/*.txt")
+    return read_brokers(spark, f"{path}/*/*.txt").drop("config")
 
 
 @query
@@ -131,7 +132,9 @@ def register_stream(spark, sf):
 
 @query
 def host_samples(spark, sf):
-    return tb.host_samples(spark, sf).select(
+    path = shared_folder(spark, "host-samples")
+    tb.host_samples(spark, sf).write.parquet(path)
+    return read_host_samples(spark, path).select(
         "host", _text("ts"), "cpu_temp_raw", "cpu_usage", "load1", "ram_cached", "ram_available",
         "disk_total", "disk_free")
 
@@ -403,13 +406,24 @@ def record_json(spark, sf):
 
 
 def _packages(spark: SparkSession, sf: str, records: DataFrame) -> DataFrame:
-    return package.package_snapshots(records, tb.runs(spark, sf), tb.devices(spark, sf), PREFIX, ZONE)
+    return package.package_snapshots(records, tb.runs(spark, sf, tb.LOGGERS[:1]), PREFIX, ZONE)
 
 
 @query
 def snapshot_package(spark, sf):
-    return _packages(spark, sf, _station_records(spark, sf)).select(
-        "serial", "config", _text("minute"), "part", "file_name", "payload")
+    return package.package_snapshots(
+        _station_records(spark, sf), tb.runs(spark, sf), PREFIX, ZONE).select(
+        "serial", "config", _text("minute"), "file_name", "payload")
+
+
+@query
+def snapshot_files(spark, sf):
+    path = shared_folder(spark, "snapshot-files")
+    sinks.write_snapshot_files(package.snapshot_entries(
+        _station_records(spark, sf), tb.runs(spark, sf), PREFIX, ZONE), path)
+    name = tags.parse_file_name(F.col("_metadata.file_name")).alias("name")
+    return (spark.read.text(path, wholetext=True).select(name, "value")
+            .select("name.*", F.size(F.from_json("value", "array<string>")).alias("records")))
 
 
 STATION_SCHEMA = ", ".join(
@@ -488,13 +502,32 @@ def stream_assemble(spark, sf):
         "stream-assemble")
 
 
+def _delivered_twice(spark: SparkSession, sf: str) -> str:
+    """A folder with the same snapshot files, by name, in two places."""
+    path = shared_folder(spark, "snapshots")
+    sinks.write_snapshot_files(package.snapshot_entries(
+        _station_records(spark, sf), tb.runs(spark, sf, tb.LOGGERS[:1]), PREFIX, ZONE), f"{path}/first")
+    files, root = fs.FileSystem.from_uri(path)
+    fs.copy_files(f"{root}/first", f"{root}/second", files, files)
+    return path
+
+
+def _records_of(stream: DataFrame) -> DataFrame:
+    return stream.drop("file_name", "line", "place", "read_ts")
+
+
 @query
 def stream_snapshots(spark, sf):
-    records = _station_records(spark, sf)
-    path = _written(spark, sf, records)
-    sinks.write_snapshots(_packages(spark, sf, records), path)  # the same files once more
-    return _table(spark, streaming.stream_snapshots(spark, path, STATION_SCHEMA),
-                  "stream-snapshots").drop("ts")
+    path = _delivered_twice(spark, sf)
+    return _records_of(_table(spark, streaming.stream_snapshots(spark, path, STATION_SCHEMA),
+                              "stream-snapshots"))
+
+
+@query
+def stream_snapshots_small_batches(spark, sf):
+    path = _delivered_twice(spark, sf)
+    return _records_of(_table(spark, streaming.stream_snapshots(
+        spark, path, STATION_SCHEMA, max_files=1000), "stream-snapshots-small"))
 
 
 @query

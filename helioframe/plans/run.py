@@ -13,7 +13,7 @@ from helioframe.functions import tags
 from helioframe.operators.attempts import assemble, dispatch
 from helioframe.operators.decode import records
 from helioframe.operators.messages import deliver
-from helioframe.operators.package import HOST_POSITION, package_snapshots
+from helioframe.operators.package import HOST_POSITION, snapshot_entries
 
 SINKS = ("console", "messages", "files")
 
@@ -35,12 +35,13 @@ def collect(reads: DataFrame, devices: DataFrame, hosts: DataFrame | None = None
     return found if hosts is None else found.unionByName(hosts)
 
 
-def run(found: DataFrame, runs: DataFrame, devices: DataFrame, prefix: str, path: str | None = None,
+def run(found: DataFrame, runs: DataFrame, prefix: str, path: str | None = None,
         brokers: DataFrame | None = None, publish: Callable | None = None,
         sinks: Iterable[str] = ("files",), zone: str = "UTC") -> None:
     """Send records to the chosen sinks. Leave out "files" for a dry run.
 
     Messages go out first, and a failing broker does not keep the files back.
+    Files are named by run, so a run that is repeated replaces its own.
     """
     unknown = set(sinks) - set(SINKS)
     if unknown:
@@ -50,4 +51,4 @@ def run(found: DataFrame, runs: DataFrame, devices: DataFrame, prefix: str, path
     if "messages" in sinks:
         deliver(found, brokers, publish)
     if "files" in sinks:
-        out.write_snapshots(package_snapshots(found, runs, devices, prefix, zone), path)
+        out.write_snapshot_files(snapshot_entries(found, runs, prefix, zone), path)

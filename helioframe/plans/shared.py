@@ -11,8 +11,12 @@ from pyspark.sql import SparkSession
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the cluster's `spark.checkpoint.dir`.
 
-    Only where the session names none, as in tests on one machine, it lies in
-    the local temporary folder.
+    Only where the session names none and runs on one machine, as in tests, it
+    lies in the local temporary folder; a cluster gets an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/helioframe-{purpose}-{uuid.uuid4().hex}"

@@ -190,13 +190,17 @@ def cpuinfo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("host", F.col("pos").alias("line_no"), F.col("col").alias("line")))
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run of the logger in the minute of every event and in the minute after.
+LOGGERS = ("0badc0de", "0badf00d")
+
+
+def runs(spark: SparkSession, sf_dir: str, serials: tuple[str, ...] = LOGGERS) -> DataFrame:
+    """A run of every logger in the minute of every event and in the minute after.
 
     Most of the latter have no records.
     """
     ts = as_instant(F.col("ts"))
     minutes = F.explode(F.array(ts, ts + F.expr("INTERVAL 1 MINUTE")))
     return (table(spark, sf_dir, "events").select(minutes.alias("ts"))
-            .select(F.lit("0badc0de").alias("serial"), F.lit("config").alias("config"),
-                    F.date_trunc("minute", "ts").alias("minute")).distinct())
+            .select(F.date_trunc("minute", "ts").alias("minute")).distinct()
+            .select(F.explode(F.array(*[F.lit(s) for s in serials])).alias("serial"),
+                    F.lit("config").alias("config"), "minute"))

@@ -6,7 +6,7 @@ DEVICES = (
 
 # Broker credentials are left out on purpose: they never enter a table.
 BROKERS = (
-    "broker int, topic string, ip_address string, port int, enabled boolean")
+    "config string, broker int, topic string, ip_address string, port int, enabled boolean")
 
 REGISTER_READS = (
     "device_name string, poll_id bigint, poll_ts timestamp, block int, attempt int, "

@@ -6,9 +6,9 @@ by its log.
 
 from __future__ import annotations
 
-import gzip
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, Row
@@ -28,23 +28,29 @@ def write_snapshots(packages: DataFrame, path: str, mode: str = "append") -> Non
      .write.mode(mode).option("compression", "gzip").partitionBy("config", "day").text(path))
 
 
-def write_snapshot_files(packages: DataFrame, path: str) -> None:
-    """Packages as one gzip file each, under its own `file_name`.
+def write_snapshot_files(entries: DataFrame, path: str) -> None:
+    """One gzip file per run, under its own name, from `package.snapshot_entries`.
 
-    For consumers that expect a file per run. Every task writes next to the
-    target and renames, so a repeated task replaces a file by the same content.
-    `path` has to be visible to all executors.
+    A run's entries arrive sorted and are written one after the other, so no task
+    holds a run. Every task writes next to the target and renames: a repeated task
+    or run replaces a file. `path` has to be visible to all executors.
     """
     def publish(rows: Iterator[Row]) -> None:
         target, root = fs.FileSystem.from_uri(path)
         target.create_dir(f"{root}/_temporary", recursive=True)
-        for row in rows:
+        for name, own in groupby(rows, lambda row: row["file_name"]):
             draft = f"{root}/_temporary/{uuid.uuid4().hex}"
-            with target.open_output_stream(draft, compression=None) as out:
-                out.write(gzip.compress(row["payload"].encode("utf-8")))
-            target.move(draft, f"{root}/{row['file_name']}")
-
-    packages.select("file_name", "payload").foreachPartition(publish)
+            with target.open_output_stream(draft, compression="gzip") as out:
+                before = b"["
+                for row in own:
+                    if row["record"] is not None:
+                        out.write(before + row["record"].encode("utf-8"))
+                        before = b","
+                out.write(b"[]" if before == b"[" else b"]")
+            target.move(draft, f"{root}/{name}")
+
+    (entries.select("file_name", "position", "poll_id", "record").repartition("file_name")
+     .sortWithinPartitions("file_name", "position", "poll_id").foreachPartition(publish))
 
 
 def write_measurements(records: DataFrame, path: str, ts: str = "poll_ts",

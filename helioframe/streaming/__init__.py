@@ -42,17 +42,22 @@ def stream_assemble(reads: DataFrame, devices: DataFrame, delay: str = "10 minut
     return decode_long(assemble(dispatch(waiting, devices, catalog), catalog), catalog)
 
 
-def stream_snapshots(spark: SparkSession, path: str, schema: str, delay: str = "10 minutes",
+def stream_snapshots(spark: SparkSession, path: str, schema: str, delay: str = "1 hour",
                      max_files: int | None = None) -> DataFrame:
-    """Records from snapshot files; a file that is delivered again adds nothing.
+    """Records from files named by run; one that is delivered again adds nothing.
 
-    Whole records are compared, so two different reads of one device in one
-    minute both stay. `max_files` bounds a micro-batch while catching up.
+    For files as `sinks.write_snapshot_files` writes them: names tell runs apart.
+
+    A record is known by file name, line and place, so equal records of two reads
+    both stay. Files known from earlier batches are left out by name; state only
+    keeps what was read within `delay` of the wall clock, for copies of a file in
+    one batch. Time is that of the batch, so no record is ever late and the rows
+    are the same for any `max_files`, which bounds a micro-batch while catching
+    up. Torn text is a row with `_corrupt_record`.
     """
-    records = (stream_snapshot_files(spark, path, schema, max_files=max_files)
-               .withColumn("ts", F.to_timestamp("Date", "yyyy-MM-dd'T'HH:mm:ssX"))
-               .withWatermark("ts", delay))
-    return records.dropDuplicatesWithinWatermark(records.columns)
+    records = (stream_snapshot_files(spark, path, schema, max_files)
+               .withColumn("read_ts", F.current_timestamp()).withWatermark("read_ts", delay))
+    return records.dropDuplicatesWithinWatermark(["file_name", "line", "place"])
 
 
 def stream_messages(records: DataFrame, brokers: DataFrame,

@@ -21,6 +21,6 @@ def reads(spark, *rows):
 
 
 def brokers(spark, *rows):
-    """Rows of (broker, topic, enabled)."""
-    return spark.createDataFrame([(b, t, "10.0.0.2", 1883, on) for b, t, on in rows],
+    """Rows of (broker, topic, enabled[, config])."""
+    return spark.createDataFrame([(r[3] if r[3:] else "mqtt", b, t, "10.0.0.2", 1883, on) for r in rows for b, t, on in [r[:3]]],
                                  schemas.BROKERS)

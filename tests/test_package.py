@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helioframe import schemas, sinks
 from helioframe.functions import tags
-from helioframe.operators.package import HOST_POSITION, package_snapshots
+from helioframe.operators.package import HOST_POSITION, package_snapshots, snapshot_entries
 from helioframe.plans import run
 from helioframe.sources.snapshots import read_snapshots, read_snapshots_long
 from fixtures import T0, brokers, devices, reads
@@ -41,40 +41,43 @@ def test_order_empty_run_and_unlisted_run(spark):
     packed = package_snapshots(
         records(spark, (5, 1, 0, record("E", 5)), (HOST_POSITION, 9, 0, record("H", 9)),
                 (0, 2, 0, record("A", 0)), (2, 3, 0, record("C", 2)), (1, 4, 7, record("B", 1))),
-        runs(spark, 0, 1), registry(spark), "site", "Asia/Riyadh")
+        runs(spark, 0, 1), "site", "Asia/Riyadh")
     got = {r.file_name: [x["Device_Name"] for x in json.loads(r.payload)] for r in packed.collect()}
     assert got == {"site_abc_config_202403011500.json.gz": ["A", "C", "E", "H"],
                    "site_abc_config_202403011501.json.gz": [],
                    "site_00000000_config_202403011507.json.gz": ["B"]}
 
 
-def test_a_large_configuration_is_divided_and_kept_whole(spark):
-    many = [(p, p, 0, record(f"D{p}", p)) for p in range(25)] + [
-        (HOST_POSITION, 99, 0, record("H", 1))]
-    packed = package_snapshots(records(spark, *many), runs(spark, 0), registry(spark, 25), "site", part_devices=10)
-    rows = sorted(packed.collect(), key=lambda r: r.part)
-    assert [r.file_name[-8:] for r in rows] == [".json.gz", ".json.gz", ".json.gz"]
-    assert [len(json.loads(r.payload)) for r in rows] == [11, 10, 5]
-    assert [x["v"] for r in rows for x in json.loads(r.payload) if x["Device_Name"] != "H"] == list(range(25))
-    names = spark.createDataFrame([(r.file_name,) for r in rows], "n string")
-    parsed = names.select(tags.parse_file_name(F.col("n")).alias("p")).select("p.*").distinct()
-    assert [tuple(r) for r in parsed.collect()] == [("abc", "config", "202403011200")]
+def test_a_large_configuration_is_one_file_written_in_order(spark, tmp_path):
+    many = [(p, p, 0, record(f"D{p}", p)) for p in range(25)] + [(HOST_POSITION, 99, 0, record("H", 1))]
+    sinks.write_snapshot_files(snapshot_entries(
+        records(spark, *many[::-1]), runs(spark, 0), "site"), str(tmp_path))
+    (path,) = tmp_path.glob("*.gz")
+    assert [x["Device_Name"] for x in json.loads(gzip.open(path).read())] == [
+        *[f"D{p}" for p in range(25)], "H"]
+
+
+def test_every_run_of_a_minute_is_kept(spark):
+    both = runs(spark, 0, 1).union(runs(spark, 0, 1).withColumn("serial", F.lit("def")))
+    packed = package_snapshots(records(spark, (0, 1, 0, record("A", 0))), both, "site")
+    assert sorted((r.serial, r.minute.minute, len(json.loads(r.payload))) for r in packed.collect()) == [
+        ("abc", 0, 1), ("abc", 1, 0), ("def", 0, 1), ("def", 1, 0)]
 
 
 def test_loggers_sharing_a_configuration_name(spark):
     rows = records(spark, (0, 1, 0, record("A", 0)), (1, 2, 0, record("B", 1)))
     rows = rows.withColumn("serial", F.expr("IF(poll_id = 1, 'abc', 'def')"))
     both = runs(spark, 0).union(runs(spark, 0).withColumn("serial", F.lit("def")))
-    packed = package_snapshots(rows, both, registry(spark), "site")
+    packed = package_snapshots(rows, both, "site")
     assert {(r.serial, json.loads(r.payload)[0]["Device_Name"]) for r in packed.collect()} == {
         ("abc", "A"), ("def", "B")}
 
 
 def test_records_and_runs_shuffle_once(spark):
-    packed = package_snapshots(records(spark, (0, 1, 0, record("A", 0))), runs(spark, 0),
-                               registry(spark), "site")
+    rows = records(spark, (0, 1, 0, record("A", 0))).withColumn("serial", F.lit("abc"))
+    packed = package_snapshots(rows, runs(spark, 0), "site")
     plan = packed._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert plan.count("Exchange") == 2 and "Join" not in plan  # runs are made distinct first
 
 
 @pytest.mark.parametrize("config, stem", [
@@ -93,7 +96,7 @@ def test_gzip_round_trip_with_empty_and_truncated(spark, tmp_path):
     path = str(tmp_path / "s")
     packed = package_snapshots(
         records(spark, (0, 1, 0, record("A", 1.5)), (1, 2, 0, record("B", -2.0)), (0, 3, 1, record("A", 3.0))),
-        runs(spark, 0, 1, 2), registry(spark), "site")
+        runs(spark, 0, 1, 2), "site")
     sinks.write_snapshots(packed, path)
     with gzip.open(f"{path}/torn.json.gz", "wt") as f:
         f.write('[{"Device_Name":"T","v":')
@@ -105,7 +108,7 @@ def test_gzip_round_trip_with_empty_and_truncated(spark, tmp_path):
 
 def test_named_files_like_a_single_logger_writes_them(spark, tmp_path):
     path = str(tmp_path / "named")
-    packed = package_snapshots(records(spark, (0, 1, 0, record("A", 1.5))), runs(spark, 0, 1), registry(spark), "site")
+    packed = snapshot_entries(records(spark, (0, 1, 0, record("A", 1.5))), runs(spark, 0, 1), "site")
     sinks.write_snapshot_files(packed, path)
     sinks.write_snapshot_files(packed, path)  # a repeated task changes nothing
     names = sorted(p.name for p in (tmp_path / "named").glob("*.gz"))
@@ -119,9 +122,14 @@ def test_mixed_records_read_long(spark, tmp_path):
     path = str(tmp_path / "mixed")
     sinks.write_snapshots(package_snapshots(records(
         spark, (0, 1, 0, record("A", 1.5)), (1, 2, 0, '{"Device_Name":"B","Date":"d","x":1,"y":"t"}')),
-        runs(spark, 0), registry(spark), "site"), path)
+        runs(spark, 0), "site"), path)
     got = {(r.Device_Name, r.field, r.value) for r in read_snapshots_long(spark, path).collect()}
     assert got == {("A", "v", "1.5"), ("B", "x", "1"), ("B", "y", "t")}
+    with gzip.open(f"{path}/torn.json.gz", "wt") as f:
+        f.write('[{"Device_Name":"T","v":')
+    torn = read_snapshots_long(spark, path).where("_corrupt_record IS NOT NULL").collect()
+    assert [(r.file_name, r.field, r._corrupt_record) for r in torn] == [
+        ("torn.json.gz", None, '[{"Device_Name":"T","v":')]
 
 
 def test_json_array_over_many_lines(spark, tmp_path):
@@ -153,14 +161,14 @@ def test_run_with_host_record_messages_and_dry_run(spark, tmp_path, capsys):
 
     bs = brokers(spark, (0, "down", True), (1, "up", True), (2, "off", False))
     path = str(tmp_path / "out")
-    run.run(found, runs(spark, 0), ds, "site", path, bs, publish, sinks=("console", "messages"))
+    run.run(found, runs(spark, 0), "site", path, bs, publish, sinks=("console", "messages"))
     assert sorted(sent) == [("up/A", "A"), ("up/B", "B"), ("up/HOST", "HOST")]
     assert '"record"' in capsys.readouterr().out
     assert not (tmp_path / "out").exists()
-    run.run(found, runs(spark, 0), ds, "site", path, sinks=("files",))
+    run.run(found, runs(spark, 0), "site", path, sinks=("files",))
     (line,) = spark.read.option("recursiveFileLookup", True).text(path).collect()
     assert [r["Device_Name"] for r in json.loads(line.value)] == ["A", "B", "HOST"]
     assert json.loads(line.value)[0]["Irradiation"] == 3.0
     with pytest.raises(ValueError):
-        run.run(found, runs(spark, 0), ds, "site", path, sinks=("file",))
+        run.run(found, runs(spark, 0), "site", path, sinks=("file",))
     assert T0.tzinfo is timezone.utc

@@ -1,7 +1,7 @@
 import pytest
 
-from helioframe.operators import registry
-from helioframe.sources.registry import read_brokers, read_devices
+from helioframe.operators import messages, registry
+from helioframe.sources.registry import read_brokers, read_devices, unreadable_registries
 
 DEVICES = """# site north
 devices:
@@ -70,7 +70,7 @@ def test_devices_agree_with_a_yaml_library(spark, folder):
 def test_brokers_without_credentials(spark, folder):
     brokers = read_brokers(spark, f"{folder}/mqtt.yml")
     assert [tuple(r) for r in brokers.orderBy("broker").collect()] == [
-        (0, "plant/a", "10.0.0.1", 1234, True), (1, "plant/b", "10.0.0.2", 1235, False)]
+        ("mqtt", 0, "plant/a", "10.0.0.1", 1234, True), ("mqtt", 1, "plant/b", "10.0.0.2", 1235, False)]
     assert [r.broker for r in registry.enabled(brokers).collect()] == [0]
 
 
@@ -85,3 +85,41 @@ def test_listing_and_versions(spark, folder):
         "INV_1 <--> inv_abb_pvs980 <--> 192.168.1.2 <--> 502 <--> 1")
     versions = {r.name: r.driver_version for r in registry.with_driver_version(devices).collect()}
     assert versions["INV_1"] == "ABB_PVS980_TCP v0.1"
+
+
+def test_brokers_of_two_files_get_their_own_messages(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.yml").write_text(f"servers:\n  - topic: {name}\n    enabled: yes\n")
+    brokers = read_brokers(spark, str(tmp_path))
+    sent = []
+    records = spark.createDataFrame([("D", "{}")], "Device_Name string, record string")
+    done = messages.deliver(records, brokers, lambda broker, batch: sent.extend(
+        (broker["config"], r.topic) for r in batch.collect()))
+    assert sent == [("a", "a/D"), ("b", "b/D")] and done == {("a", 0): True, ("b", 0): True}
+
+
+STYLES = {
+    "flow": "devices:\n  - {name: A, driver: d, enabled: yes}\n  - { name: 'B' , driver: d, enabled: 1 }  # last\n",
+    "inline": "devices: [{name: A, driver: d, enabled: on},\n  {name: B, driver: d, enabled: true}]\n",
+    "dash": "devices:\n  -\n    name: A\n    driver: d\n    enabled: yes\n  -\n    name: B\n    driver: d\n    enabled: yes\n",
+    "first": "servers:\n  - topic: t\n    enabled: yes\ndevices:\n- name: A\n  driver: d\n  enabled: yes\n- name: B\n  driver: d\n  enabled: yes\n",
+    "last": "---\ndevices:\n  - name: A\n    driver: d\n    enabled: yes\n  - name: B\n    driver: d\n    enabled: yes\nservers:\n  - topic: t\n    enabled: yes\n",
+}
+
+
+@pytest.mark.parametrize("style", STYLES)
+def test_every_style_of_list_and_sections(spark, tmp_path, style):
+    (tmp_path / "c.yml").write_text(STYLES[style])
+    rows = read_devices(spark, str(tmp_path)).orderBy("position").collect()
+    assert [(r.config, r.position, r.name, r.driver, r.enabled) for r in rows] == [
+        ("c", 0, "A", "d", True), ("c", 1, "B", "d", True)]
+
+
+def test_files_and_entries_that_give_nothing_are_rejects(spark, tmp_path):
+    (tmp_path / "none.yml").write_text("servers:\n  - topic: t\n    enabled: yes\n")
+    (tmp_path / "empty.yml").write_text("devices:\n")
+    (tmp_path / "bad.yml").write_text("devices:\n  - driver: d\n    enabled: yes\n  - name: B\n    enabled: yes\n")
+    assert sorted(r.config for r in unreadable_registries(spark, str(tmp_path), "devices").collect()) == [
+        "empty", "none"]
+    devices = read_devices(spark, str(tmp_path))
+    assert registry.unusable_entries(devices).count() == 2 and registry.enabled(devices).isEmpty()

@@ -1,12 +1,15 @@
+import gzip
 import json
 
+import pytest
+
 from helioframe import sinks, streaming
 from helioframe.catalog import CATALOG
 from helioframe.operators import attempts, decode
 from helioframe.sources.landed import stream_registers
 from fixtures import brokers, devices, reads
-from test_package import SCHEMA, record, records, registry, runs
-from helioframe.operators.package import package_snapshots
+from test_package import SCHEMA, record, records, runs
+from helioframe.operators.package import snapshot_entries
 
 INVERTER = "inv_abb_pvs800"
 SENSOR = "sensor_irradiation_akfen"
@@ -55,18 +58,23 @@ def test_stateless_decode_equals_batch(spark, tmp_path):
         ("A", p, float(p)) for p in range(5)]
 
 
-def test_replayed_snapshot_files_add_nothing(spark, tmp_path):
-    path = f"{tmp_path}/files"
-    packed = package_snapshots(records(
-        spark, (0, 1, 0, record("A", 1.5)), (0, 2, 0, record("A", 2.5))), runs(spark, 0, 1),
-        registry(spark), "s")
-    sinks.write_snapshots(packed, path)
-    sinks.write_snapshots(packed, path)
-    frame = streaming.stream_snapshots(spark, path, SCHEMA)
-    got = drain(spark, frame, tmp_path, "s")
-    assert sorted((r.Device_Name, r.v) for r in got.collect()) == [("A", 1.5), ("A", 2.5)]
-    sinks.write_snapshots(packed, path)
-    assert drain(spark, streaming.stream_snapshots(spark, path, SCHEMA), tmp_path, "s").count() == 2
+@pytest.mark.parametrize("max_files", [None, 1])
+def test_replayed_snapshot_files_add_nothing_and_equal_records_stay(spark, tmp_path, max_files):
+    # Minutes out of order, two equal reads in one of them, a torn file.
+    entries = snapshot_entries(records(
+        spark, (0, 1, 50, record("A", 1.5)), (0, 2, 50, record("A", 1.5)), (0, 3, 10, record("A", 2.5)),
+        (0, 4, 30, record("A", 3.5))), runs(spark, 10, 30, 50, 55), "s")
+    for place in ("one", "two"):
+        sinks.write_snapshot_files(entries, f"{tmp_path}/files/{place}")
+    with gzip.open(f"{tmp_path}/files/torn.json.gz", "wt") as f:
+        f.write('[{"Device_Name":"T","v":')
+    found = lambda: drain(spark, streaming.stream_snapshots(
+        spark, f"{tmp_path}/files", SCHEMA, max_files=max_files), tmp_path, "s")
+    got = found().collect()
+    assert sorted(r.v for r in got if r.Device_Name) == [1.5, 1.5, 2.5, 3.5]
+    assert [r._corrupt_record for r in got if r._corrupt_record] == ['[{"Device_Name":"T","v":']
+    sinks.write_snapshot_files(entries, f"{tmp_path}/files/three")
+    assert found().count() == 5
 
 
 def test_messages_per_batch_and_broker(spark, tmp_path):
