@@ -6,7 +6,8 @@ an entity as far as the corpus says that who reads the term can infer the
 entity: by pointwise mutual information, PMI = log2(N * joint / (df * de)), over
 the information of the entity itself, log2(N / de). `joint` counts the distinct
 contexts of the entity (the words around it) that hold the term, `de` all of
-them, `df` the texts of the whole corpus that hold the term, N all texts. A term
+them, `df` the different texts of the whole corpus that hold the term, N all
+different texts: copies count once on either side. A term
 that at least `LEAST` contexts of an entity hold, with a share of `REMOVE` or
 more, is removed near it; from `GENERALISE` on it is replaced by its kind.
 Copies of a passage are one context, so mere duplication reveals nothing.
@@ -165,9 +166,11 @@ def disclosing(rows: DataFrame, texts: DataFrame) -> DataFrame:
     joint = (near.select("entity", "context", F.explode("terms.term").alias("term")).distinct()
              .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= LEAST))
     terms = cut(joint.select("term").distinct().mapInArrow(term_hash, "term string, hash long"))
-    counted = (texts.mapInArrow(texts_with(bitmap(terms.select("hash"))), "hash long, n long")
+    keys = [F.xxhash64(F.lit(seed), "text").alias(f"t{seed}") for seed in (1, 2)]
+    different = texts.groupBy(*keys).agg(F.first("text").alias("text")).select("text")
+    counted = (different.mapInArrow(texts_with(bitmap(terms.select("hash"))), "hash long, n long")
                .groupBy("hash").agg(F.sum("n").alias("df")))
-    total = texts.count()
+    total = texts.select(*keys).distinct().count()
     de, df = F.col("de"), F.greatest("df", "joint")
     return (joint.join(per_entity, "entity").join(terms, "term").join(counted, "hash")
             .withColumn("share", F.log2(F.lit(float(total)) * F.col("joint") / (de * df))

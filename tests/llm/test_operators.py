@@ -258,6 +258,22 @@ def test_disclosing_terms(docs_of, odd):
     assert private.private_spans(docs_of([]), ["doc_id"]).count() == 0
 
 
+def added_terms(docs, rows):
+    """doc_id with the disclosing terms of its row, by their places."""
+    spans = {x.doc_id: x.spans for x in private.private_spans(docs, ["doc_id"]).collect()}
+    return {doc: [text[s.start:s.end] for s in spans[doc] if s.kind in ("term", "general")] for doc, text in rows}
+
+
+def test_copied_texts_hide_no_disclosing_term(docs_of):
+    r = random.Random(11)
+    talk = lambda: " ".join(f"w{r.randrange(9000)}" for _ in range(12))
+    texts = [f"{talk()} zorbley mails bob@x.org via {talk()}" for _ in range(3)]
+    rows = [(1000 + 10 * i + k, text) for i, text in enumerate(texts) for k in range(10)]
+    rows += [(i, f"{talk()} mails via {talk()}") for i in range(270)]
+    found = added_terms(docs_of(rows), rows)
+    assert all(found[doc] == ["zorbley"] * (doc >= 1000) for doc, _ in rows)
+
+
 def test_quality(spark, sf, documents):
     found = {r.doc_id: r for r in queries.op9_quality(spark, sf).collect()}
     for doc, text, *_ in documents:
