@@ -20,6 +20,7 @@ the task). All counts are groupings with partial sums.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helioframe.llm.shared import bitmap, cut, marked, schema_of
-from helioframe.llm.words import ALNUM, U, by_text, pieces
+from helioframe.llm.words import U, pieces
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of an entity that are its context.
@@ -43,6 +44,10 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 TERM = re.compile(r"[^\W_]+")
+#: A term's bytes, whatever they are, are one word.
+WHOLE = np.ones(256, bool)
+#: Terms that a task counts before it gives their counts out.
+FLUSH = 200_000
 
 
 def luhn(digits: str) -> bool:
@@ -127,31 +132,42 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array(spans, pa.list_(SPAN)), pa.array(found, FOUND)], [*keep, "spans", "found"])
 
 
+def terms_of(text: str) -> set[str]:
+    """The different terms of a text, each in lower case; finding and counting both use these."""
+    return {x.lower() for x in TERM.findall(text)}
+
+
+def hashes_of(terms: list[str]) -> np.ndarray:
+    """64 bits for each term."""
+    found = [np.zeros(0, U)] + [words.hashes() for _, _, words in pieces(pa.array(terms, pa.string()), WHOLE)]
+    return np.concatenate(found)
+
+
 def term_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the hash that `texts_with` gives a term."""
+    """Adds each term's hash."""
     for batch in batches:
-        hashes = np.zeros(batch.num_rows, U)
-        for at, to, words in pieces(batch.column("term"), ALNUM, lower=True):
-            hashes[at:to] = words.runs().hash(words.first[:-1], words.first[1:])
+        hashes = hashes_of(batch.column("term").to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array(hashes.view(np.int64))], ["term", "hash"])
 
 
 def texts_with(known: np.ndarray):
-    """(hash, n): in how many texts of a piece each marked term is."""
+    """(hash, n): in how many of some texts each marked term is."""
+
+    def out(counts: Counter) -> pa.RecordBatch:
+        hashes = hashes_of(list(counts))
+        n = np.fromiter(counts.values(), np.int64, len(counts))
+        keep = marked(known, hashes)
+        return pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(n[keep])], ["hash", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
         for batch in batches:
-            for _, _, words in pieces(batch.column("text"), ALNUM, lower=True):
-                places = np.arange(len(words.start))
-                hashes = words.runs().hash(places, places + 1)
-                keep = marked(known, hashes)
-                hashes, text = hashes[keep], words.text[keep]
-                order = by_text(text, hashes)
-                hashes, text = hashes[order], text[order]
-                new = np.ones(len(hashes), bool)
-                new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
-                found, n = np.unique(hashes[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["hash", "n"])
+            for text in batch.column("text"):
+                counts.update(terms_of(text.as_py() or ""))
+                if len(counts) >= FLUSH:
+                    yield out(counts)
+                    counts = Counter()
+        yield out(counts)
 
     return run
 
@@ -172,7 +188,7 @@ def disclosing(rows: DataFrame, texts: DataFrame) -> DataFrame:
                .groupBy("hash").agg(F.sum("n").alias("df")))
     total = texts.select(*keys).distinct().count()
     de, df = F.col("de"), F.greatest("df", "joint")
-    return (joint.join(per_entity, "entity").join(terms, "term").join(counted, "hash")
+    return (joint.join(per_entity, "entity").join(terms, "term").join(counted, "hash", "left")
             .withColumn("share", F.log2(F.lit(float(total)) * F.col("joint") / (de * df))
                         / F.greatest(F.log2(F.lit(float(total)) / de), F.lit(1e-9)))
             .where(F.col("share") >= GENERALISE).select("entity", "term", "share"))

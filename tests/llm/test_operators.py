@@ -274,6 +274,17 @@ def test_copied_texts_hide_no_disclosing_term(docs_of):
     assert all(found[doc] == ["zorbley"] * (doc >= 1000) for doc, _ in rows)
 
 
+def test_terms_beyond_ascii_disclose(docs_of):
+    r = random.Random(12)
+    talk = lambda: " ".join(f"w{r.randrange(9000)}" for _ in range(12))
+    rows = [(100 + i, f"{talk()} ‘Иван’ Élan—zorbley mails bob@x.org via {talk()}") for i in range(6)]
+    rows += [(200 + i, f"{talk()} «Große» große… amy@y.org {talk()}") for i in range(6)]
+    # The entity's term is common elsewhere, in capitals and next to marks.
+    rows += [(300 + i, f"{talk()} mails “GROßE” via {talk()}") for i in range(270)]
+    found = added_terms(docs_of(rows), rows)
+    assert all(found[doc] == ["Иван", "Élan", "zorbley"] * (doc < 200) for doc, _ in rows)
+
+
 def test_quality(spark, sf, documents):
     found = {r.doc_id: r for r in queries.op9_quality(spark, sf).collect()}
     for doc, text, *_ in documents:
