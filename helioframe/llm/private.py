@@ -4,17 +4,20 @@ The patterns find e-mail addresses, IP addresses, card and phone numbers. Every
 value found is a protected entity. A term (a word of letters or digits) reveals
 an entity as far as the corpus says that who reads the term can infer the
 entity: by pointwise mutual information, PMI = log2(N * joint / (df * de)), over
-the information of the entity itself, log2(N / de). `joint` counts the distinct
-contexts of the entity (the words around it) that hold the term, `de` all of
-them, `df` the different texts of the whole corpus that hold the term, N all
-different texts: copies count once on either side. A term
-that at least `LEAST` contexts of an entity hold, with a share of `REMOVE` or
-more, is removed near it; from `GENERALISE` on it is replaced by its kind.
-Copies of a passage are one context, so mere duplication reveals nothing.
-
-The first pass over the texts finds spans and contexts; the second counts texts
-for the terms in question only (a bitmap of fixed size drops all others inside
-the task). All counts are groupings with partial sums.
+the information of the entity itself, log2(N / de). All four count different
+texts, so copies count once: `joint` those that hold the entity and, anywhere,
+the term, `de` those that hold the entity, `df` those of the whole corpus that
+hold the term, N all. A term that is in texts of at least `LEAST` contexts of an
+entity (the `NEAR` words on either side), with a share of `REMOVE` or more, is
+removed wherever it stands in documents that hold the entity; from `GENERALISE`
+on it is replaced by its kind. A passage that is copied with its entity is one
+context, so mere duplication reveals nothing.
+
+The first pass over the texts finds spans and contexts. Entities of fewer than
+`LEAST` contexts can't be revealed; the terms of the other entities' texts are
+counted, first there, then in all texts (a bitmap of fixed size drops all others
+inside the task). A term too common for the largest entity is dropped before
+terms and entities are joined. All counts are groupings with partial sums.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from helioframe.llm.shared import bitmap, cut, marked, schema_of
 from helioframe.llm.words import U, pieces
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity that are its context.
+#: Words on either side of an entity that are its context, by which copied passages are known.
 NEAR = 8
 #: Contexts that must agree, and shares of the entity's information.
 LEAST, GENERALISE, REMOVE = 3, 0.8, 0.9
@@ -96,26 +99,35 @@ def entity(kind: str, value: str) -> str:
 
 
 def contexts(text: str, spans: list[tuple[int, str, int]]) -> list[dict]:
-    """Each entity with the terms around it, and one number for its context."""
-    taken = [(s, e) for s, _, e in spans]
+    """Each entity with the words around it."""
     found = []
     for start, kind, end in spans:
-        # Bounded slices: a context is words, and a longer word is no term.
+        # Bounded slices: a context only tells places apart.
         left, right = max(0, start - 40 * NEAR), min(len(text), end + 40 * NEAR)
-        before = list(TERM.finditer(text, left, start))[-NEAR:]
-        after = list(TERM.finditer(text, end, right))[:NEAR]
-        terms = [m for m in before + after if len(m[0]) > 2
-                 and not any(s < m.end() and m.start() < e for s, e in taken)]
-        found.append({"entity": entity(kind, text[start:end]), "context": " ".join(m[0].lower() for m in before + after),
-                      "terms": [{"term": m[0].lower(), "start": m.start(), "end": m.end()} for m in terms]})
+        around = TERM.findall(text, left, start)[-NEAR:] + TERM.findall(text, end, right)[:NEAR]
+        found.append({"entity": entity(kind, text[start:end]), "context": " ".join(around).lower()})
+    return found
+
+
+def free_terms(text: str) -> list[tuple[int, str, int]]:
+    """(start, term, end) of every term of three characters or more outside the base spans."""
+    found, taken, at = [], base_spans(text), 0
+    taken = sorted((s, e) for s, _, e in taken)
+    covered = 0
+    for m in TERM.finditer(text):
+        start, end = m.span()
+        while at < len(taken) and taken[at][0] < end:
+            covered = max(covered, taken[at][1])
+            at += 1
+        if end - start > 2 and covered <= start:
+            found.append((start, m[0].lower(), end))
     return found
 
 
 SPAN = pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())])
-FOUND = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.string()), ("terms", pa.list_(pa.struct(
-    [("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))]))
-SHAPE = ("spans array<struct<start: int, kind: string, end: int>>, found array<struct<entity: string, "
-         "context: string, terms: array<struct<term: string, start: int, end: int>>>>")
+FOUND = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.string())]))
+SHAPE = ("spans array<struct<start: int, kind: string, end: int>>, "
+         "found array<struct<entity: string, context: string>>")
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,11 +155,31 @@ def hashes_of(terms: list[str]) -> np.ndarray:
     return np.concatenate(found)
 
 
-def term_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds each term's hash."""
+def own_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t1, t2, hash) of every different term of a text that could be removed."""
     for batch in batches:
-        hashes = hashes_of(batch.column("term").to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array(hashes.view(np.int64))], ["term", "hash"])
+        places, terms = [], []
+        for i, text in enumerate(batch.column("text")):
+            own = {x for _, x, _ in free_terms(text.as_py())}
+            terms += own
+            places += [i] * len(own)
+        take = pa.array(places, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("t1").take(take), batch.column("t2").take(take),
+                                          pa.array(hashes_of(terms).view(np.int64))], ["t1", "t2", "hash"])
+
+
+def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t1, t2, added): the spans of all occurrences of a text's disclosing terms, `told`."""
+    for batch in batches:
+        added = []
+        for text, told in zip(batch.column("text"), batch.column("told")):
+            share = {x["hash"]: x["share"] for x in told.as_py()}
+            terms = free_terms(text.as_py())
+            hashes = hashes_of([x for _, x, _ in terms]).view(np.int64).tolist()
+            added.append([{"start": s, "kind": "term" if share[h] >= REMOVE else "general", "end": e}
+                          for (s, _, e), h in zip(terms, hashes) if h in share])
+        yield pa.RecordBatch.from_arrays([batch.column("t1"), batch.column("t2"), pa.array(added, pa.list_(SPAN))],
+                                         ["t1", "t2", "added"])
 
 
 def texts_with(known: np.ndarray):
@@ -172,55 +204,80 @@ def texts_with(known: np.ndarray):
     return run
 
 
-def disclosing(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """(entity, term, share) of the terms that reveal an entity.
+def different(texts: DataFrame) -> DataFrame:
+    """(t1, t2, text): each text once."""
+    return texts.groupBy("t1", "t2").agg(F.first("text").alias("text"))
+
+
+def disclosing(held: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
+    """(entity, hash, share) of the terms that reveal an entity.
 
-    `rows` has `found`, as `scan` gives it; terms are counted over all `texts`.
+    `held` has (entity, context, t1, t2, de), `own` has (t1, t2, hash) of those texts'
+    terms, which are counted over all `texts` (t1, t2, text).
     """
-    near = rows.select(F.explode("found").alias("f")).select("f.*").distinct()
-    per_entity = near.groupBy("entity").agg(F.countDistinct("context").alias("de"))
-    joint = (near.select("entity", "context", F.explode("terms.term").alias("term")).distinct()
-             .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= LEAST))
-    terms = cut(joint.select("term").distinct().mapInArrow(term_hash, "term string, hash long"))
-    keys = [F.xxhash64(F.lit(seed), "text").alias(f"t{seed}") for seed in (1, 2)]
-    different = texts.groupBy(*keys).agg(F.first("text").alias("text")).select("text")
-    counted = (different.mapInArrow(texts_with(bitmap(terms.select("hash"))), "hash long, n long")
+    some = cut(own.groupBy("hash").agg(F.count(F.lit(1)).alias("seen")).where(F.col("seen") >= LEAST))
+    counted = (different(texts).select("text").mapInArrow(texts_with(bitmap(some.select("hash"))), "hash long, n long")
                .groupBy("hash").agg(F.sum("n").alias("df")))
-    total = texts.select(*keys).distinct().count()
-    de, df = F.col("de"), F.greatest("df", "joint")
-    return (joint.join(per_entity, "entity").join(terms, "term").join(counted, "hash", "left")
-            .withColumn("share", F.log2(F.lit(float(total)) * F.col("joint") / (de * df))
-                        / F.greatest(F.log2(F.lit(float(total)) / de), F.lit(1e-9)))
-            .where(F.col("share") >= GENERALISE).select("entity", "term", "share"))
+    total, most = float(texts.select("t1", "t2").distinct().count()), held.agg(F.max("de")).first()[0]
+    # joint <= de, so a share of GENERALISE needs df <= de ^ GENERALISE * N ^ (1 - GENERALISE).
+    bound = lambda de: F.pow(de, F.lit(GENERALISE)) * F.lit(1.000001 * total ** (1 - GENERALISE))
+    known = cut(some.join(counted, "hash", "left").withColumn("df", F.greatest("df", "seen"))
+                .where(F.col("df") <= bound(F.lit(float(most)))).select("hash", "df"))
+    joint = (own.join(known, "hash").join(held, ["t1", "t2"]).where(F.col("df") <= bound(F.col("de")))
+             .groupBy("entity", "hash", "df", "de", "t1", "t2").agg(F.collect_set("context").alias("contexts")))
+    joint = (joint.withColumn("context", F.explode("contexts"))
+             .groupBy("entity", "hash", "df", "de").agg(
+                 F.countDistinct("t1", "t2").alias("joint"), F.countDistinct("context").alias("n"))
+             .where(f"n >= {LEAST}"))
+    return (joint.withColumn("share", F.log2(F.lit(total) * F.col("joint") / (F.col("de") * F.col("df")))
+                             / F.greatest(F.log2(F.lit(total) / F.col("de")), F.lit(1e-9)))
+            .where(F.col("share") >= GENERALISE).select("entity", "hash", "share"))
+
+
+def added_spans(rows: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """(t1, t2, added) of the texts with disclosing terms, or None where no entity has enough contexts."""
+    near = rows.select("t1", "t2", F.explode("found").alias("f")).select("t1", "t2", "f.*").distinct()
+    per_entity = (near.groupBy("entity").agg(F.countDistinct("t1", "t2").alias("de"),
+                                             F.countDistinct("context").alias("n"))
+                  .where(f"n >= {LEAST}").select("entity", "de"))
+    held = cut(near.join(per_entity, "entity"))
+    wanted = cut(held.select("t1", "t2").distinct())
+    if not wanted.take(1):
+        return None
+    some = cut(different(texts.join(wanted, ["t1", "t2"], "left_semi")))
+    own = cut(some.mapInArrow(own_terms, "t1 long, t2 long, hash long"))
+    told = (held.select("t1", "t2", "entity").distinct().join(disclosing(held, own, texts), "entity")
+            .groupBy("t1", "t2", "hash").agg(F.max("share").alias("share"))
+            .groupBy("t1", "t2").agg(F.collect_list(F.struct("hash", "share")).alias("told")))
+    return cut(some.join(told, ["t1", "t2"]).mapInArrow(
+        occurrences, "t1 long, t2 long, added array<struct<start: int, kind: string, end: int>>"))
 
 
 def private_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns `keep` and `spans`: all spans by start, kind and end, for every row.
 
     The kinds are email, ip, card, phone, then `general` and `term` for terms
-    near an entity that are to be generalised or removed; base spans always
-    stay. Places are code points, the end is exclusive. Kinds may overlap. Null
+    of a document with an entity that are to be generalised or removed, at every
+    place; base spans always stay. Places are code points, the end is exclusive. Kinds may overlap. Null
     and empty texts have no spans. Repeated rows get equal spans and add no
     evidence. An empty table stays empty.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     kept = [c for c in dict.fromkeys(keep) if c != "text"]
     schema = schema_of(docs, kept, SHAPE)
-    rows = cut(docs.select(*[f"`{c}`" for c in kept], text.alias("text")).mapInArrow(scan, schema)
-               .select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), "spans", "found",
-                       F.monotonically_increasing_id().alias("at")))
-    some = rows.where(F.size("spans") > 0)
-    told = disclosing(some, docs.select(text.alias("text")))
-    added = (some.select("at", F.explode("found").alias("f")).select("at", "f.entity", F.explode("f.terms").alias("t"))
-             .select("at", "entity", "t.*").join(told, ["entity", "term"])
-             .groupBy("at", "start", "end").agg(F.max("share").alias("share"))
-             .groupBy("at").agg(F.collect_list(F.struct(
-                 "start", F.when(F.col("share") >= REMOVE, "term").otherwise("general").alias("kind"), "end"))
-                 .alias("added")))
+    # The names t1 and t2 may be taken in `kept`, so its columns go into a struct first.
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+    keys = [F.xxhash64(F.lit(seed), text).alias(f"t{seed}") for seed in (1, 2)]
+    read = docs.select(row, *keys, text.alias("text"))
+    rows = cut(read.mapInArrow(scan, schema_of(read, ["row", "t1", "t2"], SHAPE)))
+    told = added_spans(rows.where(F.size("found") > 0), read.select("t1", "t2", "text"))
+    rows = rows.select("row", "t1", "t2", "spans")
+    rows = rows.withColumn("added", F.lit(None).cast("array<struct<start: int, kind: string, end: int>>")) \
+        if told is None else rows.join(told, ["t1", "t2"], "left")
     rank = lambda s: F.array_position(F.lit([*KINDS, "general", "term"]), s["kind"])
     order = lambda x, y: (F.when(x["start"] != y["start"], x["start"] - y["start"])
                           .otherwise((rank(x) - rank(y)).cast("int")))
-    return rows.join(added, "at", "left").select(
+    return rows.select(
         "row.*", F.when(F.col("added").isNull(), F.col("spans"))
         .otherwise(F.array_sort(F.concat("spans", "added"), order)).alias("spans"))
 

@@ -285,6 +285,19 @@ def test_terms_beyond_ascii_disclose(docs_of):
     assert all(found[doc] == ["Иван", "Élan", "zorbley"] * (doc < 200) for doc, _ in rows)
 
 
+def test_disclosing_terms_far_from_the_entity(docs_of):
+    r = random.Random(13)
+    talk = lambda n=30: " ".join(f"w{r.randrange(90000)}" for _ in range(n))
+    rows = [(100 + i, f"zorbley {talk()} {talk()} bob@x.org {talk()} Zorbley, {talk()}") for i in range(5)]
+    rows += [(200 + i, f"quibbler {talk(9 + i)} one copied passage of eight words stands before amy@y.org and then goes on for nine more words") for i in range(5)]
+    rows += [(300 + i, f"{talk()} mails via {talk()}") for i in range(270)]
+    found = added_terms(docs_of(rows), rows)
+    assert all([x.lower() for x in found[doc]] == ["zorbley"] * 2 * (doc < 200) for doc, _ in rows
+               if not 200 <= doc < 300)
+    # One copied passage is one context, however often it stands in other texts.
+    assert all(found[200 + i] == [] for i in range(5))
+
+
 def test_quality(spark, sf, documents):
     found = {r.doc_id: r for r in queries.op9_quality(spark, sf).collect()}
     for doc, text, *_ in documents:
