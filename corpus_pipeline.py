@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helioframe.llm import contamination, mixing, near_duplicates, quality, sharding
-from helioframe.llm.shared import cut
+from helioframe.llm.shared import cut, row_hashes
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -26,9 +26,12 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items go."""
     items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    bad = (contamination.decontaminate(docs, items, ["doc_id"]).where("contaminated")
-           .select("doc_id").distinct())
-    return docs.alias("d").join(bad.alias("b"), F.expr("d.doc_id <=> b.doc_id"), "left_anti")
+    # Rows are told apart by id and text: a null or repeated id condemns no other row.
+    ident = [h.alias(f"row{k}") for k, h in enumerate(row_hashes())]
+    bad = (contamination.decontaminate(docs.select("doc_id", "text", *ident), items, ["row0", "row1"])
+           .where("contaminated").select("row0", "row1").distinct())
+    return (docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *ident)
+            .join(bad, ["row0", "row1"], "left_anti").select("row.*"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

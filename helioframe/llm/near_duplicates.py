@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from helioframe.llm.components import components
-from helioframe.llm.shared import bitmap, cut, marked, schema_of
+from helioframe.llm.shared import bitmap, cut, marked, row_hashes, schema_of
 from helioframe.llm.words import BYTE_BASE, WORD_BASE, U, by_text, mix, pieces
 
 SHINGLE = 5
@@ -342,9 +342,25 @@ def near_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, all their columns, with the least doc_id of their group; one row each."""
-    first = (near_duplicates(docs, ["doc_id"]).where("doc_id <=> component_id").select("doc_id").distinct())
-    same = Window.partitionBy("d.doc_id", F.xxhash64("d.text")).orderBy(F.lit(0))
-    return (docs.alias("d").join(first.alias("f"), F.expr("d.doc_id <=> f.doc_id"), "left_semi")
-            .select(F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("row"),
-                    F.row_number().over(same).alias("turn")).where("turn = 1").select("row.*"))
+    """The documents, all their columns, one row of each group of near duplicates.
+
+    It is the one of least doc_id (a null one comes last), then of least hash of id and
+    text: rows are told apart by both, so a repeated or null doc_id decides nothing for
+    other rows. Texts without words are linked with nothing; of repeated rows one stays.
+    """
+    ident = row_hashes()
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    read = docs.select("doc_id", *ident, F.col("text").cast("string").alias("text"))
+    rows = cut(read.mapInArrow(describe, schema_of(read, ["doc_id", "id1", "id2"],
+                                                   "n long, node long, sketch binary, short array<long>")))
+    nodes = cut(rows.where("node IS NOT NULL").groupBy("node").agg(
+        F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "id1", "id2")).alias("least")))
+    found = linked(texts, nodes.select("node", "n", "sketch", "short"))
+    first = (nodes.select("node", "least").join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
+             .agg(F.min("least").alias("least")).select("least.id1", "least.id2")
+             .unionByName(rows.where("node IS NULL").select("id1", "id2")).distinct())
+    same = Window.partitionBy("id1", "id2").orderBy(F.lit(0))
+    return (docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *ident)
+            .join(first, ["id1", "id2"], "left_semi")
+            .select("row", F.row_number().over(same).alias("turn")).where("turn = 1").select("row.*"))

@@ -73,3 +73,9 @@ def marked(found: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def text_column(name: str = "text") -> Column:
     """The column as text; an empty text where there is none."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def row_hashes() -> list[Column]:
+    """id1 and id2: 128 bits that stand for a row's doc_id and text, null or not."""
+    return [F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), F.col("doc_id").cast("string"),
+                       F.col("text").isNull(), text_column()).alias(f"id{seed}") for seed in (1, 2)]

@@ -37,3 +37,22 @@ def test_repeated_rows_leave_one(docs_of):
     docs = docs_of([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (3, None)])
     from helioframe.llm.near_duplicates import one_of_each
     assert sorted(r.doc_id for r in one_of_each(docs).collect()) == [1, 3]
+
+
+def test_null_and_repeated_ids_decide_for_no_other_row(spark, docs_of, tmp_path):
+    item = " ".join(f"item{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, item), (None, "clean text one"), (None, "clean text two"), (4, item), (4, "clean text three"),
+            (5, "clean text four")]
+    docs = docs_of(rows)
+    kept = corpus_pipeline.clean(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(r.text for r in kept.collect()) == sorted(t for _, t in rows if t != item)
+
+    near = [" ".join(f"{k}w{i}" for i in range(60)) for k in range(3)]
+    rows = [(None, near[0]), (None, near[0] + " more"), (None, "a lone text without an id or a partner"),
+            (3, near[1]), (5, near[1] + " more"), (5, "another text that has no partner at all"),
+            (None, near[2]), (7, near[2] + " more")]
+    found = sorted((repr(r.doc_id), r.text) for r in corpus_pipeline.distinct(spark, docs_of(rows), "").collect())
+    assert len(found) == 5 and sum(t.startswith("0w") for _, t in found) == 1
+    assert {t for _, t in found if not t.startswith("0w")} == {rows[k][1] for k in (2, 3, 5, 7)}
