@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm import contamination, fuzzy_lines, mixing, near_duplicates, private, quality, repeats, revisits, sharding, token_counts
+from helioframe.llm import contamination, fuzzy_lines, mixing, near_duplicates, private, quality, repeats, revisits, sharding, token_counts, whitening
 from helioframe.llm.oracle import ORACLE  # noqa: F401
 from helioframe.llm.shared import WORD, cut, text_column
 
@@ -128,9 +128,12 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding on the first 16 components, each of unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), ["vec_id"])
+
+
 QUERIES = {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op3_substring_dedup": op3_substring_dedup,
            "op4_revisits": op4_revisits, "op5_sharding": op5_sharding, "op6_pii": op6_pii, "op7_token_counts": op7_token_counts,
            "op8_jaccard_join": op8_jaccard_join, "op9_quality": op9_quality,
-           "op10_fuzzy_lines": op10_fuzzy_lines}
-
-
+           "op10_fuzzy_lines": op10_fuzzy_lines, "op13_whitening": op13_whitening}

@@ -1,0 +1,104 @@
+"""Whitening against plain numpy, and the refinement on hard spectra."""
+
+import math
+
+import numpy as np
+import pytest
+
+from helioframe.llm import queries, whitening
+
+
+def plainly(rows):
+    """(id, component) -> what is exact, and the covariance, from rows of (id, vector)."""
+    grid = [(i, tuple(math.floor(64 * c) + 1_000_000 for c in v)) for i, v in rows
+            if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    fit = sorted({x for _, x in grid})
+    n, sums = len(fit), [sum(c) for c in zip(*fit)]
+    centred = np.array([[c * n - s for c, s in zip(x, sums)] for x in fit], float) / n
+    return grid, n, sums, centred.T @ centred / n
+
+
+def check(rows, found):
+    grid, n, sums, cov = plainly(rows)
+    k = min(16, len(sums))
+    assert len(found) == len(grid) * k and {r["n"] for r in found} == {n}
+    values = np.linalg.eigvalsh(cov)[::-1][:k]
+    want = sorted((repr(i), sum((n * c - s) ** 2 for c, s in zip(x, sums))) for i, x in grid for _ in range(k))
+    assert sorted((repr(r["vec_id"]), r["deviation"]) for r in found) == want
+    for r in found:
+        assert r["explained"] == pytest.approx(values[r["component"] - 1] / np.trace(cov), rel=1e-9)
+        assert r["identity_error"] < 1e-9
+
+
+def test_over_all_embeddings(spark, sf):
+    table = queries.table(spark, sf, "embeddings")
+    rows = [tuple(r) for r in table.select("vec_id", "embedding").collect()]
+    found = queries.op13_whitening(spark, sf).collect()
+    check(rows, found)
+    grid, n, sums, cov = plainly(rows)
+    values, vectors = np.linalg.eigh(cov)
+    got = {(r["vec_id"], r["component"]): r["whitened"] for r in found}
+    ids = [i for i, _ in grid]
+    x = np.array([[c - s / n for c, s in zip(v, sums)] for _, v in grid])
+    for k in range(1, 17):
+        mine = np.array([got[i, k] for i in ids])
+        plain = x @ vectors[:, -k] / math.sqrt(values[-k])
+        assert np.abs(mine - plain * np.sign(mine @ plain)).max() < 1e-8
+
+
+def test_odd_rows(spark):
+    rows = [(1, [0.5, 1.0, -2.0]), (1, [0.5, 1.0, -2.0]), (None, [0.25, 0.0, 3.0]), (2, None), (3, [None, 1.0, 2.0]),
+            (4, [float("nan"), 0.0, 0.0]), (5, [float("inf"), 0.0, 0.0]), (6, [1.0, 2.0, 0.125]),
+            (7, [0.1, 0.2, 0.3]), (8, [-5.0, 4.0, 1e3])] + [(9, [1.5, 1.5, 1.5])] * 40
+    schema = "vec_id long, embedding array<float>, n string, component string, x string, row string"
+    frame = lambda rs: spark.createDataFrame([(*r, "a", "b", "c", "d") for r in rs], schema)
+    found = whitening.whiten(frame(rows), ["vec_id", "n", "x", "row", "component"])
+    assert sorted(found.columns) == sorted(["vec_id", "x", "row", "component", "n", "deviation", "whitened",
+                                            "explained", "identity_error"])
+    rows32 = [(i, v and [c if c is None else float(np.float32(c)) for c in v]) for i, v in rows]
+    check(rows32, found.collect())
+    other = rows + [(10, [1.0, 2.0]), (11, [])]  # lengths that few have
+    assert len(whitening.whiten(frame(other), ["vec_id"]).collect()) == len(found.collect())
+    assert whitening.whiten(frame([]), ["vec_id"]).collect() == []
+    assert whitening.whiten(frame([(1, None), (2, [])]), ["vec_id"]).collect() == []
+
+
+def test_without_variance(spark):
+    """Equal vectors, and fewer distinct ones than dimensions."""
+    frame = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    found = whitening.whiten(frame, ["vec_id"]).collect()
+    assert len(found) == 4 and {(r["n"], r["deviation"], r["whitened"], r["explained"]) for r in found} == {(1, 0, None, None)}
+    frame = spark.createDataFrame([(1, [1.0, 2.0, 0.0]), (2, [3.0, 2.0, 0.0])], "vec_id long, embedding array<double>")
+    found = whitening.whiten(frame, ["vec_id"]).collect()
+    assert [abs(r["whitened"]) for r in found if r["component"] == 1] == pytest.approx([1, 1])
+    assert all(r["whitened"] is None for r in found if r["component"] > 1)
+
+
+def test_far_entries_stay_exact(spark):
+    rows = [(i, [float(i * 3 ** 19), -float(i) * 2 ** 31, float(i % 7)]) for i in range(1, 60)]
+    found = whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), ["vec_id"]).collect()
+    grid, n, sums, _ = plainly(rows)
+    want = {i: sum((n * c - s) ** 2 for c, s in zip(x, sums)) for i, x in grid}
+    assert all(r["deviation"] == (want[r["vec_id"]] if want[r["vec_id"]] < 2 ** 63 else None) for r in found)
+    assert all(r["identity_error"] < 1e-6 for r in found)
+
+
+@pytest.mark.parametrize("values", [
+    [5, 4, 3, 2, 1], [1, 1, 1, 1, 1], [1, 1 + 1e-9, 1 + 2e-9, 3, 3 + 1e-12], [1e6, 1, 1 + 1e-8, 1e-3, 1e-3 + 1e-13],
+    [1, 1e-5, 1e-10, 0, 0], list(np.linspace(1, 1 + 1e-6, 12)), [2 - 1e-7 * (i // 3) for i in range(12)]])
+def test_refinement(values):
+    """Eigenvectors satisfy A x = e x far beyond float32, clusters or not."""
+    d = len(values)
+    q, _ = np.linalg.qr(np.random.default_rng(d).normal(size=(d, d)))
+    q = q.astype(np.longdouble)
+    for _ in range(3):  # orthogonal in extended precision
+        q = q @ (3 * np.eye(d, dtype=np.longdouble) - q.T @ q) / 2
+    a = q @ np.diag(np.array(values, np.longdouble)) @ q.T
+    a = (a + a.T) / 2
+    got, x = whitening.eigen(a)
+    assert np.abs(np.sort(got) - np.sort(np.array(values, np.longdouble))).max() < 1e-16 * max(values)
+    assert np.abs(x.T @ x - np.eye(d)).max() < 1e-16 * d
+    assert np.abs(a @ x - x * got).max() < 1e-16 * max(values) * d
+    # float32 alone is far from it
+    _, rough = np.linalg.eigh(a.astype(np.float32))
+    assert np.abs(rough.T.astype(float) @ rough - np.eye(d)).max() > 1e-9
