@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm import contamination, fuzzy_lines, mixing, near_duplicates, private, quality, repeats, revisits, sharding, token_counts, whitening
+from helioframe.llm import contamination, fuzzy_lines, hard_negatives, mixing, near_duplicates, private, quality, repeats, revisits, sharding, token_counts, whitening
 from helioframe.llm.oracle import ORACLE  # noqa: F401
 from helioframe.llm.shared import WORD, cut, text_column
 
@@ -128,6 +128,16 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For a hundredth of the embeddings and their nearest of one label, the nearest of others in a window."""
+    entry = lambda c: c.cast("double")
+    usable = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(entry(c)) & (F.abs(entry(c)) < float("inf")))
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.when(usable, F.transform("embedding", lambda c: F.floor(entry(c) * 256.0))).alias("x"))
+    return hard_negatives.mine(rows, F.col("x"), F.col("vec_id") % 100 == 0)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable embedding on the first 16 components, each of unit variance."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"), ["vec_id"])
@@ -136,4 +146,5 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op3_substring_dedup": op3_substring_dedup,
            "op4_revisits": op4_revisits, "op5_sharding": op5_sharding, "op6_pii": op6_pii, "op7_token_counts": op7_token_counts,
            "op8_jaccard_join": op8_jaccard_join, "op9_quality": op9_quality,
-           "op10_fuzzy_lines": op10_fuzzy_lines, "op13_whitening": op13_whitening}
+           "op10_fuzzy_lines": op10_fuzzy_lines, "op12_hard_negatives": op12_hard_negatives,
+           "op13_whitening": op13_whitening}
