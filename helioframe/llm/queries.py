@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm import contamination, fuzzy_lines, hard_negatives, mixing, near_duplicates, private, quality, repeats, revisits, sharding, token_counts, whitening
+from helioframe.llm import contamination, fuzzy_lines, hard_negatives, mixing, near_duplicates, private, quality, repeats, revisits, sharding, templates, token_counts, whitening
 from helioframe.llm.oracle import ORACLE  # noqa: F401
 from helioframe.llm.shared import WORD, cut, text_column
 
@@ -128,6 +128,11 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return templates.main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For a hundredth of the embeddings and their nearest of one label, the nearest of others in a window."""
     entry = lambda c: c.cast("double")
@@ -146,5 +151,6 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op3_substring_dedup": op3_substring_dedup,
            "op4_revisits": op4_revisits, "op5_sharding": op5_sharding, "op6_pii": op6_pii, "op7_token_counts": op7_token_counts,
            "op8_jaccard_join": op8_jaccard_join, "op9_quality": op9_quality,
-           "op10_fuzzy_lines": op10_fuzzy_lines, "op12_hard_negatives": op12_hard_negatives,
+           "op10_fuzzy_lines": op10_fuzzy_lines, "op11_html_extraction": op11_html_extraction,
+           "op12_hard_negatives": op12_hard_negatives,
            "op13_whitening": op13_whitening}
