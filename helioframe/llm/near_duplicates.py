@@ -21,12 +21,14 @@ a block that a third of all nodes share is few rows in any task. Pairs are
 filtered by the Hamming distance of a bit sketch of two to four bits per
 shingle, then verified on the whole sets.
 
-*The rest.* Only nodes of different components can still add a link. Such a node
-agrees with a similar one in `spare` blocks, so it may leave out all but that
-many of its blocks but one: it looks into its rarest blocks only, at nodes of
-larger components. A node that shares fewer blocks than that has no link left to
-find; that is what ends the work for passages that many texts have in common.
-With those pairs tested the components are exact.
+*The rest.* Only nodes of different components can still add a link. A node that
+shares fewer than `spare` blocks with nodes of other components has no link left
+to find. The others give out all their blocks once more, `FINE` times as many and
+so small that most hold one hash. Similar nodes then agree in all but a quarter of
+them, which half a text in common does not: nodes that share fewer drop out, twice,
+and who stays may leave out as many shared blocks as must agree, but one. It looks
+into its rarest blocks only, at nodes of larger components. With those pairs tested
+the components are exact.
 """
 
 from __future__ import annotations
@@ -40,12 +42,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from helioframe.llm.components import components
-from helioframe.llm.shared import bitmap, cut, marked, row_hashes, schema_of
+from helioframe.llm.shared import cut, packed, row_hashes, schema_of, text_column, text_hashes, unpacked
 from helioframe.llm.words import BYTE_BASE, WORD_BASE, U, by_text, mix, pieces
+from helioframe.operators.lookup import is_small
 
 SHINGLE = 5
 #: Similarity at least 80 / 100.
 PERCENT = 80
+#: Blocks for each hash of a band's largest set, for nodes that the stars left apart.
+FINE = 4
 #: Keys are joined to their least node within about so many.
 FLUSH = 500_000
 #: Numbers of 64 bits of the short sketch that joins compare.
@@ -132,25 +137,29 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                pa.array(short, pa.list_(pa.int64()))], [*keep, "n", "node", "sketch", "short"])
 
 
-def block_keys(sets: Sets, texts: np.ndarray, band: np.ndarray, wanted: np.ndarray,
+def block_keys(sets: Sets, texts: np.ndarray, band: np.ndarray, wanted: np.ndarray | None = None,
                ) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the first `wanted` blocks of the given texts, and the text of each."""
+    """Keys of the first `wanted` blocks of the given texts, or of all their fine blocks, and the text of each."""
     if not len(texts):
         return np.zeros(0, U), np.zeros(0, np.int64)
     sizes = sets.size[texts]
     take = np.repeat(sets.first[texts] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) \
         + np.arange(sizes.sum())
     hashes, at = sets.hash[take], np.repeat(np.arange(len(texts)), sizes)
-    blocks = BLOCKS[band]
+    blocks = FINE * BANDS[band + 1] if wanted is None else BLOCKS[band]
     block = ((hashes >> U(32)) * blocks[at].astype(U)) >> U(32)
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1]) | (block[1:] != block[:-1])
     opens = np.flatnonzero(new)
     parity = np.bitwise_xor.reduceat(mix(hashes ^ U(WORD_BASE)), opens)
     at, block = at[opens], block[opens]
-    counts = np.bincount(at, minlength=len(texts))
-    rank = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
-    for i in np.flatnonzero(counts < wanted):  # few: sets whose hashes crowd in few blocks
+    if wanted is None:
+        wanted = np.zeros(len(texts), np.int64)
+        rank = np.full(len(at), -1)
+    else:
+        counts = np.bincount(at, minlength=len(texts))
+        rank = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+    for i in np.flatnonzero(counts < wanted) if wanted.any() else ():  # few: sets whose hashes crowd in few blocks
         empty = np.setdiff1d(np.arange(blocks[i], dtype=U), block[at == i])
         at = np.concatenate([at, np.full(len(empty), i)])
         block = np.concatenate([block, empty])
@@ -163,14 +172,19 @@ def block_keys(sets: Sets, texts: np.ndarray, band: np.ndarray, wanted: np.ndarr
     return (key & ~U(1)) | (band[at].astype(U) & U(1)), texts[at]
 
 
-def keys_of(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
-    """All (key, node) of a piece: blocks of a set's band, and of the band below where
-    a smaller set of that band can be similar."""
+def banded(sets: Sets) -> tuple[np.ndarray, ...]:
+    """(texts, sizes, bands) of a piece's sets, and which of them reach a smaller set of the band below."""
     fit = np.flatnonzero(sets.size >= BANDS[0])
     n = sets.size[fit]
     band = np.searchsorted(BANDS, n, "right") - 1
+    return fit, n, band, (band > 0) & (PERCENT * n <= 100 * (BANDS[band] - 1))
+
+
+def keys_of(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
+    """All (key, node) of a piece: blocks of a set's band, and of the band below where
+    a smaller set of that band can be similar."""
+    fit, n, band, low = banded(sets)
     own = block_keys(sets, fit, band, n // 4 + spare(n))
-    low = (band > 0) & (PERCENT * n <= 100 * (BANDS[band] - 1))
     below = block_keys(sets, fit[low], band[low] - 1, 2 * n[low] // 9 + spare(n[low]))
     return (np.concatenate([own[0], below[0]]).view(np.int64),
             sets.node[np.concatenate([own[1], below[1]])])
@@ -205,25 +219,40 @@ def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(parts)
 
 
-def sets_of(needed: np.ndarray):
-    """(node, set) of the texts whose node the bitmap may hold, each node once per batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: set[int] = set()
-            for _, _, words in pieces(batch.column("text"), lower=True):
-                sets = Sets(words)
-                node, hashes = [], []
-                for i in np.flatnonzero(marked(needed, sets.node.view(U)) & (sets.size > 0)):
-                    if (x := int(sets.node[i])) not in seen:
-                        seen.add(x)
-                        node.append(x)
-                        hashes.append(sets.of(i).tobytes())
-                if node:
-                    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(hashes, pa.binary())],
-                                                     ["node", "hashes"])
-
-    return run
+def fine_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, need): all fine blocks, and how many of them agree with a similar node's at least."""
+    for batch in batches:
+        for _, _, words in pieces(batch.column("text"), lower=True):
+            sets = Sets(words)
+            fit, n, band, low = banded(sets)
+            own, below = block_keys(sets, fit, band), block_keys(sets, fit[low], band[low] - 1)
+            # Sets of a and b hashes differ in (a + b) / 9 at most, and a larger one has 5 / 4 as many.
+            spoilt = np.zeros(words.n, np.int64)
+            spoilt[fit] = n // 4
+            need = [np.bincount(own[1], minlength=words.n) - spoilt]
+            spoilt[fit] = 2 * n // 9
+            need.append(np.bincount(below[1], minlength=words.n) - spoilt)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([own[0], below[0]]).view(np.int64)),
+                 pa.array(sets.node[np.concatenate([own[1], below[1]])]),
+                 pa.array(np.concatenate([need[0][own[1]], need[1][below[1]]]).astype(np.int32))], ["key", "node", "need"])
+
+
+def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, hashes) of the texts, each node once per batch."""
+    for batch in batches:
+        seen: set[int] = set()
+        for _, _, words in pieces(batch.column("text"), lower=True):
+            sets = Sets(words)
+            node, hashes = [], []
+            for i in np.flatnonzero(sets.size > 0):
+                if (x := int(sets.node[i])) not in seen:
+                    seen.add(x)
+                    node.append(x)
+                    hashes.append(sets.of(i).tobytes())
+            if node:
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(hashes, pa.binary())],
+                                                 ["node", "hashes"])
 
 
 def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,6 +280,12 @@ def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(fit))
 
 
+def texts_of(texts: DataFrame, nodes: DataFrame, some: DataFrame) -> DataFrame:
+    """The texts that stand for some nodes; only those reach Python."""
+    wanted = cut(nodes.join(some, "node", "left_semi").select("t1", "t2"))
+    return texts.join(F.broadcast(wanted) if is_small(wanted) else wanted, ["t1", "t2"], "left_semi").select("text")
+
+
 def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Which of the distinct pairs (a, b) are similar: by sketch, then by whole sets."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"),
@@ -259,8 +294,8 @@ def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     if not near.take(1):
         return near
     ends = cut(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
-    sets = cut(texts.mapInArrow(sets_of(bitmap(ends)), "node long, hashes binary")
-               .join(ends, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
+    sets = cut(texts_of(texts, nodes, ends).mapInArrow(sets_of, "node long, hashes binary")
+               .groupBy("node").agg(F.first("hashes").alias("hashes")))
     one = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}"))
     return cut(near.join(one("a"), "a").join(one("b"), "b").mapInArrow(similar, "a long, b long"))
 
@@ -269,9 +304,22 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def in_band():
+    """A node's keys of one band."""
+    return Window.partitionBy("node", F.col("key").bitwiseAND(F.lit(1)))
+
+
+def enough(fine: DataFrame) -> DataFrame:
+    """Keys with nodes of several components, of nodes that share as many of them as they need."""
+    crowd = (fine.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"), F.min("group").alias("least"),
+                                     F.max("group").alias("largest")).where("least < largest").drop("least"))
+    return (fine.drop("crowd", "largest", "shared").join(crowd, "key")
+            .withColumn("shared", F.count(F.lit(1)).over(in_band())).where("shared >= need"))
+
+
 def linked(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, root) of all nodes with a link, over texts and their distinct nodes."""
-    stars = cut(texts.mapInArrow(block_rows, "key long, node long, hub long")
+    """(node, root) of all nodes with a link, over texts (t1, t2, text) and their distinct nodes."""
+    stars = cut(texts.select("text").mapInArrow(block_rows, "key long, node long, hub long")
                 .withColumn("hub", F.coalesce("hub", F.first("node").over(
                     Window.partitionBy("key", "hub").orderBy("node"))))
                 .where("node <> hub"))
@@ -294,17 +342,16 @@ def linked(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     known = (nodes.select("node", "n", "short").join(found, "node", "left").join(sizes, "root", "left")
              .select("node", "n", "short", F.struct(F.coalesce("size", F.lit(1)).alias("size"),
                                            F.coalesce("root", "node").alias("root")).alias("group")))
-    members = cut(stars.select("key", "node").union(stars.select("key", "hub"))
-                  .join(apart, "key", "left_semi").distinct().join(known, "node"))
-    crowd = members.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"), F.max("group").alias("largest"))
-    own = Window.partitionBy("node", F.col("key").bitwiseAND(F.lit(1)))
+    members = (stars.select("key", "node").union(stars.select("key", "hub")).join(apart, "key", "left_semi").distinct()
+               .groupBy("node", F.col("key").bitwiseAND(F.lit(1)).alias("band")).agg(F.count(F.lit(1)).alias("shared")))
     # A similar node may be a fifth smaller, and then spares as many blocks as its size says.
-    looking = (members.join(crowd, "key").withColumns({
-        "shared": F.count(F.lit(1)).over(own), "place": F.row_number().over(own.orderBy("crowd", "key"))})
-        .where(F.col("place") <= F.col("shared") - (2 + F.floor(F.col("n") / 20)) + 1)
-        .where("group < largest"))
+    held = cut(members.join(nodes.select("node", "n"), "node").where("shared >= 2 + n div 20").select("node").distinct())
+    fine = (texts_of(texts, nodes, held).mapInArrow(fine_rows, "key long, node long, need int").distinct()
+            .join(held, "node", "left_semi").join(known, "node"))
+    fine = cut(enough(cut(enough(fine))).withColumn("place", F.row_number().over(in_band().orderBy("crowd", "key"))))
+    looking = fine.where("place <= shared - need + 1 AND group < largest")
     apart_by = " + ".join(f"bit_count(x.short[{i}] ^ y.short[{i}])" for i in range(SHORT))
-    pairs = (looking.alias("x").join(members.alias("y"), F.expr(
+    pairs = (looking.alias("x").join(fine.alias("y"), F.expr(
         f"x.key = y.key AND x.group < y.group AND 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)"
         f" AND {apart_by} <= (x.n + y.n) div 9"))
              .select(*_pair("x.node", "y.node")).distinct().join(tried, ["a", "b"], "left_anti"))
@@ -313,6 +360,15 @@ def linked(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return components(stars_found.unionByName(rest)) if rest.take(1) else found
 
 
+def described(read: DataFrame, keep: list[str], least) -> tuple[DataFrame, DataFrame]:
+    """The rows of (..., t1, t2, text) with their sets' nodes, and the different nodes."""
+    rows = cut(read.mapInArrow(describe, schema_of(read, [*keep, "t1", "t2"], "n long, node long, sketch binary, short array<long>")))
+    one = F.min_by(F.struct("n", "sketch", "short", "t1", "t2"), F.struct("t1", "t2"))  # of the texts of one set
+    nodes = cut(rows.where("node IS NOT NULL").groupBy("node").agg(one.alias("one"), least.alias("least"))
+                .select("node", "one.*", "least"))
+    return rows.select(*keep, "n", "node"), nodes
+
+
 def near_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns `keep`, `n_shingles` and `component_id`, for every row.
 
@@ -321,23 +377,19 @@ def near_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
     with nothing and is its own component. Two texts link at a Jaccard similarity
     of 0.8 or more; component_id is the least doc_id that links reach. Repeated
     rows and equal texts link; rows with a null doc_id link but name no component
-    (null where no linked row has an id). An empty table stays empty.
+    (null where no linked row has an id). Kept columns named as results give way to
+    them. An empty table stays empty.
     """
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    kept = list(dict.fromkeys(["doc_id", *keep]))
-    read = docs.select(*[f"`{c}`" for c in kept if c != "text"], F.col("text").cast("string").alias("text"))
-    schema = schema_of(read, [c for c in kept if c != "text"],
-                       "n long, node long, sketch binary, short array<long>")
-    rows = cut(read.mapInArrow(describe, schema))
-    nodes = cut(rows.where("node IS NOT NULL").groupBy("node").agg(
-        F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"), F.min("doc_id").alias("least")))
-    found = linked(texts, nodes.select("node", "n", "sketch", "short"))
+    kept, row = packed(keep, ("n_shingles", "component_id"))
+    read = docs.select(row, "doc_id", *text_hashes(text_column()), text_column().alias("text"))
+    rows, nodes = described(read, ["row", "doc_id"], F.min("doc_id"))
+    found = linked(read.select("t1", "t2", "text"), nodes.drop("least"))
     rooted = (nodes.select("node", "least").join(found, "node", "left")
               .withColumn("root", F.coalesce("root", "node")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("node", "root").join(least, "root").select("node", "component_id")
     return rows.join(named, "node", "left").select(
-        *[f"`{c}`" for c in keep if c != "text"], F.col("n").alias("n_shingles"),
+        *unpacked(kept), F.col("n").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
@@ -349,14 +401,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     other rows. Texts without words are linked with nothing; of repeated rows one stays.
     """
     ident = row_hashes()
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    read = docs.select("doc_id", *ident, F.col("text").cast("string").alias("text"))
-    rows = cut(read.mapInArrow(describe, schema_of(read, ["doc_id", "id1", "id2"],
-                                                   "n long, node long, sketch binary, short array<long>")))
-    nodes = cut(rows.where("node IS NOT NULL").groupBy("node").agg(
-        F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"),
-        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "id1", "id2")).alias("least")))
-    found = linked(texts, nodes.select("node", "n", "sketch", "short"))
+    read = docs.select("doc_id", *ident, *text_hashes(text_column()), text_column().alias("text"))
+    rows, nodes = described(read, ["doc_id", "id1", "id2"], F.min(
+        F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "id1", "id2")))
+    found = linked(read.select("t1", "t2", "text"), nodes.drop("least"))
     first = (nodes.select("node", "least").join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
              .agg(F.min("least").alias("least")).select("least.id1", "least.id2")
              .unionByName(rows.where("node IS NULL").select("id1", "id2")).distinct())

@@ -75,6 +75,23 @@ def text_column(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def packed(names: list[str], result: tuple[str, ...]) -> tuple[list[str], Column]:
+    """Kept columns without those of a result's names, and all of them as one struct `row`,
+    so that no name of theirs meets one of an operator's own."""
+    kept = [c for c in dict.fromkeys(names) if c not in result]
+    return kept, F.struct(*[F.col(f"`{c}`") for c in kept], F.lit(None).cast("int").alias("\x00")).alias("row")
+
+
+def unpacked(kept: list[str]) -> list[Column]:
+    """The columns of `row` again."""
+    return [F.col("row").getField(c).alias(c) for c in kept]
+
+
+def text_hashes(text: Column) -> list[Column]:
+    """t1 and t2: 128 bits that stand for a text."""
+    return [F.xxhash64(F.lit(seed), text).alias(f"t{seed}") for seed in (1, 2)]
+
+
 def row_hashes() -> list[Column]:
     """id1 and id2: 128 bits that stand for a row's doc_id and text, null or not."""
     return [F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), F.col("doc_id").cast("string"),

@@ -184,6 +184,42 @@ def test_a_large_group_of_borderline_copies(docs_of):
     assert rows_of(found, "doc_id", "n_shingles", "component_id") == sorted(want, key=repr)
 
 
+def test_texts_that_are_half_boilerplate(docs_of, monkeypatch):
+    """Half of every text is one passage: nothing of it is similar but the planted pairs, and few pairs are tried."""
+    r = random.Random(12)
+    passage = [f"p{i}" for i in range(300)]
+    rows = []
+    for i in range(400):
+        own = [f"x{i}w{k}" for k in range(300)]
+        rows.append((i, " ".join(passage + own)))
+        if i % 40 == 0:  # with a near copy
+            own = [w if r.random() > .02 else f"e{r.random()}" for w in own]
+            rows.append((1000 + i, " ".join(passage + own)))
+    tried, verified = [], near_duplicates.verified
+
+    def counted(texts, nodes, pairs):
+        tried.append(pairs.count())
+        return verified(texts, nodes, pairs)
+
+    monkeypatch.setattr(near_duplicates, "verified", counted)
+    found = near_duplicates.near_duplicates(docs_of(rows), ["doc_id"])
+    want = [(rows[i][0], n, rows[c][0]) for i, (n, c) in enumerate(brute.near(rows))]
+    assert rows_of(found, "doc_id", "n_shingles", "component_id") == sorted(want, key=repr)
+    # A few hubs for each block at first, then nothing that is left to try.
+    assert len({c for _, _, c in want}) == 400 and tried[0] < 40 * len(rows) and sum(tried[1:]) < len(rows)
+
+
+def test_long_words_of_two_letters_differ(docs_of):
+    """Two words whose polynomial hashes would agree whatever their base."""
+    bits = [i.bit_count() & 1 for i in range(1024)]
+    a, b = ("".join("ab"[x ^ k] for x in bits) for k in (0, 1))
+    found = near_duplicates.near_duplicates(docs_of([(1, a), (2, b)]), ["doc_id"])
+    assert rows_of(found, "doc_id", "component_id") == [(1, 1), (2, 2)]
+    start = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{start} {a}"), (2, f"{start} {b}")]
+    assert rows_of(repeats.remove_repeats(docs_of(rows), ["doc_id"]), "doc_id", "n_removed") == [(1, 0), (2, 0)]
+
+
 def test_components(spark):
     r = random.Random(6)
     links = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(500, 560)]

@@ -35,6 +35,18 @@ def test_hash_depends_on_words_alone():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_patterns_of_two_letters_have_hashes_of_their_own():
+    """Words whose polynomials of any base agree modulo 2^64: a Thue-Morse word and its complement."""
+    bits = [i.bit_count() & 1 for i in range(4096)]
+    texts = ["".join("ab"[b ^ k] for b in bits[:n]) for n in (512, 1024, 2048, 4096) for k in (0, 1)]
+    texts += ["a\0", "a", "a\0\0", "abcdefgh", "abcdefgh\0", "hgfedcba"]
+    for lane in (0, 1):
+        found = [h for _, _, w in words.pieces(pa.array(texts)) for h in w.hashes(lane).tolist()]
+        assert len(found) == len(texts) == len(set(found))
+    _, _, w = next(words.pieces(pa.array(texts)))
+    assert not set(w.hashes(0).tolist()) & set(w.hashes(1).tolist())
+
+
 def test_pieces_keep_long_texts_whole(monkeypatch):
     monkeypatch.setattr(words, "PIECE_BYTES", 50)
     texts = ["w " * 200, "a", None, "b c"] * 3
