@@ -256,7 +256,8 @@ def seek_positives(tree: Tree, sample: Sample, d: int, k: int):
 
 
 def seek_windows(tree: Tree, sample: Sample, d: int, k: int, low: int, high: int):
-    """Anchors with the leaves that may hold the first k rows of a window of one of their `scores`."""
+    """Anchors with the leaves that may hold the first k rows of a window of one of their `scores`,
+    and as `floors` the scores that those have at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,7 +277,9 @@ def seek_windows(tree: Tree, sample: Sample, d: int, k: int, low: int, high: int
                             least[w] = max(least[w], other[end - k])
             at, leaf = tree.visited(a[owner], least, most)
             pairs = np.unique(np.stack([owner[at], leaf]), axis=1)
-            yield with_leaves(batch, pairs[0], pairs[1])
+            floors = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(least))
+            yield with_leaves(pa.RecordBatch.from_arrays([*batch.columns, floors], [*batch.schema.names, "floors"]),
+                              pairs[0], pairs[1])
 
     return run
 
@@ -303,7 +306,8 @@ def within(d: int, pick: Callable) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 some = anchors.slice(at, SLICE)
                 uid, _, label = places(some)
                 found = scores(matrix(some.column("x"), d), x)
-                extra = some.column("scores").to_pylist() if "scores" in some.schema.names else [None] * len(uid)
+                extra = list(zip(*(some.column(c).to_pylist() for c in ("scores", "floors")))) \
+                    if "scores" in some.schema.names else [None] * len(uid)
                 for i, row in enumerate(found):
                     for positive, taken in pick(row, uid[i], label[i], extra[i], *held):
                         for column, part in zip(out, (np.full(len(taken), uid[i]), np.full(len(taken), positive),
@@ -324,10 +328,10 @@ def same_label(k: int):
 
 
 def other_label(k: int, low: int, high: int):
-    def pick(row, uid, label, positives, uids, ids, labels):
-        other = labels != label
-        positives = np.array(positives, np.int64)
-        for positive, least, most in zip(positives.tolist(), *window(positives, low, high)):
+    def pick(row, uid, label, asked, uids, ids, labels):
+        other, (positives, floors) = labels != label, asked
+        _, tops = window(np.array(positives, np.int64), low, high)
+        for positive, least, most in zip(positives, floors, tops.tolist()):
             fit = np.flatnonzero(other & (row >= least) & (row <= most))
             if len(fit):
                 yield positive, fit[best(row[fit], ids[fit], uids[fit], k)]
@@ -405,7 +409,7 @@ def mine(rows: DataFrame, x: Column, anchor: Column, id: str = "vec_id", label:
                 .select("anchor", F.col("score").alias("positive"), F.col("id").alias("positive_id"), F.col("uid").alias("twin")))
     # At most `positives` scores for an anchor.
     wanted = asked.join(first.groupBy(F.col("anchor").alias("uid")).agg(F.collect_set("positive").alias("scores")), "uid")
-    shape = T.StructType([*wanted.schema.fields, T.StructField("leaf", T.IntegerType())])
+    shape = T.StructType([*wanted.schema.fields, *T.StructType.fromDDL("floors array<long>, leaf int").fields])
     seek = seek_windows(tree, sample, d, negatives, low, high)
     last = firsts(searched(placed, cut(wanted.mapInArrow(seek, shape)), sizes, d, other_label(negatives, low, high)), negatives)
     named = lambda c: F.when(F.col(c) != TOP, F.col(c))
