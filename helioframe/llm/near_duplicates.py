@@ -239,20 +239,13 @@ def fine_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, hashes) of the texts, each node once per batch."""
+    """(node, hashes) of the texts."""
     for batch in batches:
-        seen: set[int] = set()
         for _, _, words in pieces(batch.column("text"), lower=True):
             sets = Sets(words)
-            node, hashes = [], []
-            for i in np.flatnonzero(sets.size > 0):
-                if (x := int(sets.node[i])) not in seen:
-                    seen.add(x)
-                    node.append(x)
-                    hashes.append(sets.of(i).tobytes())
-            if node:
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(hashes, pa.binary())],
-                                                 ["node", "hashes"])
+            some = np.flatnonzero(sets.size > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(sets.node[some]), pa.array(
+                [sets.of(i).tobytes() for i in some], pa.binary())], ["node", "hashes"])
 
 
 def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,9 +274,10 @@ def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def texts_of(texts: DataFrame, nodes: DataFrame, some: DataFrame) -> DataFrame:
-    """The texts that stand for some nodes; only those reach Python."""
+    """The texts that stand for some nodes, each once; only those are moved and reach Python."""
     wanted = cut(nodes.join(some, "node", "left_semi").select("t1", "t2"))
-    return texts.join(F.broadcast(wanted) if is_small(wanted) else wanted, ["t1", "t2"], "left_semi").select("text")
+    return (texts.join(F.broadcast(wanted) if is_small(wanted) else wanted, ["t1", "t2"], "left_semi")
+            .groupBy("t1", "t2").agg(F.first("text").alias("text")).select("text"))
 
 
 def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -294,8 +288,7 @@ def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     if not near.take(1):
         return near
     ends = cut(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
-    sets = cut(texts_of(texts, nodes, ends).mapInArrow(sets_of, "node long, hashes binary")
-               .groupBy("node").agg(F.first("hashes").alias("hashes")))
+    sets = cut(texts_of(texts, nodes, ends).mapInArrow(sets_of, "node long, hashes binary"))
     one = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}"))
     return cut(near.join(one("a"), "a").join(one("b"), "b").mapInArrow(similar, "a long, b long"))
 
@@ -309,12 +302,16 @@ def in_band():
     return Window.partitionBy("node", F.col("key").bitwiseAND(F.lit(1)))
 
 
-def enough(fine: DataFrame) -> DataFrame:
-    """Keys with nodes of several components, of nodes that share as many of them as they need."""
-    crowd = (fine.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"), F.min("group").alias("least"),
-                                     F.max("group").alias("largest")).where("least < largest").drop("least"))
-    return (fine.drop("crowd", "largest", "shared").join(crowd, "key")
-            .withColumn("shared", F.count(F.lit(1)).over(in_band())).where("shared >= need"))
+def enough(rows: DataFrame) -> DataFrame:
+    """Keys with nodes of several components, of nodes that share as many of them as they need.
+
+    `rows` has key, node, need and group. Adds crowd, largest (of the key) and shared (of the node).
+    """
+    on = Window.partitionBy("key")
+    return (rows.select("key", "node", "need", "group", F.count(F.lit(1)).over(on).alias("crowd"),
+                        F.min("group").over(on).alias("least"), F.max("group").over(on).alias("largest"))
+            .where("least < largest").withColumn("shared", F.count(F.lit(1)).over(in_band())).where("shared >= need")
+            .drop("least"))
 
 
 def linked(texts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -339,19 +336,23 @@ def linked(texts: DataFrame, nodes: DataFrame) -> DataFrame:
              .where(F.coalesce("node_root", "node") != F.coalesce("hub_root", "hub")).select("key").distinct())
     apart = cut(apart)
     sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    group = F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("root", "node").alias("root"))
     known = (nodes.select("node", "n", "short").join(found, "node", "left").join(sizes, "root", "left")
-             .select("node", "n", "short", F.struct(F.coalesce("size", F.lit(1)).alias("size"),
-                                           F.coalesce("root", "node").alias("root")).alias("group")))
-    members = (stars.select("key", "node").union(stars.select("key", "hub")).join(apart, "key", "left_semi").distinct()
-               .groupBy("node", F.col("key").bitwiseAND(F.lit(1)).alias("band")).agg(F.count(F.lit(1)).alias("shared")))
+             .select("node", "n", "short", group.alias("group")))
     # A similar node may be a fifth smaller, and then spares as many blocks as its size says.
-    held = cut(members.join(nodes.select("node", "n"), "node").where("shared >= 2 + n div 20").select("node").distinct())
-    fine = (texts_of(texts, nodes, held).mapInArrow(fine_rows, "key long, node long, need int").distinct()
-            .join(held, "node", "left_semi").join(known, "node"))
-    fine = cut(enough(cut(enough(fine))).withColumn("place", F.row_number().over(in_band().orderBy("crowd", "key"))))
-    looking = fine.where("place <= shared - need + 1 AND group < largest")
+    members = (stars.select("key", "node").union(stars.select("key", "hub")).join(apart, "key", "left_semi").distinct()
+               .join(known.select("node", (2 + F.floor(F.col("n") / 20)).cast("int").alias("need"), "group"), "node"))
+    held = cut(enough(enough(members)).select("node", "group").distinct())
+    fine = (texts_of(texts, nodes, held).mapInArrow(fine_rows, "key long, node long, need int")
+            .join(F.broadcast(held) if is_small(held) else held, "node"))
+    fine = enough(fine).select("key", "node", "need", "group")
+    fine = cut(enough(fine).withColumn("place", F.row_number().over(in_band().orderBy("crowd", "key"))))
+    looks = "place <= shared - need + 1 AND group < largest"
+    info = known.select("node", "n", "short")
+    looking = fine.where(looks).select("key", "node", "group").join(info, "node")
+    others = fine.join(fine.where(looks).select("key").distinct(), "key", "left_semi").select("key", "node", "group").join(info, "node")
     apart_by = " + ".join(f"bit_count(x.short[{i}] ^ y.short[{i}])" for i in range(SHORT))
-    pairs = (looking.alias("x").join(fine.alias("y"), F.expr(
+    pairs = (looking.alias("x").join(others.alias("y"), F.expr(
         f"x.key = y.key AND x.group < y.group AND 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)"
         f" AND {apart_by} <= (x.n + y.n) div 9"))
              .select(*_pair("x.node", "y.node")).distinct().join(tried, ["a", "b"], "left_anti"))
