@@ -14,16 +14,16 @@ on it is replaced by its kind. A passage that is copied with its entity is one
 context, so mere duplication reveals nothing.
 
 The first pass over the texts finds spans and contexts. Entities of fewer than
-`LEAST` contexts can't be revealed; the terms of the other entities' texts are
-counted, first there, then in all texts (a bitmap of fixed size drops all others
-inside the task). A term too common for the largest entity is dropped before
-terms and entities are joined. All counts are groupings with partial sums.
+`LEAST` contexts can't be revealed. The terms of the other entities' texts are joined
+with the entities, and what stays are pairs with as many contexts; only the terms of
+those pairs are then counted over all texts (a bitmap of fixed size drops the others
+inside the task, a join the few that it lets through). All counts are groupings with
+partial sums.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helioframe.llm.shared import bitmap, cut, marked, schema_of
+from helioframe.llm.shared import bitmap, cut, marked, packed, schema_of, text_column, text_hashes, unpacked
 from helioframe.llm.words import U, pieces
 
 KINDS = ("email", "ip", "card", "phone")
@@ -49,8 +49,8 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 TERM = re.compile(r"[^\W_]+")
 #: A term's bytes, whatever they are, are one word.
 WHOLE = np.ones(256, bool)
-#: Terms that a task counts before it gives their counts out.
-FLUSH = 200_000
+#: Terms that a task holds before it adds them up.
+FLUSH = 2_000_000
 
 
 def luhn(digits: str) -> bool:
@@ -183,23 +183,37 @@ def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def texts_with(known: np.ndarray):
-    """(hash, n): in how many of some texts each marked term is."""
+    """(hash, n): in how many of some texts each marked term is, once for each task."""
 
-    def out(counts: Counter) -> pa.RecordBatch:
-        hashes = hashes_of(list(counts))
-        n = np.fromiter(counts.values(), np.int64, len(counts))
-        keep = marked(known, hashes)
-        return pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(n[keep])], ["hash", "n"])
+    def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        hashes, n = (np.concatenate(c) for c in zip(*parts))
+        hashes, at = np.unique(hashes, return_inverse=True)
+        total = np.zeros(len(hashes), np.int64)
+        np.add.at(total, at, n)
+        return hashes, total
+
+    def out(parts: list) -> pa.RecordBatch:
+        hashes, n = merged(parts)
+        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], ["hash", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        parts, held = [], 0
         for batch in batches:
+            terms: list[str] = []
             for text in batch.column("text"):
-                counts.update(terms_of(text.as_py() or ""))
-                if len(counts) >= FLUSH:
-                    yield out(counts)
-                    counts = Counter()
-        yield out(counts)
+                terms += terms_of(text.as_py() or "")
+            found = hashes_of(terms)
+            found = found[marked(known, found)]
+            parts.append((found, np.ones(len(found), np.int64)))
+            held += len(found)
+            if held >= FLUSH:  # what a task holds grows with different terms, not with texts
+                parts = [merged(parts)]
+                held = 0
+                if len(parts[0][0]) >= FLUSH // 2:
+                    yield out(parts)
+                    parts = []
+        if parts:
+            yield out(parts)
 
     return run
 
@@ -215,20 +229,19 @@ def disclosing(held: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
     `held` has (entity, context, t1, t2, de), `own` has (t1, t2, hash) of those texts'
     terms, which are counted over all `texts` (t1, t2, text).
     """
-    some = cut(own.groupBy("hash").agg(F.count(F.lit(1)).alias("seen")).where(F.col("seen") >= LEAST))
-    counted = (different(texts).select("text").mapInArrow(texts_with(bitmap(some.select("hash"))), "hash long, n long")
-               .groupBy("hash").agg(F.sum("n").alias("df")))
-    total, most = float(texts.select("t1", "t2").distinct().count()), held.agg(F.max("de")).first()[0]
-    # joint <= de, so a share of GENERALISE needs df <= de ^ GENERALISE * N ^ (1 - GENERALISE).
-    bound = lambda de: F.pow(de, F.lit(GENERALISE)) * F.lit(1.000001 * total ** (1 - GENERALISE))
-    known = cut(some.join(counted, "hash", "left").withColumn("df", F.greatest("df", "seen"))
-                .where(F.col("df") <= bound(F.lit(float(most)))).select("hash", "df"))
-    joint = (own.join(known, "hash").join(held, ["t1", "t2"]).where(F.col("df") <= bound(F.col("de")))
-             .groupBy("entity", "hash", "df", "de", "t1", "t2").agg(F.collect_set("context").alias("contexts")))
-    joint = (joint.withColumn("context", F.explode("contexts"))
-             .groupBy("entity", "hash", "df", "de").agg(
-                 F.countDistinct("t1", "t2").alias("joint"), F.countDistinct("context").alias("n"))
-             .where(f"n >= {LEAST}"))
+    total = float(texts.select("t1", "t2").distinct().count())
+    # Each text's terms with each of its entities; contexts in which a text has an entity come as a list.
+    near = held.groupBy("t1", "t2", "entity", "de").agg(F.collect_set("context").alias("contexts"))
+    pairs = own.join(near, ["t1", "t2"])
+    # A text counts once for a pair, with all its contexts.
+    enough = (pairs.select("entity", "hash", "de", F.explode("contexts").alias("context")).groupBy("entity", "hash", "de", "context")
+              .agg(F.lit(1).alias("one")).groupBy("entity", "hash", "de").agg(F.count("one").alias("n")).where(f"n >= {LEAST}").drop("n"))
+    joint = cut(pairs.groupBy("entity", "hash", "de").agg(F.count(F.lit(1)).alias("joint"))
+                .join(enough, ["entity", "hash", "de"], "left_semi"))
+    known = joint.select("hash").distinct()
+    df = (different(texts).select("text").mapInArrow(texts_with(bitmap(known)), "hash long, n long")
+          .groupBy("hash").agg(F.sum("n").alias("df")))
+    joint = joint.join(df, "hash")
     return (joint.withColumn("share", F.log2(F.lit(total) * F.col("joint") / (F.col("de") * F.col("df")))
                              / F.greatest(F.log2(F.lit(total) / F.col("de")), F.lit(1e-9)))
             .where(F.col("share") >= GENERALISE).select("entity", "hash", "share"))
@@ -260,15 +273,11 @@ def private_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
     of a document with an entity that are to be generalised or removed, at every
     place; base spans always stay. Places are code points, the end is exclusive. Kinds may overlap. Null
     and empty texts have no spans. Repeated rows get equal spans and add no
-    evidence. An empty table stays empty.
+    evidence. A kept column named spans gives way to the result's. An empty table
+    stays empty.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    kept = [c for c in dict.fromkeys(keep) if c != "text"]
-    schema = schema_of(docs, kept, SHAPE)
-    # The names t1 and t2 may be taken in `kept`, so its columns go into a struct first.
-    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
-    keys = [F.xxhash64(F.lit(seed), text).alias(f"t{seed}") for seed in (1, 2)]
-    read = docs.select(row, *keys, text.alias("text"))
+    kept, row = packed(keep, ("spans",))
+    read = docs.select(row, *text_hashes(text_column()), text_column().alias("text"))
     rows = cut(read.mapInArrow(scan, schema_of(read, ["row", "t1", "t2"], SHAPE)))
     told = added_spans(rows.where(F.size("found") > 0), read.select("t1", "t2", "text"))
     rows = rows.select("row", "t1", "t2", "spans")
@@ -278,7 +287,7 @@ def private_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
     order = lambda x, y: (F.when(x["start"] != y["start"], x["start"] - y["start"])
                           .otherwise((rank(x) - rank(y)).cast("int")))
     return rows.select(
-        "row.*", F.when(F.col("added").isNull(), F.col("spans"))
+        *unpacked(kept), F.when(F.col("added").isNull(), F.col("spans"))
         .otherwise(F.array_sort(F.concat("spans", "added"), order)).alias("spans"))
 
 
