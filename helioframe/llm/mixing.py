@@ -1,7 +1,9 @@
 """Mixing sources to target weights by the cube method.
 
 Every document has an expected number of copies, its source's target over its
-source's size. The whole part is certain; the rest is an inclusion probability.
+source's size. Equal rows are one unit: of m rows at a rate r, floor(m * r) copies
+are certain and the rest is an inclusion probability; the unit's copies are then
+dealt over its rows, the first of which get one more than the others.
 A flight moves the probabilities of three documents at a time along the null
 space of the balancing equations (words, documents), one of two ways by chance
 so that expectations hold, until one of them is 0 or 1; then the next document
@@ -10,8 +12,8 @@ takes its place. Nothing but three documents is ever held.
 Documents fly in buckets by the hash of their id, so a source with a third of
 all rows is many groups. Each bucket leaves at most two undecided documents;
 those of a source fly together, and the last two land, keeping the words first.
-Chance and order are hashes of the id and the seed: reruns agree, however the
-rows are partitioned.
+Chance and order are hashes of the row: reruns agree, however the rows are
+partitioned.
 """
 
 from __future__ import annotations
@@ -114,7 +116,7 @@ def flight(land: bool):
 
         for batch in batches:
             schema, late = batch.schema, []
-            column = {c: batch.column(c).to_pylist() for c in ("grouped", "source", "p", "size", "rows")}
+            column = {c: batch.column(c).to_pylist() for c in ("grouped", "source", "p", "size")}
             chances = scramble(np.asarray(batch.column("h")).view(np.uint64)) >> np.uint64(11)
             chances = (chances / 2.0 ** 53).tolist()
             p = list(column["p"])
@@ -124,8 +126,7 @@ def flight(land: bool):
                     finish(p)
                     group = now
                 if 0.0 < p[i] < 1.0:
-                    m = column["rows"][i]
-                    held.append([p[i], column["size"][i] * m, m, i, None, chances[i]])
+                    held.append([p[i], column["size"][i], 1, i, None, chances[i]])
                     if len(held) == 3:
                         move(held, chances[i], 1)
                         settle(p)
@@ -149,52 +150,78 @@ def flight(land: bool):
 
 
 def fly(units: DataFrame, land: bool) -> DataFrame:
-    order = ["source", "grouped", "h", "doc_id", "size"]
+    order = ["source", "grouped", "h", "unit", "size"]
     return (units.repartition("source", "grouped").sortWithinPartitions(*order)
             .mapInArrow(flight(land), units.schema))
 
 
 def copies(units: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Adds `copies` to units of `doc_id`, `source`, `size`, `rows`, `rate`, `source_rows`."""
-    whole = F.floor(F.least("rate", F.lit(float(1 << 30)))).cast("long")
+    """(unit, rows, copies): all copies of units of `unit`, `source`, `size`, `rows`, `rate`, `source_rows`."""
+    wanted = F.col("rate") * F.col("rows")
+    whole = F.floor(wanted).cast("long")
     groups = F.greatest(F.lit(1), F.ceil(F.col("source_rows") / bucket))
     flown = cut(fly(units.select(
-        "doc_id", "source", "size", "rows", whole.alias("whole"),
-        (F.col("rate") - whole).alias("p"), F.xxhash64(F.col("doc_id"), F.lit("fly")).alias("h"),
-        F.pmod(F.xxhash64(F.col("doc_id"), F.lit("bucket")), groups).alias("grouped")), land=False))
+        "unit", "source", "size", "rows", whole.alias("whole"), (wanted - whole).alias("p"),
+        F.xxhash64(F.col("unit"), F.lit("fly")).alias("h"),
+        F.pmod(F.xxhash64(F.col("unit"), F.lit("bucket")), groups).alias("grouped")), land=False))
     undecided = (F.col("p") > 0) & (F.col("p") < 1)
     landed = fly(flown.where(undecided).withColumn("grouped", F.lit(0).cast("long")), land=True)
     return flown.where(~undecided).unionByName(landed).select(
-        "doc_id", "source", "size", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
+        "unit", "rows", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
+
+
+def dealt(rows: DataFrame, part: int = BUCKET) -> DataFrame:
+    """Rows with `rows` and `copies` of their unit: copies become the row's own.
+
+    Rows of a unit are alike, so any order will do. A unit is divided into parts of
+    about `part` rows, whose shares follow from their sizes; in a part rows are numbered.
+    """
+    alone, many = rows.where("rows = 1"), rows.where("rows > 1")
+    parts = F.ceil(F.col("rows") / part)
+    many = cut(many.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts)))
+    sizes = many.groupBy("unit", "part", "rows", "copies").agg(F.count(F.lit(1)).alias("own"))
+    upto = F.sum("own").over(Window.partitionBy("unit").orderBy("part"))
+    share = lambda n: F.floor(n * (F.col("copies") / F.col("rows")) + 1e-9)
+    last = F.when(F.col("upto") == F.col("rows"), F.col("copies")).otherwise(share(F.col("upto")))
+    first = F.when(F.col("upto") == F.col("own"), 0).otherwise(share(F.col("upto") - F.col("own")))
+    shares = sizes.withColumn("upto", upto).select("unit", "part", "own", (last - first).alias("share"))
+    turn = F.row_number().over(Window.partitionBy("unit", "part").orderBy(F.lit(0)))
+    spread = many.drop("copies", "rows").join(shares, ["unit", "part"]).withColumn("turn", turn)
+    each = F.floor(F.col("share") / F.col("own")) + (F.col("turn") <= F.col("share") % F.col("own")).cast("long")
+    return alone.drop("rows").unionByName(spread.withColumn("copies", each).drop("part", "own", "share", "turn"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
         size: Column | None = None, bucket: int = BUCKET) -> DataFrame:
     """All rows and columns, with `mix`: a struct of size, source_size, target, copies.
 
-    A row's size is its number of words, a null text's 0. Rows of equal id,
-    source and size share one decision; so repeated rows are taken alike. Null
-    is a source, and an id, like any other. A source without words has the
-    target 0 and none of its rows are taken. `copies` is at most `most`, rounded
-    up. An empty table stays empty; a column named mix is replaced.
+    A row's size is its number of words, a null text's 0. Rows equal in all columns
+    are one unit, whose copies differ by one at most from row to row. Null is a
+    source, and an id, like any other. A source without words has the target 0 and
+    none of its rows are taken. `copies` is at most `most`, rounded up. An empty
+    table stays empty; a column named mix is replaced.
     """
     size = F.regexp_count(text_column(), F.lit(WORD)).cast("long") if size is None else size
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "mix"]).alias("row"),
-                       "doc_id", "source", size.alias("size"))
-    units = cut(rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows")))
+    columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "mix"]
+    # Two numbers of 64 bits name a unit: equal ones are equal rows. Maps have no hash, but a spelling.
+    nulls = F.array(*[c.isNull() for c in columns])
+    said = [c.cast("string") if "map<" in docs.schema[name].dataType.simpleString() else c
+            for c, name in zip(columns, [x for x in docs.columns if x.lower() != "mix"])]
+    unit = F.struct(*[F.xxhash64(F.lit(seed), nulls, *said).alias(f"u{seed}") for seed in (1, 2)])
+    rows = docs.select(F.struct(*columns).alias("row"), unit.alias("unit"), "source", size.alias("size"))
+    units = cut(rows.groupBy("unit", "source", "size").agg(F.count(F.lit(1)).alias("rows")))
     sources = targets(units.groupBy("source").agg(
         F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("source_rows")),
         weights, share, most)
     rated = (units.alias("u").join(sources.alias("s"), F.expr("u.source <=> s.source"))
-             .select("u.*", "source_size", "source_rows", "target",
-                     F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
+             .select("u.*", "source_rows", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
                      .otherwise(0.0).alias("rate")))
-    decided = copies(rated.drop("source_size", "target"), bucket)
-    same = " AND ".join(f"r.{c} <=> d.{c}" for c in ("doc_id", "source", "size"))
-    return (rows.alias("r").join(decided.alias("d"), F.expr(same))
-            .join(sources.alias("s"), F.expr("r.source <=> s.source"))
+    decided = cut(copies(rated, bucket))
+    found = rows.join(decided, "unit")
+    found = dealt(found) if decided.where("rows > 1").take(1) else found.drop("rows")
+    return (found.alias("r").join(sources.alias("s"), F.expr("r.source <=> s.source"))
             .select("r.row.*", F.struct(F.col("r.size"), F.col("s.source_size"), F.col("s.target"),
-                                        F.col("d.copies")).alias("mix")))
+                                        F.col("r.copies")).alias("mix")))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
