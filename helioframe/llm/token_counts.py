@@ -8,6 +8,10 @@ documents fit, how many tokens a cut at the limit keeps, and how many it loses;
 a limit between two lengths is the next lower row plus a multiple of the
 documents beyond it (`truncated`).
 
+The pattern's engine holds a state for each character of a run of white space and
+gives up at about a million. So long runs are cut where the pattern itself divides
+them: all but the last character are one piece, or all of them at the text's end.
+
 The sums run in blocks of lengths: within blocks side by side, and over one row
 per block.
 """
@@ -15,6 +19,7 @@ per block.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -22,11 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helioframe.llm.shared import cut, schema_of
+from helioframe.llm.shared import cut, packed, schema_of, unpacked
 
 #: The vocabulary, and the public pattern that it was made with.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space of the pattern's engine (fixed values), and the length from which a run is cut.
+SPACE, CUT = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]", 1000
 #: A length's block is its number of such lengths.
 BLOCK = 1024
 QUANTILES = (0.5, 0.9, 0.99)
@@ -40,13 +47,24 @@ def encoder(file: bytes):
     return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def length(tokens, text: str, cut_at: int = CUT) -> int:
+    """Tokens of a text."""
+    total, at = 0, 0
+    for run in re.finditer(f"{SPACE}{{{max(cut_at, 2)},}}", text):
+        end = run.end() - (run.end() < len(text))
+        total += len(tokens.encode_ordinary(text[at:run.start()]))
+        total += len(tokens._encode_single_piece(text[run.start():end]))
+        at = end
+    return total + len(tokens.encode_ordinary(text[at:]))
+
+
 def lengths(file: bytes):
     """Replaces text by n_tokens; strings of special tokens are ordinary text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(file)
         for batch in batches:
-            found = [len(tokens.encode_ordinary(text.as_py() or "")) for text in batch.column("text")]
+            found = [length(tokens, text.as_py() or "") for text in batch.column("text")]
             keep = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(found, pa.int64())],
                                              [*keep, "n_tokens"])
@@ -57,13 +75,15 @@ def lengths(file: bytes):
 def token_counts(docs: DataFrame, keep: Sequence[str], ranks_path: str = RANKS) -> DataFrame:
     """Columns `keep` and n_tokens of every whole text; null and empty texts have 0.
 
-    The driver reads the vocabulary, about 1 MB, and sends it with the plan.
+    The driver reads the vocabulary, about 1 MB, and sends it with the plan. A kept
+    column named n_tokens gives way to the result's.
     """
     with open(ranks_path, "rb") as ranks:
         file = ranks.read()
-    kept = [c for c in dict.fromkeys(keep) if c != "text"]
-    return docs.select(*[f"`{c}`" for c in kept], F.col("text").cast("string").alias("text")).mapInArrow(
-        lengths(file), schema_of(docs, kept, "n_tokens long"))
+    kept, row = packed(keep, ("n_tokens",))
+    read = docs.select(row, F.col("text").cast("string").alias("text"))
+    found = read.mapInArrow(lengths(file), schema_of(read, ["row"], "n_tokens long"))
+    return found.select(*unpacked(kept), "n_tokens")
 
 
 def histogram(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
