@@ -25,16 +25,20 @@ def dispatch(reads: DataFrame, devices: DataFrame, catalog: Catalog = CATALOG,
 
     Reads of devices that are off, of unknown drivers and of blocks the driver
     does not have are dropped. Names need not be unique across configurations:
-    where reads also carry `config` and `position`, pass them in `on`.
+    where reads also carry `config` and `position`, pass them in `on`. Where the
+    devices are `registry.versioned`, the entry counts that held at the poll's time.
     """
     spark = reads.sparkSession
+    times = [c for c in ("valid_from", "valid_to") if c in devices.columns]
     registry = (enabled(devices).withColumnRenamed("name", "device_name")
-                .select("device_name", *DEVICE))
+                .select("device_name", *DEVICE, *times))
     blocks = catalog.blocks_frame(spark).drop("kind", "start", "count", "accept")
     # Catalogue tables are local and a few hundred rows.
     known = registry.join(F.broadcast(catalog.versions_frame(spark)), "driver", "left_semi")
-    return (lookup_join(reads, known, list(on), "poll_id")
-            .join(F.broadcast(blocks), ["driver", "block"]))
+    found = lookup_join(reads, known, list(on), "poll_id")
+    if times:
+        found = found.where("poll_ts >= valid_from AND (valid_to IS NULL OR poll_ts < valid_to)").drop(*times)
+    return found.join(F.broadcast(blocks), ["driver", "block"])
 
 
 def accepted(catalog: Catalog = CATALOG) -> Column:
@@ -154,6 +158,61 @@ def read_failures(dispatched: DataFrame, catalog: Catalog = CATALOG) -> DataFram
     return polls.select(*POLL, *DEVICE, missing).drop("good")
 
 
+def graded(dispatched: DataFrame, catalog: Catalog = CATALOG) -> DataFrame:
+    """Every poll once, by one grouping: its registers where it is whole, else what is wrong.
+
+    `outcome` is `whole`, `unusable` (read in full, but some word can't be taken) or `torn`
+    (a block that no allowed attempt could read); `blocks` are the blocks concerned, with the
+    tries made for each in `tries`. `n_reads` counts the reads seen, those beyond the allowed
+    number included. Works on streams with a watermark on poll_ts.
+    """
+    numbers = catalog.block_numbers()
+    read = F.struct(_rank(catalog).alias("rank"), whole().alias("whole"), "registers")
+    counts = dispatched.select(*POLL, *DEVICE, "n_blocks", "block", "attempt", "max_attempts",
+                               F.when(F.expr("ok AND attempt < max_attempts"), read).alias("read"))
+    polls = counts.groupBy(*POLL, *DEVICE, "n_blocks").agg(
+        F.count(F.lit(1)).alias("n_reads"),
+        *[F.expr(f"min(CASE WHEN block = {k} THEN read END) AS read_{k}") for k in numbers],
+        *[F.expr(f"count_if(block = {k} AND attempt < max_attempts) AS tries_{k}") for k in numbers])
+    owners = {k: ", ".join(f"'{d.name}'" for d in catalog if k in d.block_numbers()) for k in numbers}
+
+    def where(wrong: str) -> str:
+        return "array_compact(array(" + ", ".join(
+            f"CASE WHEN driver IN ({owners[k]}) AND {wrong.format(k=k)} THEN struct({k} AS block, tries_{k} AS tries) END"
+            for k in numbers) + "))"
+
+    told = polls.withColumns({"torn": F.expr(where("read_{k} IS NULL")),
+                              "bad": F.expr(where("read_{k} IS NOT NULL AND NOT coalesce(read_{k}.whole, false)"))})
+    outcome = F.expr("CASE WHEN size(torn) > 0 THEN 'torn' WHEN size(bad) > 0 THEN 'unusable' ELSE 'whole' END")
+    told = told.withColumn("outcome", outcome).withColumn("wrong", F.expr("if(size(torn) > 0, torn, bad)"))
+    return told.selectExpr(*POLL, *DEVICE, "n_reads", "outcome", "wrong.block AS blocks", "wrong.tries AS tries",
+                           *[f"CASE WHEN outcome = 'whole' THEN read_{k}.registers END AS registers_{k}" for k in numbers])
+
+
+def rejects(polls: DataFrame) -> DataFrame:
+    """One row for each block that keeps a graded poll from being whole, with its tries."""
+    return (polls.where("outcome <> 'whole'")
+            .select(*POLL, *DEVICE, "outcome", F.explode(F.arrays_zip("blocks", "tries")).alias("x"))
+            .select(*POLL, *DEVICE, "outcome", F.col("x.blocks").alias("block"), F.col("x.tries").alias("attempts")))
+
+
+def late_reads(reads: DataFrame, polls: DataFrame) -> DataFrame:
+    """Landed reads of polls that were closed without all of them: what a stream had to leave out.
+
+    `polls` are the graded polls of a stream over `reads` (see `streaming.stream_polls`), by then
+    closed. A poll closed with fewer reads than have landed has late ones; which of its reads they
+    were isn't known, so all of them are listed, with the number missing. Polls that a stream has
+    never seen count when they are older than the youngest closed one.
+    """
+    landed = reads.groupBy("poll_id", "device_name", "poll_ts").agg(F.count(F.lit(1)).alias("n_landed"))
+    until = polls.agg(F.max("poll_ts").alias("until"))
+    seen = polls.groupBy("poll_id", "device_name", "poll_ts").agg(F.max("n_reads").alias("n_seen"))
+    short = (landed.join(seen, ["poll_id", "device_name", "poll_ts"], "left").crossJoin(F.broadcast(until))
+             .where("coalesce(n_seen, 0) < n_landed AND poll_ts <= until")
+             .select("poll_id", "device_name", "poll_ts", (F.col("n_landed") - F.coalesce("n_seen", F.lit(0))).alias("n_late")))
+    return reads.join(short, ["poll_id", "device_name", "poll_ts"])
+
+
 def attempt_stats(reads: DataFrame) -> DataFrame:
     """Tries and failed tries per device and block."""
     return reads.groupBy("device_name", "block").agg(

@@ -35,10 +35,12 @@ def decode_wide(polls: DataFrame, driver: Driver, keep: tuple[str, ...] = ("poll
         *keep, *tag_columns(), *value_columns(driver))
 
 
-def decode_long(polls: DataFrame, catalog: Catalog = CATALOG) -> DataFrame:
+def decode_long(polls: DataFrame, catalog: Catalog = CATALOG,
+                keep: tuple[str, ...] = ("poll_id",)) -> DataFrame:
     """One row per field, for a mixed fleet in one pass.
 
-    The catalogue is joined by (driver, block), a broadcast hash join over a few
+    Names need not be unique across configurations: `keep` may name `config` and
+    `position`, by which `pivot_wide` then tells devices apart. The catalogue is joined by (driver, block), a broadcast hash join over a few
     hundred rows; no Python and no shuffle. The tags are made part of the
     exploded blocks, or the join would format the date anew for every field.
     """
@@ -46,10 +48,10 @@ def decode_long(polls: DataFrame, catalog: Catalog = CATALOG) -> DataFrame:
     blocks = F.array(*[F.struct(F.lit(k).alias("block"), F.col(f"registers_{k}").alias("registers"),
                                 tagged) for k in catalog.block_numbers()])
     rules = catalog.fields_frame(polls.sparkSession)
-    return (polls.select("poll_id", "driver", F.inline(blocks))
+    return (polls.select(*keep, "driver", F.inline(blocks))
             .where("registers IS NOT NULL")
             .join(F.broadcast(rules), ["driver", "block"])
-            .select("poll_id", "tags.*", "driver", "field",
+            .select(*keep, "tags.*", "driver", "field",
                     F.expr(rule_sql("registers")).alias("value")))
 
 
@@ -57,21 +59,23 @@ def pivot_wide(long: DataFrame, driver: Driver) -> DataFrame:
     """Long telemetry of one driver to one column per field.
 
     For data that is already long. Straight from polls `decode_wide` gives the
-    same without a shuffle.
+    same without a shuffle. Devices of one name are told apart by `config` and
+    `position`, where the long rows have them (see `decode_long`).
     """
+    place = [c for c in ("config", "position") if c in long.columns]
     return (long.where(F.col("driver") == driver.name)
-            .groupBy("poll_id", "Device_Name", "Measurement_Suffix", "Date")
+            .groupBy("poll_id", *place, "Device_Name", "Measurement_Suffix", "Date")
             .pivot("field", [f.name for f in driver.fields]).agg(F.first("value")))
 
 
-def records(polls: DataFrame, catalog: Catalog = CATALOG) -> DataFrame:
-    """Polls as records: device, tags and the record as JSON text.
+def records(polls: DataFrame, catalog: Catalog = CATALOG, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Polls as records: device, tags and the record as JSON text; `keep` names more columns.
 
     One driver's record is a generated struct. For a mixed fleet that would be
     too much code for one stage; there a driver's rules are joined as arrays (a
     row per driver) and applied in place. Either way a poll stays one row.
     """
-    kept = ["poll_id", "config", "position", "poll_ts"]
+    kept = ["poll_id", "config", "position", "poll_ts", *keep]
     if len(catalog.drivers) == 1:
         (driver,) = catalog
         text = tags.record_json([*tag_columns(), *value_columns(driver)])
@@ -85,7 +89,7 @@ def records(polls: DataFrame, catalog: Catalog = CATALOG) -> DataFrame:
     # Tags may hold any text, so Spark writes them; keys and numbers need no escape.
     head = F.rtrim(tags.record_json(TAGS), F.lit("}"))
     registers = F.array(*[f"registers_{k}" for k in catalog.block_numbers()])
-    return (polls.select(*kept, "driver", *tag_columns(), registers.alias("registers"))
+    return (polls.select(*dict.fromkeys([*kept, "driver"]), *tag_columns(), registers.alias("registers"))
             .join(F.broadcast(catalog.rules_frame(polls.sparkSession)), "driver")
             .select(*kept, *TAGS, F.concat(head, F.lit(","), values, F.lit("}")).alias("record")))
 

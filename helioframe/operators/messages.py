@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
+from pyarrow import fs
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from helioframe.functions import tags
@@ -69,3 +71,67 @@ def deliver(records: DataFrame, brokers: DataFrame,
     finally:
         records.unpersist()
     return done
+
+
+class Outbox:
+    """Messages that a broker has not taken, kept as files and offered again.
+
+    They are known by batch and broker: a batch that is sent again after a failure replaces
+    what it left here, and what has been taken is deleted at once. `path` has to be visible
+    to all executors.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _files(self):
+        files, root = fs.FileSystem.from_uri(self.path)
+        files.create_dir(root, recursive=True)
+        return files, root
+
+    def keep(self, batch: int, broker: str, messages: DataFrame) -> None:
+        messages.write.mode("overwrite").parquet(f"{self.path}/{broker}/{batch:012d}")
+
+    def pending(self, broker: str) -> list[int]:
+        """Batches that a broker still has to get, oldest first."""
+        files, root = self._files()
+        found = files.get_file_info(fs.FileSelector(f"{root}/{broker}", allow_not_found=True))
+        return sorted(int(f.base_name) for f in found if files.get_file_info(f"{f.path}/_SUCCESS").is_file)
+
+    def messages(self, broker: str, batch: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{broker}/{batch:012d}")
+
+    def drop(self, broker: str, batch: int) -> None:
+        files, root = self._files()
+        if files.get_file_info(f"{root}/{broker}/{batch:012d}").type != fs.FileType.NotFound:
+            files.delete_dir(f"{root}/{broker}/{batch:012d}")
+
+    def deliver(self, batch: int, records: DataFrame | None, brokers: DataFrame,
+                publish: Callable[[int, Row, DataFrame], None]) -> dict:
+        """Offers every broker what it has not taken yet, batch by batch, then this batch.
+
+        A broker that fails keeps its place: later batches wait behind the one it refused.
+        With no records, only what is pending is offered. The result says, by broker, how many
+        batches are still pending.
+        """
+        names, left = broker_key(brokers), {}
+        records = None if records is None else records.persist(StorageLevel.DISK_ONLY)
+        try:
+            for broker in enabled(brokers).orderBy(*names).toLocalIterator():
+                own = brokers.where(reduce(and_, [F.col(k).eqNullSafe(F.lit(broker[k])) for k in names]))
+                key = tuple(broker[k] for k in names) if "config" in names else broker["broker"]
+                place = "-".join(re.sub(r"[^A-Za-z0-9]", lambda m: f"%{ord(m[0]):02X}", str(broker[k])) for k in names)
+                if records is not None:
+                    self.keep(batch, place, build_messages(records, own))
+                waiting = self.pending(place)
+                try:
+                    for number in waiting:
+                        publish(number, broker, self.messages(place, number))
+                        self.drop(place, number)
+                except Exception:
+                    log.exception("sending to broker %s failed", key)
+                left[key] = len(self.pending(place))
+        finally:
+            if records is not None:
+                records.unpersist()
+        return left

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helioframe.catalog import CATALOG, Catalog
@@ -44,3 +44,15 @@ def with_driver_version(devices: DataFrame, catalog: Catalog = CATALOG) -> DataF
     versions = catalog.versions_frame(devices.sparkSession)
     return (devices.join(F.broadcast(versions), "driver")
             .withColumn("driver_version", tags.driver_version(F.col("label"), F.col("version"))))
+
+
+def versioned(entries: DataFrame, at: str = "read_ts") -> DataFrame:
+    """Registry entries of many readings, each with the time from which and until which it holds.
+
+    A configuration is replaced as a whole: its entries of one time hold until its next time,
+    listed there again or not. Adds valid_from and valid_to (null for the latest).
+    """
+    times = entries.select("config", F.col(at).alias("valid_from")).distinct()
+    turn = Window.partitionBy("config").orderBy("valid_from")
+    times = times.withColumn("valid_to", F.lead("valid_from").over(turn))
+    return (entries.withColumnRenamed(at, "valid_from").join(times, ["config", "valid_from"]))

@@ -222,6 +222,22 @@ TARGETS = "(SELECT r_regionkey AS broker, r_name AS base_topic FROM region WHERE
 MESSAGES = f"""SELECT broker, base_topic || '/' || device_name AS topic, record AS payload
   FROM record CROSS JOIN {TARGETS}"""
 
+# Polls of one inverter fleet where block 2 of every nineteenth is cut short.
+GRADED = f"""WITH {single(q.INVERTER)}, per_block AS (
+  SELECT poll_id, poll_ts, device_name, block, count(*) AS n, CAST(count(CASE WHEN attempt < tries THEN 1 END) AS BIGINT) AS tries,
+         count(CASE WHEN ok AND attempt < tries THEN 1 END) = 0 AS torn
+  FROM dispatched GROUP BY ALL),
+graded AS (
+  SELECT poll_id, poll_ts, device_name, CAST(sum(n) AS BIGINT) AS n_reads, count(CASE WHEN torn THEN 1 END) AS n_torn,
+         string_agg(CASE WHEN torn THEN block END, ',' ORDER BY block) AS torn,
+         string_agg(CASE WHEN torn THEN tries END, ',' ORDER BY block) AS tries,
+         CAST(max(CASE WHEN block = 2 THEN tries END) AS VARCHAR) AS tries_2 FROM per_block GROUP BY ALL)"""
+OUTCOME = "CASE WHEN n_torn > 0 THEN 'torn' WHEN poll_id % 19 = 0 THEN 'unusable' ELSE 'whole' END"
+REJECTS = f"""SELECT poll_id, device_name, {OUTCOME} AS outcome, p.block, p.tries AS attempts
+  FROM graded JOIN per_block p USING (poll_id, device_name)
+  WHERE p.torn OR n_torn = 0 AND poll_id % 19 = 0 AND p.block = 2"""
+OLD = "poll_ts <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
+
 ORACLE: dict[str, str] = {
     # Read back from one list per nation, or per kind of broker.
     "device_registry": f"""SELECT CAST(row_number() OVER (PARTITION BY split_part(ip_address, '.', 3)
@@ -263,6 +279,21 @@ ORACLE: dict[str, str] = {
       count(CASE WHEN attempt < tries THEN 1 END) AS attempts FROM dispatched
       GROUP BY poll_id, device_name, block
       HAVING count(CASE WHEN ok AND attempt < tries THEN 1 END) = 0""",
+    "unusable_entries": f"""SELECT position, CASE WHEN position % 9 <> 6 THEN driver END AS driver, slave_id
+      FROM ({DEVICES}) WHERE position % 9 IN (4, 5, 6)""",
+    "unreadable_registries": """SELECT 'no section' AS reason, count(DISTINCT s_nationkey) AS files FROM supplier
+      WHERE s_nationkey % 4 = 1 UNION ALL SELECT 'no entries', 1""",
+    "registry_as_of": f"""WITH {single(q.INVERTER)}, middle AS (
+        SELECT floor((floor(epoch(min(ts))) + floor(epoch(max(ts)))) / 2) AS half FROM events)
+      SELECT poll_id, device_name, block, CASE WHEN epoch(poll_ts) < half THEN measurement ELSE 'LATER' END AS measurement
+      FROM dispatched CROSS JOIN middle
+      WHERE attempt = 0 AND (epoch(poll_ts) < half OR device % 5 NOT IN (1, 2))""",
+    "unusable_polls": f"""WITH {single(q.INVERTER)}, {CHOSEN}, {POLL}
+      SELECT poll_id, device_name, '2' AS blocks FROM poll WHERE poll_id % 19 = 0""",
+    "graded_polls": f"""{GRADED} SELECT poll_id, device_name, {OUTCOME} AS outcome, n_reads,
+      CASE WHEN n_torn > 0 THEN torn WHEN poll_id % 19 = 0 THEN '2' ELSE '' END AS blocks,
+      CASE WHEN n_torn > 0 THEN tries WHEN poll_id % 19 = 0 THEN tries_2 ELSE '' END AS tries FROM graded""",
+    "poll_rejects": f"""{GRADED} {REJECTS}""",
     "attempt_stats": f"""{READS} SELECT device_name, block, count(*) AS attempts,
       count(CASE WHEN NOT ok THEN 1 END) AS failed, max(attempt) AS last_attempt
       FROM landed GROUP BY device_name, block""",
@@ -286,6 +317,8 @@ ORACLE: dict[str, str] = {
     **{name: decoded(driver) for name, driver in q.DECODERS.items()},
     "field_decode": long(FLEET),
     "wide_pivot": decoded(q.STATION),
+    "wide_pivot_by_place": f"""SELECT d.*, config, CAST(substr("Device_Name", 5) AS INT) AS position
+      FROM ({decoded(q.STATION)}) d CROSS JOIN {values([("config",), ("second",)], "c(config)")}""",
     "register_driver": f"""WITH {STATION}, {CHOSEN}, {POLL}
       SELECT poll_id, {TAGS}, {fields(q.SITE_METER["site_meter"])} FROM poll""",
     "decode_with": f"""WITH {STATION}, {CHOSEN}, {POLL}
@@ -300,6 +333,10 @@ ORACLE: dict[str, str] = {
     "cpu_temp_parse": f"""SELECT 'H' || l_suppkey AS host, {TEMP} AS cpu_temp_raw,
       l_quantity AS cpu_temp FROM lineitem""",
     "cpu_serial": f"SELECT 'H' || s_suppkey AS host, {SERIAL} AS serial FROM supplier",
+    "unusable_samples": f"""SELECT 'H' || l_suppkey AS host,
+      CASE WHEN {size(0)} // 131072 % 11 = 3 THEN 'temp=n/a' END AS cpu_temp_raw,
+      l_discount * {double(100)} AS cpu_usage, {size(0)} AS ram_cached FROM lineitem
+      WHERE {size(0)} // 131072 % 11 IN (3, 4)""",
     "host_metrics": METRICS,
     "union_host_records": f"SELECT * FROM ({decoded(q.STATION)}) UNION ALL BY NAME ({METRICS})",
     "utc_minute_string": """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:00Z') AS "Date"
@@ -330,6 +367,22 @@ ORACLE: dict[str, str] = {
     "measurement_routing": f"""SELECT "Measurement_Suffix", substr("Date", 1, 10) AS day,
       count(*) AS records, min(poll_id) AS first_poll, max("Air_Temperature") AS highest
       FROM ({decoded(q.STATION)}) GROUP BY 1, 2""",
+    "measurement_replay": f"""SELECT "Measurement_Suffix", substr("Date", 1, 10) AS day,
+      count(*) AS records, min(poll_id) AS first_poll, max("Air_Temperature") AS highest
+      FROM ({decoded(q.STATION)}) GROUP BY 1, 2""",
+    "collection_run": f"""{GRADED}, told AS (SELECT poll_id, {OUTCOME} AS outcome FROM graded),
+      reject AS ({REJECTS})
+      SELECT outcome AS kind, count(*) AS n FROM told GROUP BY 1
+      UNION ALL SELECT 'in files', count(*) FROM told WHERE outcome = 'whole'
+      UNION ALL SELECT 'to ' || broker, count(*) FROM told CROSS JOIN {TARGETS} WHERE outcome = 'whole' GROUP BY broker
+      UNION ALL SELECT outcome || ' ' || block, count(*) FROM reject GROUP BY outcome, block""",
+    "stream_decode_retries": long(STATION, CATALOG.only(q.STATION)),
+    "stream_rejects": f"{GRADED} {REJECTS} AND graded.{OLD}".replace("WHERE p.torn OR n_torn = 0 AND poll_id % 19 = 0 AND p.block = 2",
+                                                             "WHERE (p.torn OR n_torn = 0 AND poll_id % 19 = 0 AND p.block = 2)"),
+    "stream_late_reads": f"""WITH {single(q.INVERTER)}
+      SELECT poll_id, device_name, block, attempt, CAST(4 AS BIGINT) AS n_late FROM dispatched
+      WHERE poll_id % 7 = 0 AND block = 2 AND {OLD}""",
+    "stream_messages_retry": f"WITH {RESOLVED} {MESSAGES}",
     "stream_decode": long(RESOLVED, CATALOG.only(q.STATION)).replace(
         f"{CHOSEN}, {POLL}, ruled", "ruled"),
     # Polls later than ten minutes before the last one are still open.

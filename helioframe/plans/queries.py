@@ -19,9 +19,10 @@ from helioframe.functions import host as h
 from helioframe.functions import tags, words
 from helioframe.operators import attempts, decode, host, messages, package, registry
 from helioframe.plans import testbed as tb
+from helioframe.plans.run import Collection
 from helioframe.plans.shared import shared_folder
 from helioframe.sources.landed import read_host_samples, read_registers, stream_registers
-from helioframe.sources.registry import read_brokers, read_devices
+from helioframe.sources.registry import read_brokers, read_devices, unreadable_registries as unreadable
 from helioframe.sources.snapshots import read_snapshots, read_snapshots_long
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +104,31 @@ def driver_version(spark, sf):
         "position", "name", "driver_version")
 
 
+@query
+def unusable_entries(spark, sf):
+    return registry.unusable_entries(tb.damaged_devices(spark, sf)).select("position", "driver", "slave_id")
+
+
+@query
+def unreadable_registries(spark, sf):
+    """One registry file per nation: some under another section, some without entries."""
+    path, nation = shared_folder(spark, "unreadable"), F.col("site").cast("int")
+    entries = (tb.devices(spark, sf).drop("config").withColumn("site", F.split("ip_address", r"\.")[2]))
+    tb.write_yaml(entries.where(nation % 4 != 1), "devices", "site", "position", f"{path}/good")
+    tb.write_yaml(entries.where(nation % 4 == 1), "others", "site", "position", f"{path}/others")
+    spark.createDataFrame([("devices:",)], "value string").write.text(f"{path}/empty")
+    found = unreadable(spark, f"{path}/*/*/*.txt", "devices").unionByName(unreadable(spark, f"{path}/empty", "devices"))
+    return found.groupBy("reason").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query
+def registry_as_of(spark, sf):
+    """Reads against the registry that held at their poll's time, of two readings of it."""
+    own = CATALOG.only(INVERTER)
+    found = attempts.dispatch(tb.reads_of(spark, sf, INVERTER), registry.versioned(tb.registry_readings(spark, sf)), own)
+    return found.where("attempt = 0").select("poll_id", "device_name", "block", "measurement")
+
+
 def _read_summary(reads: DataFrame) -> DataFrame:
     r = F.col("registers")
     return reads.select("device_name", "poll_id", _text("poll_ts"), "block", "attempt", "ok",
@@ -191,6 +217,30 @@ def read_failures(spark, sf):
         "poll_id", "device_name", "block", "attempts")
 
 
+def _damaged(spark: SparkSession, sf: str) -> DataFrame:
+    own = CATALOG.only(INVERTER)
+    return attempts.dispatch(tb.damaged_reads(tb.reads_of(spark, sf, INVERTER)), tb.devices_of(spark, sf, INVERTER), own)
+
+
+@query
+def unusable_polls(spark, sf):
+    return attempts.unusable_polls(_damaged(spark, sf), CATALOG.only(INVERTER)).select(
+        "poll_id", "device_name", F.array_join("blocks", ",").alias("blocks"))
+
+
+@query
+def graded_polls(spark, sf):
+    found = attempts.graded(_damaged(spark, sf), CATALOG.only(INVERTER))
+    return found.select("poll_id", "device_name", "outcome", "n_reads", F.array_join("blocks", ",").alias("blocks"),
+                        F.array_join("tries", ",").alias("tries"))
+
+
+@query
+def poll_rejects(spark, sf):
+    return attempts.rejects(attempts.graded(_damaged(spark, sf), CATALOG.only(INVERTER))).select(
+        "poll_id", "device_name", "outcome", "block", "attempts")
+
+
 @query
 def attempt_stats(spark, sf):
     return attempts.attempt_stats(tb.reads(spark, sf))
@@ -302,6 +352,17 @@ def wide_pivot(spark, sf):
     return decode.pivot_wide(decode.decode_long(_polls(spark, sf, STATION), own), own[STATION])
 
 
+@query
+def wide_pivot_by_place(spark, sf):
+    """Devices of one name in two configurations stay two."""
+    own, place = CATALOG.only(STATION), ("device_name", "config", "position")
+    both = F.explode(F.array(F.lit("config"), F.lit("second")))
+    reads = tb.reads_of(spark, sf, STATION).select("*", both.alias("config"), F.substring("device_name", 5, 20).cast("int").alias("position"))
+    listed = tb.devices_of(spark, sf, STATION).drop("config").select("*", both.alias("config"))
+    polls = attempts.assemble(attempts.dispatch(reads, listed, own, place), own)
+    return decode.pivot_wide(decode.decode_long(polls, own, ("poll_id", "config", "position")), own[STATION])
+
+
 SITE_METER = Catalog().register_driver(
     "site_meter", "1.0", [Block(1, "input", 0, 50)],
     [Field("Flow", "u32", 1, 4, 5, 100), Field("Level", "s16", 1, 7, divisor=10, clamp=True),
@@ -356,6 +417,11 @@ def cpu_serial(spark, sf):
     return _serials(spark, sf)
 
 
+@query
+def unusable_samples(spark, sf):
+    return host.unusable_samples(tb.damaged_samples(spark, sf)).select("host", "cpu_temp_raw", "cpu_usage", "ram_cached")
+
+
 @query
 def host_metrics(spark, sf):
     return host.host_metrics(tb.host_samples(spark, sf), _serials(spark, sf))
@@ -479,6 +545,42 @@ def measurement_routing(spark, sf):
         F.max("Air_Temperature").alias("highest"))
 
 
+@query
+def measurement_replay(spark, sf):
+    """A run written twice, the first time with more than it should hold, and another run."""
+    path = shared_folder(spark, "measurement-replay")
+    table = decode.decode_wide(_polls(spark, sf, STATION), CATALOG[STATION], keep=("poll_id", "poll_ts"))
+    odd = table.where("poll_id % 2 = 1")
+    sinks.write_measurements(odd.withColumn("Measurement_Suffix", F.lit("WRONG")).unionByName(odd), path, run="odd")
+    sinks.write_measurements(odd, path, run="odd")
+    sinks.write_measurements(table.where("poll_id % 2 = 0"), path, run="even")
+    return spark.read.parquet(path).groupBy("Measurement_Suffix", F.col("day").cast("string").alias("day")).agg(
+        F.count(F.lit(1)).alias("records"), F.min("poll_id").alias("first_poll"),
+        F.max("Air_Temperature").alias("highest"))
+
+
+@query
+def collection_run(spark, sf):
+    """One run from reads to sinks: what every sink got and every reject, by kind."""
+    out = shared_folder(spark, "collection-run")
+    own = CATALOG.only(INVERTER)
+    one = Collection(tb.damaged_reads(tb.reads_of(spark, sf, INVERTER)), tb.devices_of(spark, sf, INVERTER), f"{out}/polls", own)
+
+    def publish(broker, batch):
+        batch.write.parquet(f"{out}/messages/to={broker['broker']}")
+
+    one.send(tb.runs(spark, sf, tb.LOGGERS[:1]), PREFIX, ("files", "messages"), path=f"{out}/files",
+             brokers=tb.brokers(spark, sf), publish=publish, zone=ZONE)
+    files = (spark.read.text(f"{out}/files", wholetext=True)
+             .select(F.size(F.from_json("value", "array<string>")).cast("long").alias("n")))
+    counted = [(kind, one.counts[kind]) for kind in ("whole", "torn", "unusable")]
+    return (spark.createDataFrame(counted, "kind string, n long")
+            .unionByName(files.agg(F.lit("in files").alias("kind"), F.sum("n").alias("n")))
+            .unionByName(spark.read.parquet(f"{out}/messages").groupBy(F.concat(F.lit("to "), "to").alias("kind"))
+                         .agg(F.count(F.lit(1)).alias("n")))
+            .unionByName(one.rejects().groupBy(F.concat_ws(" ", "outcome", "block").alias("kind")).agg(F.count(F.lit(1)).alias("n"))))
+
+
 # Streams
 
 def _table(spark: SparkSession, stream: DataFrame, purpose: str) -> DataFrame:
@@ -494,6 +596,40 @@ def stream_decode(spark, sf):
         reads, tb.devices_of(spark, sf, STATION), CATALOG.only(STATION)), "stream-decode")
 
 
+@query
+def stream_decode_retries(spark, sf):
+    """All attempts are landed; each poll comes once, with the read that counts."""
+    reads = tb.reads_of(spark, sf, STATION, stream=True)
+    return _table(spark, streaming.stream_decode(
+        reads, tb.devices_of(spark, sf, STATION), CATALOG.only(STATION), "10 minutes"), "stream-decode-retries")
+
+
+def _closed(spark: SparkSession, sf: str, reads: DataFrame, purpose: str) -> DataFrame:
+    return _table(spark, streaming.stream_polls(
+        reads, tb.devices_of(spark, sf, INVERTER), catalog=CATALOG.only(INVERTER)), purpose)
+
+
+@query
+def stream_rejects(spark, sf):
+    polls = _closed(spark, sf, tb.damaged_reads(tb.reads_of(spark, sf, INVERTER, stream=True)), "stream-rejects")
+    return attempts.rejects(polls).select("poll_id", "device_name", "outcome", "block", "attempts")
+
+
+@query
+def stream_late_reads(spark, sf):
+    """Block 2 of every seventh poll lands once the polls before the last ten minutes are closed."""
+    out = shared_folder(spark, "late-reads")
+    reads = tb.reads_of(spark, sf, INVERTER)
+    late = F.expr("poll_id % 7 = 0 AND block = 2")
+    for part in (reads.where(~late), reads.where(late)):
+        part.write.mode("append").parquet(f"{out}/landed")
+        polls = streaming.stream_polls(stream_registers(spark, f"{out}/landed"), tb.devices_of(spark, sf, INVERTER),
+                                       catalog=CATALOG.only(INVERTER))
+        streaming.append_table(polls, f"{out}/polls", f"{out}/log").awaitTermination()
+    closed = spark.read.schema(polls.schema).parquet(f"{out}/polls")
+    return attempts.late_reads(reads, closed).where("block = 2").select("poll_id", "device_name", "block", "attempt", "n_late")
+
+
 @query
 def stream_assemble(spark, sf):
     reads = tb.reads_of(spark, sf, INVERTER, stream=True)
@@ -530,12 +666,38 @@ def stream_snapshots_small_batches(spark, sf):
         spark, path, STATION_SCHEMA, max_files=1000), "stream-snapshots-small"))
 
 
-@query
-def stream_messages(spark, sf):
+def _stream_records(spark: SparkSession, sf: str) -> DataFrame:
     own = CATALOG.only(STATION)
     dispatched = attempts.dispatch(tb.reads_of(spark, sf, STATION, stream=True, resolved=True),
                                    tb.devices_of(spark, sf, STATION), own)
-    records = decode.records(streaming.single_block_polls(dispatched, own), own)
+    return decode.records(streaming.single_block_polls(dispatched, own), own)
+
+
+@query
+def stream_messages_retry(spark, sf):
+    """One broker fails once; what it refused is kept and taken later."""
+    out = shared_folder(spark, "stream-messages-retry")
+    failed = []
+
+    def publish(batch_id, broker, batch):
+        if broker["broker"] == 2 and not failed:
+            failed.append(batch_id)
+            raise OSError("down")
+        batch.write.mode("overwrite").parquet(f"{out}/sent/batch={batch_id}/to={broker['broker']}")
+
+    streaming.stream_messages(_stream_records(spark, sf), tb.brokers(spark, sf), publish, f"{out}/log",
+                              f"{out}/outbox").awaitTermination()
+    if not failed:
+        raise AssertionError("no broker has failed")
+    left = messages.Outbox(spark, f"{out}/outbox").deliver(-1, None, tb.brokers(spark, sf), publish)
+    if any(left.values()):
+        raise AssertionError(f"messages are still pending: {left}")
+    return spark.read.parquet(f"{out}/sent").select("broker", "topic", "payload")
+
+
+@query
+def stream_messages(spark, sf):
+    records = _stream_records(spark, sf)
     out = shared_folder(spark, "stream-messages")
 
     def publish(batch_id, broker, batch):

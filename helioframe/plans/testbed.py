@@ -56,6 +56,33 @@ def devices_of(spark: SparkSession, sf_dir: str, driver: str) -> DataFrame:
             .withColumn("enabled", F.lit(True)))
 
 
+def damaged_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The devices, some without a switch, a name or a driver."""
+    at = F.col("position") % 9
+    return devices(spark, sf_dir).withColumns({
+        "enabled": F.when(at != 4, F.col("enabled")), "name": F.when(at != 5, F.col("name")),
+        "driver": F.when(at != 6, F.col("driver"))})
+
+
+def registry_readings(spark: SparkSession, sf_dir: str, driver: str = "inv_abb_pvs800") -> DataFrame:
+    """The devices as read twice: before all events, and in the middle of them, when some are
+    off, some are gone and the others are measured under another name."""
+    ts = as_instant(F.col("ts"))
+    times = table(spark, sf_dir, "events").agg(F.min(ts).alias("first"), F.max(ts).alias("last"))
+    middle = F.timestamp_seconds(F.floor((F.unix_seconds("first") + F.unix_seconds("last")) / 2))
+    both = devices_of(spark, sf_dir, driver).crossJoin(times)  # one row
+    at = F.col("position") % 5
+    return both.withColumn("read_ts", F.col("first")).unionByName(
+        both.where(at != 1).withColumns({"read_ts": middle, "enabled": at != 2, "measurement": F.lit("LATER")})
+    ).drop("first", "last")
+
+
+def damaged_reads(reads: DataFrame) -> DataFrame:
+    """The reads; of every nineteenth poll, block 2 has two words left."""
+    cut = (F.col("poll_id") % 19 == 0) & (F.col("block") == 2)
+    return reads.withColumn("registers", F.when(cut, F.slice("registers", 1, 2)).otherwise(F.col("registers")))
+
+
 def brokers(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("r_regionkey")
     return table(spark, sf_dir, "region").select(
@@ -167,6 +194,13 @@ def host_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_discount") * 25).alias("disk_percent"))
 
 
+def damaged_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples; some temperatures can't be read, some are missing."""
+    raw, at = F.col("cpu_temp_raw"), F.col("ram_cached") / 131072 % 11
+    return host_samples(spark, sf_dir).withColumn(
+        "cpu_temp_raw", F.when(at == 3, F.lit("temp=n/a")).when(at != 4, raw))
+
+
 def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("H"), F.col("s_suppkey")).alias("host"))

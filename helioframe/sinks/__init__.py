@@ -6,6 +6,7 @@ by its log.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from itertools import groupby
@@ -54,8 +55,16 @@ def write_snapshot_files(entries: DataFrame, path: str) -> None:
 
 
 def write_measurements(records: DataFrame, path: str, ts: str = "poll_ts",
-                       mode: str = "append") -> None:
-    """Records as one table per measurement suffix and day."""
+                       mode: str = "append", run: str | None = None) -> None:
+    """Records as one table per measurement suffix and day.
+
+    With `run`, a name for what is written, a repeated run replaces its own part of the
+    table, whatever it holds the second time; readers get the name as a column `run`.
+    """
+    if run is not None:
+        if not re.fullmatch(r"[A-Za-z0-9._:-]+", run):
+            raise ValueError(f"a run's name is letters, digits and . _ : - only, not {run!r}")
+        path, mode = f"{path.rstrip('/')}/run={run.replace(':', '%3A')}", "overwrite"
     (records.withColumn("day", tags.utc_day(F.col(ts)))
      .hint("rebalance", "Measurement_Suffix", "day")
      .write.mode(mode).partitionBy("Measurement_Suffix", "day").parquet(path))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from helioframe.catalog import CATALOG, Catalog
-from helioframe.operators.attempts import DEVICE, POLL, assemble, dispatch, whole
+from helioframe.operators.attempts import DEVICE, POLL, accepted, assemble, dispatch, graded, whole
 from helioframe.operators.decode import decode_long
-from helioframe.operators.messages import deliver
+from helioframe.operators.messages import Outbox, deliver
 from helioframe.sources.snapshots import stream_snapshot_files
 
 
@@ -26,9 +28,80 @@ def single_block_polls(dispatched: DataFrame, catalog: Catalog = CATALOG) -> Dat
                                       .alias(f"registers_{k}") for k in catalog.block_numbers()]))
 
 
-def stream_decode(reads: DataFrame, devices: DataFrame, catalog: Catalog = CATALOG) -> DataFrame:
-    """Stateless decode of one-block drivers, in append mode."""
-    return decode_long(single_block_polls(dispatch(reads, devices, catalog), catalog), catalog)
+STATE = "seen long, refused boolean, turn int, attempt int, done boolean, row binary"
+
+
+def first_attempts(dispatched: DataFrame, delay: str = "10 minutes", catalog: Catalog = CATALOG) -> DataFrame:
+    """The read that counts of every poll and block, as soon as it is certain, in append mode.
+
+    The same reads as `attempts.choose_attempt`. State holds, per poll and block, the best read
+    so far and the attempts seen. It is given out once, when every earlier attempt has been seen
+    to fail, or when the watermark passes the poll by `delay`; until then later copies add
+    nothing. Reads that come after that are late and dropped by Spark.
+    """
+    keys = [*POLL, *DEVICE, "n_blocks", "block"]
+    shape = dispatched.select(*keys, "attempt", "registers").schema
+    rank = dispatched.where("attempt < max_attempts").withWatermark("poll_ts", delay).select(
+        *keys, "attempt", "ok", "registers", "max_attempts", accepted(catalog).alias("good"))
+
+    def choose(key, frames, state):
+        row = dict(zip(keys, key))
+        if state.hasTimedOut:
+            seen, refused, turn, attempt, done, kept = state.get
+            state.remove()
+            if not done and kept is not None:
+                yield pd.DataFrame([row | {"attempt": attempt, "registers": pickle.loads(kept)}])
+            return
+        seen, refused, turn, attempt, done, kept = state.get if state.exists else (0, True, 0, 0, False, None)
+        last = 0
+        for frame in frames:
+            for a, ok, registers, most, good in zip(*(frame[c] for c in ("attempt", "ok", "registers", "max_attempts", "good"))):
+                seen, last = seen | 1 << int(a), int(most)
+                mine = (not good, int(a) if good else -int(a))
+                if ok and (kept is None or mine < (refused, turn)):
+                    refused, turn, attempt = mine[0], mine[1], int(a)
+                    kept = pickle.dumps(None if registers is None else [None if pd.isna(x) else int(x) for x in registers])
+        # An accepted read is certain once all before it are known; a refused one once all are.
+        before = (1 << (attempt if not refused else last)) - 1
+        certain = kept is not None and not done and seen & before == before
+        if certain:
+            yield pd.DataFrame([row | {"attempt": attempt, "registers": pickle.loads(kept)}])
+        state.update((seen, refused, turn, attempt, done or certain, None if done or certain else kept))
+        closes = int(key[POLL.index("poll_ts")].timestamp() * 1000)
+        if closes > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(closes)
+        else:
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 1)
+
+    return rank.groupBy(*keys).applyInPandasWithState(choose, shape, STATE, "append", "EventTimeTimeout")
+
+
+def stream_decode(reads: DataFrame, devices: DataFrame, catalog: Catalog = CATALOG,
+                  delay: str | None = None) -> DataFrame:
+    """Decode of one-block drivers, in append mode.
+
+    Without `delay` it keeps no state, and the stream must hold the one read of a poll that
+    counts. With `delay`, retries may be landed as well: see `first_attempts`.
+    """
+    dispatched = dispatch(reads, devices, catalog)
+    if delay is not None:
+        few = dispatched.where("n_blocks = 1")
+        chosen = first_attempts(few, delay, catalog)
+        blocks = catalog.blocks_frame(reads.sparkSession).select("driver", "block", "max_attempts", "min_size", "present", "paired")
+        dispatched = chosen.withColumn("ok", F.lit(True)).join(F.broadcast(blocks), ["driver", "block"])
+    return decode_long(single_block_polls(dispatched, catalog), catalog)
+
+
+def stream_polls(reads: DataFrame, devices: DataFrame, delay: str = "10 minutes",
+                 catalog: Catalog = CATALOG) -> DataFrame:
+    """Every poll once the watermark has passed it, whole or not, in append mode.
+
+    One grouping serves records and rejects alike (see `attempts.graded`): write it once, and
+    take `decode_long`, `records` and `attempts.rejects` from the table. What comes later than
+    `delay` is found afterwards, by `attempts.late_reads`.
+    """
+    waiting = reads.withWatermark("poll_ts", delay)
+    return graded(dispatch(waiting, devices, catalog), catalog)
 
 
 def stream_assemble(reads: DataFrame, devices: DataFrame, delay: str = "10 minutes",
@@ -36,7 +109,8 @@ def stream_assemble(reads: DataFrame, devices: DataFrame, delay: str = "10 minut
     """Choose attempts and assemble polls of any driver, in append mode.
 
     State holds the polls of the last `delay` only. A poll is emitted when the
-    watermark passes it, or dropped if it is not whole by then.
+    watermark passes it, or dropped if it is not whole by then; `stream_polls` keeps
+    those as well, with what is wrong.
     """
     waiting = reads.withWatermark("poll_ts", delay)
     return decode_long(assemble(dispatch(waiting, devices, catalog), catalog), catalog)
@@ -62,20 +136,40 @@ def stream_snapshots(spark: SparkSession, path: str, schema: str, delay: str = "
 
 def stream_messages(records: DataFrame, brokers: DataFrame,
                     publish: Callable[[int, Row, DataFrame], None],
-                    checkpoint: str) -> StreamingQuery:
+                    checkpoint: str, outbox: str | None = None) -> StreamingQuery:
     """Send the messages of each micro-batch, one try per broker and batch.
 
     `publish(batch_id, broker, messages)` may see a batch again after a failure;
-    the batch id lets it recognise that.
+    the batch id lets it recognise that. With `outbox`, a folder, a broker's messages
+    are kept until it has taken them: each batch offers the older ones first, and
+    `messages.Outbox.deliver` without records offers what is left at the end.
     """
     def send(batch: DataFrame, batch_id: int) -> None:
-        deliver(batch, brokers,
-                lambda broker, messages: publish(batch_id, broker, messages))
+        if outbox is not None:
+            Outbox(batch.sparkSession, outbox).deliver(batch_id, batch, brokers, publish)
+        else:
+            deliver(batch, brokers, lambda broker, messages: publish(batch_id, broker, messages))
 
     return (records.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def stream_runs(reads: DataFrame, read_devices: Callable[[], DataFrame],
+                write: Callable[[DataFrame, int], None], checkpoint: str, catalog: Catalog = CATALOG,
+                on: tuple[str, ...] = ("device_name",)) -> StreamingQuery:
+    """Each micro-batch against the registry as it is read for that batch.
+
+    `read_devices` is called for every batch, so a device that a new file switches off or adds
+    counts from the next batch on; `registry.versioned` entries count by the poll's time instead.
+    `write(dispatched, batch_id)` gets the dispatched reads of the batch.
+    """
+    def send(batch: DataFrame, batch_id: int) -> None:
+        write(dispatch(batch, read_devices(), catalog, on), batch_id)
+
+    return (reads.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 def append_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append what is available now to a parquet table, exactly once."""
     return (stream.writeStream.format("parquet").outputMode("append")
