@@ -2,15 +2,21 @@
 
 A document's words, symbols and repetitions become a vector of transformed
 statistics. For every language and source, the minimum-covariance-determinant
-method estimates where the bulk of documents lies: from medians on, it takes the
-`HALF` of the documents that are nearest, then their mean and covariance, and
-again, `STEPS` times. A document whose Mahalanobis distance goes beyond the
+method looks for the `HALF` of the documents whose covariance has the least
+determinant. From each of `STARTS` starts (all documents, the coordinatewise
+medians, a sample by hash) it takes the documents that are nearest, then their mean
+and covariance, and again, until no determinant falls any more; the start that ends
+lowest counts. A document whose Mahalanobis distance from there goes beyond the
 cutoff is rejected.
 
-Every step is one grouping over the narrow table of statistics that combines
-before its shuffle (sums, products, and a quantile sketch), so a group may hold
-any part of the rows. Groups of fewer than `LEAST` documents use the estimate of
-their language, languages as small that of the corpus.
+Groups of fewer than `LEAST` documents are judged by the estimate over all documents
+of their language, in languages as small by that of the corpus.
+
+Every step is one grouping over the narrow table of statistics that combines before
+its shuffle: documents are counted and summed by group, start and distance, in bins
+fine enough for a quantile; so a group may hold any part of the rows. Statistics are
+whole numbers on a grid, whose sums are exact: verdicts don't depend on the order or
+partitioning of the rows. Documents of one bin are taken or left together.
 """
 
 from __future__ import annotations
@@ -23,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helioframe.llm.shared import cut, schema_of
+from helioframe.llm.shared import cut, packed, schema_of, unpacked
 from helioframe.llm.words import DENSE, by_text, cover, pieces
+from helioframe.operators.lookup import lookup_join
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -76,8 +83,12 @@ def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # --- the vector, its estimate and the verdict -------------------------------------------
 
-#: Fixed parts of the method: the bulk, its size, steps, and squared distance of the cutoff.
-HALF, LEAST, STEPS, CUTOFF = 0.75, 50, 3, 45.0
+#: Fixed parts of the method: the bulk, its least size, steps at most, and squared distance of the cutoff.
+HALF, LEAST, STEPS, CUTOFF = 0.75, 50, 12, 45.0
+#: Starts: all documents, medians, a sample of about so many.
+STARTS, SAMPLE = 3, 200
+#: Steps of the grid in a unit, bins in a doubling of the distance, and bins of a unit for medians.
+GRID, BINS, COARSE = 4096, 64, 64
 #: What makes the covariance of the nearest three quarters consistent, in five dimensions.
 CONSISTENT = 1.414
 #: Transformed statistics, with the least standard deviation that any group is given.
@@ -91,18 +102,18 @@ VECTOR = (
 )
 DIM = len(VECTOR)
 PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
-SHAPE = "key long, center array<double>, precision array<double>"
+SHAPE = "key long, start int, center array<double>, precision array<double>, det double"
+#: Estimates that are broadcast at most; one has some forty numbers.
+FEW = 50_000
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns in `keep` and the base statistics of every whole text; null is empty."""
-    read = docs.select(*[f"`{c}`" for c in keep if c != "text"], F.col("text").cast("string"))
-    names = [c for c in keep if c != "text"]
-    return read.mapInArrow(statistics, schema_of(read, names, ", ".join(f"{c} long" for c in BASE)))
+def measured(read: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns in `keep` and the base statistics of every whole `text`; null is empty."""
+    return read.mapInArrow(statistics, schema_of(read, keep, ", ".join(f"{c} long" for c in BASE)))
 
 
 def group_key(level: int, *names: str) -> Column:
@@ -110,85 +121,144 @@ def group_key(level: int, *names: str) -> Column:
     return F.xxhash64(F.lit(level), *parts)
 
 
-def grouped(stats: DataFrame) -> DataFrame:
-    """Groups to estimate: (lang, source, key), key null where there are too few to judge.
-
-    A language and source, else what is left of the language, else what is left.
-    """
+def levels(stats: DataFrame) -> DataFrame:
+    """(pair, language, everything, key): each language and source, and the group that judges it, null if none can."""
     pairs = stats.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    pairs = pairs.withColumn("small", F.col("n") < LEAST)
-    rest = (pairs.where("small").groupBy("lang").agg(F.sum("n").alias("rest"))
-            .withColumn("smaller", F.col("rest") < LEAST)
-            .withColumn("last", F.sum(F.when(F.col("smaller"), F.col("rest"))).over(Window.partitionBy())))
-    return (pairs.alias("p").join(rest.alias("r"), F.expr("p.lang <=> r.lang"), "left")
-            .select("p.lang", "p.source", F.when(~F.col("small"), group_key(2, "p.lang", "p.source"))
-                    .when(~F.col("smaller"), group_key(1, "p.lang"))
-                    .when(F.col("last") >= LEAST, group_key(0)).alias("key")))
+    languages = pairs.groupBy("lang").agg(F.sum("n").alias("n_lang"))
+    total = pairs.agg(F.sum("n").alias("n_all"))
+    told = (pairs.withColumn("language", group_key(1, "lang")).withColumn("pair", group_key(2, "lang", "source"))
+            .join(languages.select(group_key(1, "lang").alias("language"), "n_lang"), "language").crossJoin(F.broadcast(total)))
+    key = (F.when(F.col("n") >= LEAST, F.col("pair")).when(F.col("n_lang") >= LEAST, F.col("language"))
+           .when(F.col("n_all") >= LEAST, group_key(0)))
+    return told.select("pair", "language", group_key(0).alias("everything"), key.alias("key"))
+
+
+def looked_up(rows: DataFrame, few: DataFrame, on: str) -> DataFrame:
+    return lookup_join(rows, few, [on], "spread", FEW)
 
 
-def distance() -> Column:
+def vectors(stats: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, spread, x0, x1, ...): a row for each document and each group that it helps to estimate."""
+    used = groups.select("key").where("key IS NOT NULL").distinct()
+    # Each pair's groups that are used at all: itself, its language, the corpus.
+    member = (groups.select("pair", F.explode(F.array_distinct(F.array("pair", "language", "everything"))).alias("key"))
+              .join(used, "key", "left_semi"))
+    grid = lambda e: F.expr(f"cast(round(({e}) * {GRID}) AS long)")
+    rows = stats.select(group_key(2, "lang", "source").alias("pair"),
+                        *[grid(e).alias(f"x{i}") for i, (e, _) in enumerate(VECTOR)])
+    rows = rows.withColumn("spread", F.xxhash64(*[f"x{i}" for i in range(DIM)]))
+    return looked_up(rows, cut(member), "pair").drop("pair")
+
+
+def distance(unit: str = "") -> Column:
     """The squared Mahalanobis distance of columns x0, x1, ... by center and precision."""
     return F.expr(" + ".join(
-        f"{1 if i == j else 2} * precision[{i * DIM + j}] * (x{i} - center[{i}]) * (x{j} - center[{j}])"
+        f"{1 if i == j else 2} * precision[{i * DIM + j}] * (x{i}{unit} - center[{i}]) * (x{j}{unit} - center[{j}])"
         for i, j in PAIRS))
 
 
-def inverted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Center and precision of each group from its sums; one small row per group."""
+def moments() -> list[Column]:
+    """Exact sums of a group's vectors and of their products."""
+    whole = lambda c: F.sum(c.cast("decimal(20,0)"))
+    return [F.count(F.lit(1)).alias("n"), *[whole(F.col(f"x{i}")).alias(f"s{i}") for i in range(DIM)],
+            *[whole(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in PAIRS]]
+
+
+SUMS = ["n", *[f"s{i}" for i in range(DIM)], *[f"p{i}{j}" for i, j in PAIRS]]
+
+
+def fitted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Center, precision and determinant of each group and start, from its sums; one small row each."""
     floor = np.diag([least ** 2 for _, least in VECTOR])
     for frame in frames:
         rows = []
-        for n, s, p, key in zip(frame["n"], frame["sums"], frame["products"], frame["key"]):
-            center, second = np.array(s) / n, np.zeros((DIM, DIM))
-            for value, (i, j) in zip(p, PAIRS):
-                second[i, j] = second[j, i] = value / n
-            cover_ = (second - np.outer(center, center)) * CONSISTENT + floor
-            rows.append((key, center.tolist(), np.linalg.inv(cover_).ravel().tolist()))
-        yield pd.DataFrame(rows, columns=["key", "center", "precision"])
+        for row in frame.itertuples(index=False):
+            n, sums = int(row.n), [int(getattr(row, f"s{i}")) for i in range(DIM)]
+            second = np.zeros((DIM, DIM))
+            for i, j in PAIRS:  # from whole numbers, so nothing cancels
+                second[i, j] = second[j, i] = (n * int(getattr(row, f"p{i}{j}")) - sums[i] * sums[j]) / (n * n * GRID ** 2)
+            found = second * CONSISTENT + floor
+            rows.append((row.key, row.start, [t / (n * GRID) for t in sums], np.linalg.inv(found).ravel().tolist(),
+                         float(np.linalg.det(found))))
+        yield pd.DataFrame(rows, columns=["key", "start", "center", "precision", "det"])
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """The first estimates of every group, in the shape `SHAPE`."""
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("all"))
+    whole = rows.groupBy("key").agg(*moments()).withColumn("start", F.lit(0))
+    # A document is in the sample by its own hash; groups that so get too few have one start less.
+    turn = F.pmod(F.xxhash64("spread", F.lit(1)), F.ceil(F.col("all") / SAMPLE)) == 0
+    sample = (looked_up(rows, cut(counts), "key").where(turn).groupBy("key").agg(*moments())
+              .where(F.col("n") > 4 * DIM).withColumn("start", F.lit(2)))
+    first = whole.unionByName(sample).select("key", "start", *SUMS).mapInPandas(fitted, SHAPE)
+    # Medians and quartiles, from counts in bins.
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.floor(F.col(f"x{i}") * COARSE / GRID).alias("bin"))
+                               for i in range(DIM)])).alias("x")
+    bins = rows.select("key", each).groupBy("key", "x.dim", "x.bin").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("key", "dim").orderBy("bin")
+    bins = bins.withColumns({"cum": F.sum("n").over(upto), "total": F.sum("n").over(Window.partitionBy("key", "dim"))})
+    at = lambda q: F.min(F.when(F.col("cum") >= q * F.col("total"), (F.col("bin") + 0.5) / COARSE))
+    middle = bins.groupBy("key", "dim").agg(at(0.5).alias("median"), ((at(0.75) - at(0.25)) / 1.349).alias("scale"))
+    found = middle.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("dim", "median", "scale"))).alias("x"))
+    cells = ", ".join("0.0D" if i != j else f"1 / (power(x[{i}].scale, 2) + {VECTOR[i][1] ** 2}D)"
+                      for i in range(DIM) for j in range(DIM))
+    second = found.select("key", F.lit(1).alias("start"), F.expr("transform(x, v -> v.median)").alias("center"),
+                          F.expr(f"array({cells})").alias("precision"), F.lit(float("inf")).alias("det"))
+    # How low a start lies is known after its first step.
+    return first.withColumn("det", F.lit(float("inf"))).unionByName(second)
+
+
+def step(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The estimates over the nearest documents of those before."""
+    near = looked_up(rows, found, "key").withColumn("bin", F.floor(F.log2(1 + F.greatest(distance(f" / {GRID}D"), F.lit(0.0))) * BINS))
+    bins = near.groupBy("key", "start", "bin").agg(*moments())
+    own = Window.partitionBy("key", "start")
+    before = F.sum("n").over(own.orderBy("bin")) - F.col("n")
+    bulk = bins.withColumns({"before": before, "total": F.sum("n").over(own)}).where(F.col("before") < HALF * F.col("total"))
+    return bulk.groupBy("key", "start").agg(*[F.sum(c).alias(c) for c in SUMS]).select("key", "start", *SUMS).mapInPandas(fitted, SHAPE)
 
 
 def estimate(stats: DataFrame) -> DataFrame:
-    """Robust center and precision of every group: (lang, source, center, precision)."""
-    groups = cut(grouped(stats))
-    vectors = cut(stats.alias("s").join(groups.alias("g"), F.expr(
-        "s.lang <=> g.lang AND s.source <=> g.source")).where("key IS NOT NULL")
-        .select("key", *[F.expr(e).alias(f"x{i}") for i, (e, _) in enumerate(VECTOR)]))
-    middle = vectors.groupBy("key").agg(*[F.percentile_approx(
-        f"x{i}", F.lit([0.25, 0.5, 0.75]), 1000).alias(f"q{i}") for i in range(DIM)])
-    cells = ", ".join("0.0D" if i != j else
-                      f"1 / (power((q{i}[2] - q{i}[0]) / 1.349D, 2) + {VECTOR[i][1] ** 2}D)"
-                      for i in range(DIM) for j in range(DIM))
-    found = cut(middle.select("key", F.expr(f"array({', '.join(f'q{i}[1]' for i in range(DIM))})").alias("center"),
-                              F.expr(f"array({cells})").alias("precision")))
+    """Robust center and precision of every language and source: (pair, center, precision)."""
+    groups = cut(levels(stats))
+    rows = cut(vectors(stats, groups))
+    best = cut(starts(rows))
+    now = best
     for _ in range(STEPS):
-        near = vectors.join(found, "key").withColumn("d", distance())
-        limit = near.groupBy("key").agg(F.percentile_approx("d", HALF, 1000).alias("limit"))
-        moments = (near.join(limit, "key").where("d <= limit").groupBy("key").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.array(*[F.sum(f"x{i}") for i in range(DIM)]).alias("sums"),
-            F.array(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in PAIRS]).alias("products")))
-        found = cut(moments.mapInPandas(inverted, SHAPE))
-    return groups.join(found, "key", "left").drop("key")
+        now = cut(step(rows, now))
+        told = now.join(best.select("key", "start", F.col("det").alias("before")), ["key", "start"])
+        falls = cut(told.where(F.col("det") < F.col("before") * (1 - 1e-9)).drop("before"))
+        if not falls.take(1):
+            break
+        best = cut(best.join(falls.select("key", "start"), ["key", "start"], "left_anti").unionByName(falls))
+        now = falls  # a start whose determinant no longer falls is done
+    lowest = best.groupBy("key").agg(F.min_by(F.struct("center", "precision"), F.struct("det", "start")).alias("x"))
+    return groups.select("pair", "key").join(lowest, "key", "left").select("pair", "x.center", "x.precision")
+
+
+RESULT = (*BASE, "base_failed", "distance", "kept")
 
 
 def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns `keep`, the base statistics, `base_failed`, `distance` and `kept`, for every row.
 
-    The estimate covers all rows; `docs` needs doc_id, text, lang and source.
-    Null texts are empty and fail by their number of words; null languages and
-    sources are groups of their own. In a group too small to estimate, and
-    nothing larger to fall back on, the base rules alone decide (distance null).
-    Repeated rows are judged alike. An empty table stays empty.
+    The estimate covers all rows; `docs` needs text, lang and source. Null texts
+    are empty and fail by their number of words; null languages and sources are
+    groups of their own. Where even the corpus is too small to estimate, the base
+    rules alone decide (distance null). Repeated rows are judged alike. Kept columns
+    named as results give way to them. An empty table stays empty.
     """
-    found = estimate(cut(measured(docs, ["lang", "source"])))
-    stats = measured(docs, list(dict.fromkeys([*keep, "lang", "source"])))
-    with_x = stats.select("*", *[F.expr(e).alias(f"x{i}") for i, (e, _) in enumerate(VECTOR)])
-    own = [F.col(f"s.`{c}`") for c in keep if c != "text"]
-    return (with_x.alias("s").join(found.alias("f"), F.expr(
-        "s.lang <=> f.lang AND s.source <=> f.source"), "left")
-        .withColumn("distance", distance()).withColumn("base_failed", base_failed())
-        .select(*own, *[F.col(f"s.{c}") for c in BASE], "base_failed", "distance",
-                (~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))).alias("kept")))
+    kept, row = packed(keep, RESULT)
+    read = docs.select(row, "lang", "source", F.col("text").cast("string").alias("text"))
+    found = cut(estimate(cut(measured(read.select("lang", "source", "text"), ["lang", "source"]))))
+    stats = measured(read, ["row", "lang", "source"]).withColumns(
+        {"pair": group_key(2, "lang", "source"), **{f"x{i}": F.expr(e) for i, (e, _) in enumerate(VECTOR)}})
+    stats = stats.withColumn("spread", F.xxhash64(*BASE))
+    return (looked_up(stats, found, "pair")
+            .withColumn("distance", distance()).withColumn("base_failed", base_failed())
+            .select(*unpacked(kept), *BASE, "base_failed", "distance",
+                    (~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))).alias("kept")))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

@@ -119,7 +119,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's statistics and whether base rules and outlier test keep it."""
-    return quality.judge(table(spark, sf_dir, "documents"), ["doc_id", "lang", "source"]).drop("lang", "source")
+    return quality.judge(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

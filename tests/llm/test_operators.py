@@ -414,32 +414,68 @@ def test_quality(spark, sf, documents):
         assert not (row.base_failed and row.kept)
 
 
-def test_outliers_as_computed_plainly(spark, docs_of, odd):
-    r = random.Random(4)
-    rows = [(i, " ".join("x" * r.randrange(3, 8) + str(r.random())[2:4] for _ in range(r.randrange(40, 300))), "s")
-            for i in range(150)]
-    rows += [(500 + i, " ".join("## $$ word" for _ in range(3)) + " a b c %% && ** <<" * i, "s") for i in range(3, 9)]
-    docs = docs_of(rows + odd)
-    found = {x.doc_id: x for x in quality.judge(docs, ["doc_id", "source"]).collect() if x.source == "s"}
-    stats = np.array([brute.quality(t) for _, t, _ in rows], float)
+def plain_mcd(x, r):
+    """Center and precision of least determinant, from many starts by C-steps over exact subsets."""
+    floor, best = np.diag([least ** 2 for _, least in quality.VECTOR]), (np.inf,)
+    fit = lambda y: (y.mean(axis=0), np.cov(y.T, bias=True) * quality.CONSISTENT + floor)
+    spread = np.subtract(*np.quantile(x, (.75, .25), axis=0)) / 1.349
+    starts = [fit(x), (np.median(x, axis=0), np.diag(spread ** 2) + floor)]
+    starts += [fit(x[r.choice(len(x), min(len(x), 30), replace=False)]) for _ in range(10)]
+    for center, cover in starts:
+        last = np.inf
+        for _ in range(50):
+            d = np.einsum("ij,jk,ik->i", x - center, np.linalg.inv(cover), x - center)
+            center, cover = fit(x[np.argsort(d, kind="stable")[:int(np.ceil(quality.HALF * len(x)))]])
+            if np.linalg.det(cover) >= last * (1 - 1e-12):
+                break
+            last = np.linalg.det(cover)
+        best = min(best, (np.linalg.det(cover), center.tolist(), np.linalg.inv(cover).tolist()))
+    return best[0], np.array(best[1]), np.array(best[2])
+
+
+def test_outliers_as_computed_plainly(spark, odd):
+    """Two languages with groups of their own, groups that fall back on their language, and on the corpus."""
+    r, npr, rows = random.Random(4), np.random.default_rng(4), []
+
+    def text(words, bad):
+        lines = [" ".join(r.choice(words) for _ in range(r.randrange(5, 15))) for _ in range(r.randrange(3, 14))]
+        if bad:
+            lines += [" ".join(r.choice("#$%&|<>*") * r.randrange(4, 12) + r.choice(words) for _ in range(6)) for _ in range(r.randrange(6, 20))]
+        return "\n".join(lines)
+
+    for lang, source, n in (("en", "s", 300), ("en", "t", 20), ("fr", "u", 40), ("fr", "v", 30), ("de", None, 12), (None, "w", 80)):
+        words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9 if lang == "en" else 13))) for _ in range(400)]
+        rows += [(len(rows) + k, text(words, r.random() < .12), lang, source) for k in range(n)]
+    frame = spark.createDataFrame([(*x, "a", "b") for x in rows], "doc_id long, text string, lang string, source string, distance string, pair string")
+    found = quality.judge(frame, ["doc_id", "distance", "pair"])
+    assert found.columns == ["doc_id", "pair", *quality.BASE, "base_failed", "distance", "kept"]
+    got = {x.doc_id: x for x in found.collect()}
+    stats = np.array([brute.quality(t) for _, t, *_ in rows], float)
     n, chars, symbols, lines, again = stats.T
-    x = np.stack([np.log(1 + n), (chars + 250) / (n + 50), np.sqrt(symbols / (chars + 100)),
-                  np.sqrt(lines / (n + 50)), np.sqrt(again / (n + 50))], 1)
-    floor = np.array([least ** 2 for _, least in quality.VECTOR])
-    # percentile_approx is exact for so few rows: the value at or above the share.
-    cut = lambda v, q: np.sort(v)[math.ceil(q * len(v)) - 1]
-    low, center, high = (np.array([cut(c, q) for c in x.T]) for q in (.25, .5, .75))
-    precision = np.diag(1 / (((high - low) / 1.349) ** 2 + floor))
-    for _ in range(quality.STEPS):
-        d = np.einsum("ni,ij,nj->n", x - center, precision, x - center)
-        near = x[d <= cut(d, quality.HALF)]
-        center = near.mean(0)
-        precision = np.linalg.inv(np.cov(near.T, bias=True) * quality.CONSISTENT + np.diag(floor))
-    d = np.einsum("ni,ij,nj->n", x - center, precision, x - center)
-    assert [found[row[0]].distance for row in rows] == pytest.approx(d.tolist(), rel=1e-6)
-    assert all(found[i].kept for i in range(150)) and not any(found[500 + i].kept for i in range(3, 9))
-    assert quality.judge(docs_of([]), ["doc_id"]).count() == 0
-    assert quality.keep_good(docs).columns == docs.columns
+    x = np.stack([np.log(1 + n), (chars + 250) / (n + 50), np.sqrt(symbols / (chars + 100)), np.sqrt(lines / (n + 50)),
+                  np.sqrt(again / (n + 50))], axis=1)
+    members = defaultdict(list)
+    for i, (_, _, lang, source) in enumerate(rows):
+        small = sum(y[2:] == (lang, source) for y in rows) < quality.LEAST
+        smaller = sum(y[2] == lang for y in rows) < quality.LEAST
+        members["all" if small and smaller else lang if small else (lang, source)].append(i)
+    assert len(members) == 5
+    for key, own in members.items():
+        pool = [i for i, y in enumerate(rows) if key == "all" or key == y[2] or key == y[2:]]
+        _, center, precision = plain_mcd(x[pool], npr)
+        for i in own:
+            want = float((x[i] - center) @ precision @ (x[i] - center))
+            assert got[rows[i][0]].distance == pytest.approx(want, rel=.25, abs=.6), (key, i)
+            if not .7 < want / quality.CUTOFF < 1.4:
+                assert got[rows[i][0]].kept == (not got[rows[i][0]].base_failed and want <= quality.CUTOFF)
+    assert 0 < sum(not x.kept and not x.base_failed for x in got.values()) < 100
+    # Another partitioning gives the same numbers to the last bit.
+    other = {x.doc_id: x for x in quality.judge(frame.repartition(7), ["doc_id", "distance", "pair"]).collect()}
+    assert {k: (v.distance, v.kept) for k, v in other.items()} == {k: (v.distance, v.kept) for k, v in got.items()}
+    few = frame.limit(20)
+    assert {x.distance for x in quality.judge(few, ["doc_id"]).collect()} == {None}
+    assert quality.judge(frame.limit(0), ["doc_id"]).count() == 0
+    assert quality.keep_good(frame).columns == frame.columns
 
 
 def test_long_white_space_is_counted():
