@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helioframe.llm.shared import bitmap, cut, marked, schema_of
+from helioframe.llm.shared import bitmap, cut, marked, packed, schema_of, unpacked
 from helioframe.llm.words import ALNUM, cover, pieces
 
 WINDOW, SHINGLE = 13, 5
@@ -113,6 +113,9 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [*keep, "n_words", "n_hit", "windows"])
 
 
+RESULT = ("n_words", "n_hit", "n_items", "items", "contaminated")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
     """Columns `keep`, n_words, n_hit, n_items, items (their ids as sorted strings), contaminated.
 
@@ -120,7 +123,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> Dat
     ASCII. A text's word is hit if an item's window covers it. Null and empty
     texts have no words and are clean; items without words hit nothing. Repeated
     rows get equal results; items with one id count once, those without an id
-    hit but aren't counted. Empty tables give empty or clean results.
+    hit but aren't counted. Empty tables give empty or clean results. Kept columns
+    named as results give way to them.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     items = cut(benchmark.select("item_id", text.alias("text")).mapInArrow(
@@ -147,16 +151,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> Dat
                   .groupBy("id1", "id2").agg(F.collect_set(F.struct(
                       "window", F.col("n").cast("int").alias("n"),
                       (F.col("at") - F.col("place")).cast("int").alias("at"), "words")).alias("candidates")))
-    kept = [c for c in dict.fromkeys(keep) if c != "text"]
-    schema = schema_of(docs, kept, "id1 long, id2 long, n_words long, n_hit long, windows array<long>")
-    checked = cut(docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), *ident, text.alias("text"))
-                  .join(candidates, ["id1", "id2"], "left").select("row.*", "id1", "id2", "text", "candidates")
-                  .mapInArrow(verify, schema))
+    kept, row = packed(keep, RESULT)
+    read = docs.select(row, *ident, text.alias("text"))
+    checked = cut(read.join(candidates, ["id1", "id2"], "left").select("row", "id1", "id2", "text", "candidates")
+                  .mapInArrow(verify, schema_of(read, ["row", "id1", "id2"], "n_words long, n_hit long, windows array<long>")))
     hit = (checked.where("n_hit > 0").select("id1", "id2", F.explode("windows").alias("window"))
            .join(items.where("item_id IS NOT NULL").select("window", "item_id"), "window")
            .groupBy("id1", "id2").agg(F.array_sort(F.collect_set("item_id")).alias("items")))
     return checked.join(hit, ["id1", "id2"], "left").select(
-        *[f"`{c}`" for c in kept], "n_words", "n_hit",
+        *unpacked(kept), "n_words", "n_hit",
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))

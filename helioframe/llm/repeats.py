@@ -8,8 +8,8 @@ up to 2, and gives out only cells in use; the merged sketch becomes one bit per
 cell. Its width follows the size of the texts up to `MOST_CELLS`; beyond that it
 lets more windows through and loses none.
 
-*Second pass: exact.* Windows whose cells both say "twice" are grouped by 96
-bits of the window's own hash. A window that is repeated within a batch is known
+*Second pass: exact.* Windows whose cells both say "twice" are grouped by 95
+bits of the window's own hash, in two lanes that are independent from the bytes on. A window that is repeated within a batch is known
 at once, and the batch sends one row for it instead of one for each occurrence,
 so a passage that a third of all documents share stays small in every task.
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helioframe.llm.shared import cut, schema_of
+from helioframe.llm.shared import cut, packed, schema_of, unpacked
 from helioframe.llm.words import BYTE_BASE, WORD_BASE, U, Words, cover, mix, pieces
 
 WINDOW, FRAGMENT = 35, 8
@@ -230,8 +230,8 @@ def remove_repeats(docs: DataFrame, keep: list[str], window: int = WINDOW) -> Da
     A word goes if a window that covers it also starts anywhere else, in this
     row or another; repeated rows are such another. Words are what white space
     divides, kept ones are joined by one space. Texts shorter than a window stay
-    whole; null texts have no words and an empty kept_text. An empty table stays
-    empty.
+    whole; null texts have no words and an empty kept_text. Kept columns named as
+    results give way to them. An empty table stays empty.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -244,8 +244,8 @@ def remove_repeats(docs: DataFrame, keep: list[str], window: int = WINDOW) -> Da
     seen = F.sum("n").over(Window.partitionBy("h", "g"))
     places = cut(rows.withColumn("seen", seen).where("n = 0 OR n = 1 AND seen > 1")
                  .groupBy("id1", "id2").agg(F.collect_set("place").alias("places")))
-    kept = [c for c in dict.fromkeys(keep) if c != "text"]
-    schema = schema_of(docs, kept, "n_words long, n_removed long, kept_text string")
-    whole = (docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), *ident, text.alias("text"))
-             .join(places, ["id1", "id2"], "left").select("row.*", "text", "places"))
-    return whole.mapInArrow(strip(window), schema)
+    kept, row = packed(keep, ("n_words", "n_removed", "kept_text"))
+    read = docs.select(row, *ident, text.alias("text"))
+    whole = read.join(places, ["id1", "id2"], "left").select("row", "text", "places")
+    found = whole.mapInArrow(strip(window), schema_of(read, ["row"], "n_words long, n_removed long, kept_text string"))
+    return found.select(*unpacked(kept), "n_words", "n_removed", "kept_text")

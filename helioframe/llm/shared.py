@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,18 +34,53 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Tables that `cut` has written and nothing has removed, by run; the last run is the present one.
+_RUNS: list[list[str]] = [[]]
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back, which cuts its lineage.
 
     Lost executors then cost nothing before this point, and the optimizer knows
-    the true size. The folder belongs to the run, as checkpoints do.
+    the true size. The table stays until its run ends: the innermost `scratch`
+    around this call, or else the Python process.
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    _RUNS[-1].append(path)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """A run whose tables go at its end, so results must have been written by then."""
+    _RUNS.append([])
+    try:
+        yield
+    finally:
+        _remove(_RUNS.pop())
+
+
+def _remove(paths: list[str]) -> None:
+    """Deletes tables by Hadoop's file systems, wherever they are."""
+    jvm = SparkContext._jvm
+    while paths and jvm is not None:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        session = SparkSession.getActiveSession()
+        conf = session._jsc.hadoopConfiguration() if session else jvm.org.apache.hadoop.conf.Configuration()
+        path.getFileSystem(conf).delete(path, True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for run in _RUNS:
+        try:
+            _remove(run)
+        except Exception:  # the JVM may have gone before
+            return
+
+
 def schema_of(frame: DataFrame, names: list[str], more: str) -> T.StructType:
     """The fields of some columns, whatever their names and types, and more as DDL."""
     return T.StructType([frame.schema[c] for c in names] + T.StructType.fromDDL(more).fields)

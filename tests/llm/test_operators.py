@@ -1,6 +1,7 @@
 """Every operator against a plain version, over whole tables and over odd rows."""
 
 import math
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helioframe.llm import (contamination, fuzzy_lines, mixing, near_duplicates, private, quality, queries, repeats,
-                            revisits, sharding, token_counts)
+                            revisits, shared, sharding, token_counts)
 from helioframe.llm.components import components
 from tests.llm import brute
 
@@ -647,3 +648,42 @@ def test_a_block_is_the_majority_of_its_features(spark):
         keys[x.line_id].add(x.key)
     a, b = keys.values()
     assert 3 <= len(a) <= 2 * fuzzy_lines.BLOCKS and len(a ^ b) <= 8 and len(a & b) >= len(a) - 4
+
+
+CLASHING = ["doc_id", "n", "n1", "id1", "id2", "t1", "t2", "n_words", "places", "spans", "n_tokens", "row", "node", "windows",
+            "n_lines", "distance", "key", "x0", "n_shingles", "kept_text", "items", "text"]
+
+
+@pytest.mark.parametrize("name", ["decontaminate", "repeats", "private", "tokens", "near", "quality", "lines"])
+def test_kept_columns_of_any_name(spark, odd, name):
+    """Columns named as an operator's own come through; those named as its results give way."""
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(
+        f"{c} string" for c in CLASHING if c not in ("doc_id", "text"))
+    docs = spark.createDataFrame([(i, t, "en", "a", *[f"{c}!" for c in CLASHING if c not in ("doc_id", "text")]) for i, t in odd], schema)
+    items = spark.createDataFrame([(1, "one"), (2, "a b c d")], "item_id long, text string")
+    call, results = {
+        "decontaminate": (lambda: contamination.decontaminate(docs, items, CLASHING), contamination.RESULT),
+        "repeats": (lambda: repeats.remove_repeats(docs, CLASHING), ("n_words", "n_removed", "kept_text")),
+        "private": (lambda: private.private_spans(docs, CLASHING), ("spans",)),
+        "tokens": (lambda: token_counts.token_counts(docs, CLASHING), ("n_tokens",)),
+        "near": (lambda: near_duplicates.near_duplicates(docs, CLASHING), ("n_shingles", "component_id")),
+        "quality": (lambda: quality.judge(docs, CLASHING), quality.RESULT),
+        "lines": (lambda: fuzzy_lines.fuzzy_lines(docs, CLASHING), fuzzy_lines.RESULT)}[name]
+    found = call()
+    kept = [c for c in CLASHING if c not in results]
+    assert found.columns == [*kept, *results]
+    rows = found.collect()
+    assert len(rows) == len(odd)
+    assert sorted((repr(r.doc_id), repr(r.text)) for r in rows) == sorted((repr(i), repr(t)) for i, t in odd)
+    assert all(r[c] == f"{c}!" for r in rows for c in kept if c not in ("doc_id", "text"))
+
+
+def test_tables_of_a_run_go_at_its_end(spark, docs_of, odd, tmp_path):
+    """What operators write between their steps is gone once the result has been taken."""
+    folder = shared.shared_folder(spark)
+    left = lambda: {f for f in os.listdir(folder) if f.startswith("corpus-")}
+    before = left()
+    with shared.scratch():
+        assert near_duplicates.near_duplicates(docs_of(odd), ["doc_id"]).count() == len(odd)
+        assert left() > before
+    assert left() == before
