@@ -41,6 +41,38 @@ def dispatch(reads: DataFrame, devices: DataFrame, catalog: Catalog = CATALOG,
     return found.join(F.broadcast(blocks), ["driver", "block"])
 
 
+def address_blocks(spans: DataFrame, devices: DataFrame, catalog: Catalog = CATALOG,
+                   on: tuple[str, ...] = ("device_name",)) -> DataFrame:
+    """Reads known by address instead of block, as `dispatch` gives reads of blocks.
+
+    `spans` has `kind` (input or holding) and `start`, the address of the first word, in
+    place of `block`. A span may hold part of a block, several blocks, or words of none. The
+    parts of a block that came with one try are stitched: they are taken in order of address, where they
+    overlap the first one counts, and a block with a gap is not there. Blocks are found by
+    (driver, kind) and overlap, a join with the catalogue's few hundred rows that moves no
+    reads; only the parts of a block and try are then grouped.
+    """
+    blocks = catalog.blocks_frame(spans.sparkSession).drop("accept")
+    registry = enabled(devices).withColumnRenamed("name", "device_name").select("device_name", *DEVICE)
+    known = registry.join(F.broadcast(blocks.select("driver").distinct()), "driver", "left_semi")
+    found = lookup_join(spans, known, list(on), "poll_id").withColumnRenamed("start", "first")
+    size = F.coalesce(F.size("registers"), F.lit(0))
+    # A try that failed has no words: it stands for the block that holds its first address.
+    held = found.join(F.broadcast(blocks), ["driver", "kind"]).where(
+        (F.col("first") < F.col("start") + F.col("count")) & (F.col("first") + F.greatest(size, F.lit(1)) > F.col("start")))
+    offset = F.col("first") - F.col("start")
+    words = F.slice("registers", F.greatest(F.lit(1), 1 - offset).cast("int"),
+                    F.least(F.col("count"), F.col("count") - offset).cast("int"))
+    piece = F.when(F.col("ok") & (size > 0), F.struct(F.greatest(offset, F.lit(0)).alias("at"), words.alias("words")))
+    extra = [c for c in blocks.columns if c not in ("driver", "block", "kind", "start", "count")]
+    joined = held.groupBy(*POLL, *DEVICE, "block", "attempt", "count", *extra).agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    stitched = F.expr("""aggregate(pieces, cast(array() AS array<int>), (have, p) ->
+        if(p.at <= size(have), concat(have, slice(p.words, size(have) - p.at + 1, size(p.words))), have))""")
+    told = joined.withColumn("registers", stitched).withColumn("ok", F.size("registers") >= F.col("count"))
+    return (told.withColumn("registers", F.when(F.col("ok"), F.col("registers")))
+            .select(*POLL, *DEVICE, "block", "attempt", "ok", "registers", *extra))
+
+
 def accepted(catalog: Catalog = CATALOG) -> Column:
     """Whether a read passes the accept rule of its block; true where there is none."""
     rules = [f"WHEN driver = '{d.name}' AND block = {b.block} THEN coalesce({b.accept}, false)"

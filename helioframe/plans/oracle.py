@@ -279,6 +279,10 @@ ORACLE: dict[str, str] = {
       count(CASE WHEN attempt < tries THEN 1 END) AS attempts FROM dispatched
       GROUP BY poll_id, device_name, block
       HAVING count(CASE WHEN ok AND attempt < tries THEN 1 END) = 0""",
+    "address_blocks": f"""WITH {single(q.BY_ADDRESS)}, {CHOSEN}
+      SELECT poll_id, device_name, block, attempt, CAST(cnt AS INTEGER) AS n_words, {whole(at(0))} AS first_word,
+             {whole(word('base', 'cnt - 1'))} AS last_word FROM chosen""",
+    "decode_by_address": decoded(q.BY_ADDRESS),
     "unusable_entries": f"""SELECT position, CASE WHEN position % 9 <> 6 THEN driver END AS driver, slave_id
       FROM ({DEVICES}) WHERE position % 9 IN (4, 5, 6)""",
     "unreadable_registries": """SELECT 'no section' AS reason, count(DISTINCT s_nationkey) AS files FROM supplier

@@ -77,6 +77,21 @@ def registry_readings(spark: SparkSession, sf_dir: str, driver: str = "inv_abb_p
     ).drop("first", "last")
 
 
+def spans_of(spark: SparkSession, sf_dir: str, driver: str) -> DataFrame:
+    """The reads of `reads_of` by address: whole, in two parts, or with words around them, by poll."""
+    blocks = CATALOG.only(driver).blocks_frame(spark).select("block", "kind", "start", "count")
+    reads = reads_of(spark, sf_dir, driver).join(F.broadcast(blocks), "block")  # a few rows
+    half, way, r = F.floor(F.col("count") / 2).cast("int"), F.col("poll_id") % 3, F.col("registers")
+    span = lambda start, words: F.struct(start.cast("int").alias("start"), words.alias("registers"))
+    around = F.concat(F.array(F.lit(1), F.lit(2)), r, F.array(F.lit(3)))
+    parts = (F.when((way == 0) | r.isNull(), F.array(span(F.col("start"), r)))
+             .when(way == 1, F.array(span(F.col("start") + half - 1, F.slice(r, half, F.col("count"))),
+                                     span(F.col("start"), F.slice(r, 1, half))))
+             .otherwise(F.array(span(F.col("start") - 2, around))))
+    return reads.select("device_name", "poll_id", "poll_ts", "kind", "attempt", "ok", F.explode(parts).alias("x")).select(
+        "device_name", "poll_id", "poll_ts", "kind", "x.start", "attempt", "ok", "x.registers")
+
+
 def damaged_reads(reads: DataFrame) -> DataFrame:
     """The reads; of every nineteenth poll, block 2 has two words left."""
     cut = (F.col("poll_id") % 19 == 0) & (F.col("block") == 2)

@@ -6,12 +6,14 @@ by its log.
 
 from __future__ import annotations
 
+import gzip
 import re
 import uuid
 from collections.abc import Iterator
 from itertools import groupby
 
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -29,29 +31,68 @@ def write_snapshots(packages: DataFrame, path: str, mode: str = "append") -> Non
      .write.mode(mode).option("compression", "gzip").partitionBy("config", "day").text(path))
 
 
+#: A gzip member is closed and the next one begun, so members can be joined byte by byte.
+_COPY = 1 << 20
+
+
 def write_snapshot_files(entries: DataFrame, path: str) -> None:
     """One gzip file per run, under its own name, from `package.snapshot_entries`.
 
-    A run's entries arrive sorted and are written one after the other, so no task
-    holds a run. Every task writes next to the target and renames: a repeated task
-    or run replaces a file. `path` has to be visible to all executors.
+    Entries are dealt out by ranges of (run, position): a run with most of the records is
+    written by many tasks, each of which writes its part as a gzip member of its own and
+    holds no more than a record. Members of a run are then joined in order, bytes only.
+    All of this happens in a folder beside the files, which goes in any case: if the run
+    fails while it writes, no file has appeared. A repeated task or run replaces a file.
+    `path` has to be visible to all executors.
     """
-    def publish(rows: Iterator[Row]) -> None:
-        target, root = fs.FileSystem.from_uri(path)
-        target.create_dir(f"{root}/_temporary", recursive=True)
+    stage = f"{path.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+    spark = entries.sparkSession
+    files, root = fs.FileSystem.from_uri(path)
+    _, staged = fs.FileSystem.from_uri(stage)
+    files.create_dir(staged, recursive=True)
+
+    def write(rows: Iterator[Row]) -> None:
+        target, folder = fs.FileSystem.from_uri(stage)
+        part = TaskContext.get().partitionId()
         for name, own in groupby(rows, lambda row: row["file_name"]):
-            draft = f"{root}/_temporary/{uuid.uuid4().hex}"
+            target.create_dir(f"{folder}/{name}", recursive=True)
+            draft = f"{folder}/{uuid.uuid4().hex}"
+            before = b""
             with target.open_output_stream(draft, compression="gzip") as out:
-                before = b"["
                 for row in own:
                     if row["record"] is not None:
                         out.write(before + row["record"].encode("utf-8"))
                         before = b","
-                out.write(b"[]" if before == b"[" else b"]")
-            target.move(draft, f"{root}/{name}")
-
-    (entries.select("file_name", "position", "poll_id", "record").repartition("file_name")
-     .sortWithinPartitions("file_name", "position", "poll_id").foreachPartition(publish))
+            # Ranges are in order, so the number of its task tells a member's place.
+            target.move(draft, f"{folder}/{name}/{part:08d}{'' if before else '-empty'}")
+
+    def join(names: Iterator[Row]) -> None:
+        target, folder = fs.FileSystem.from_uri(stage)
+        _, home = fs.FileSystem.from_uri(path)
+        for row in names:
+            found = target.get_file_info(fs.FileSelector(f"{folder}/{row['name']}"))
+            members = sorted(f.path for f in found if not f.path.endswith("-empty"))
+            draft = f"{folder}/{uuid.uuid4().hex}"
+            with target.open_output_stream(draft, compression=None) as out:
+                for k, member in enumerate(members):
+                    out.write(gzip.compress(b"," if k else b"["))
+                    with target.open_input_stream(member, compression=None) as one:
+                        while some := one.read(_COPY):
+                            out.write(some)
+                out.write(gzip.compress(b"]" if members else b"[]"))
+            target.move(draft, f"{home}/{row['name']}")
+
+    key = ["file_name", "position", "poll_id"]
+    try:
+        (entries.select(*key, "record").repartitionByRange(*[F.asc_nulls_first(c) for c in key])
+         .sortWithinPartitions(*key).foreachPartition(write))
+        # Names only, one for each run.
+        names = [f.base_name for f in files.get_file_info(fs.FileSelector(staged)) if f.type == fs.FileType.Directory]
+        if names:
+            spark.createDataFrame([(n,) for n in names], "name string").repartition(
+                min(len(names), 200)).foreachPartition(join)
+    finally:
+        files.delete_dir(staged)
 
 
 def write_measurements(records: DataFrame, path: str, ts: str = "poll_ts",

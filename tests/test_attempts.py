@@ -168,3 +168,25 @@ def test_polls_without_a_stamp_are_kept_like_others(spark):
           .withColumn("poll_ts", F.lit(None).cast("timestamp")))
     assert {r.poll_id for r in attempts.complete_polls(ds).collect()} == {1}
     assert {(r.poll_id, r.block) for r in attempts.drop_failed(ds).collect()} == {(1, 1), (1, 2), (1, 3)}
+
+
+def test_blocks_by_address(spark):
+    """Parts, overlaps, gaps, words around, spans of two blocks and failed tries."""
+    own, ds = CATALOG.only("inv_abb_pvs980"), devices(spark, ("A", "inv_abb_pvs980", True), ("B", "inv_abb_pvs980", False))
+    rows = [  # block 3 is 13 words from holding 42599, block 1 is 7 from 42496
+        (1, "holding", 42599, 0, True, list(range(6))), (1, "holding", 42605, 0, True, list(range(6, 13))),
+        (2, "holding", 42605, 0, True, list(range(6, 13))), (2, "holding", 42599, 0, True, [*range(6), 99, 99]),
+        (3, "holding", 42599, 0, True, list(range(5))), (3, "holding", 42605, 0, True, list(range(6, 13))),
+        (4, "holding", 42597, 0, True, [-1, -1, *range(13), -1]), (5, "input", 42599, 0, True, list(range(13))),
+        (6, "holding", 42599, 0, False, None), (6, "holding", 42599, 1, True, list(range(13))),
+        (7, "holding", 42496, 0, True, list(range(42612 - 42496)))]
+    spans = spark.createDataFrame([("A", p, k, s, a, ok, w) for p, k, s, a, ok, w in rows] + [("B", 1, "holding", 42599, 0, True, [0] * 13)],
+                                  "device_name string, poll_id long, kind string, start int, attempt int, ok boolean, registers array<int>"
+                                  ).withColumn("poll_ts", F.timestamp_seconds(F.lit(0)))
+    found = attempts.address_blocks(spans, ds, own)
+    got = {(r.poll_id, r.block, r.attempt): r.registers for r in found.collect()}
+    assert got[1, 3, 0] == got[4, 3, 0] == got[6, 3, 1] == list(range(13))
+    assert got[2, 3, 0] == [*range(6), 99, 99, *range(8, 13)]  # where parts overlap, the one of less address
+    assert got[3, 3, 0] is None and got[6, 3, 0] is None and (5, 3, 0) not in got
+    assert got[7, 1, 0] == list(range(7)) and got[7, 3, 0] == list(range(103, 116)) and got[7, 2, 0] == list(range(49, 82))
+    assert {r.poll_id for r in attempts.choose_attempt(found, own).where("block = 3").collect()} == {1, 2, 4, 6, 7}

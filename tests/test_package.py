@@ -118,6 +118,35 @@ def test_named_files_like_a_single_logger_writes_them(spark, tmp_path):
     assert [r.Device_Name for r in read_snapshots(spark, path, SCHEMA).collect()] == ["A"]
 
 
+def test_a_run_with_most_records_is_written_by_many_tasks(spark, tmp_path):
+    path = str(tmp_path / "hot")
+    rows = [(k % 7, k, 0, record(f"D{k}", float(k))) for k in range(900)] + [(0, 2000 + m, m, record("X", 0)) for m in range(1, 9)]
+    entries = snapshot_entries(records(spark, *rows), runs(spark, *range(12)), "site")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few bytes would be one task
+    try:
+        sinks.write_snapshot_files(entries, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "hot").iterdir())
+    assert [f.name for f in files if not f.name.endswith(".gz")] == [] and len(files) == 12
+    hot = files[0].read_bytes()
+    found = json.loads(gzip.decompress(hot))
+    order = sorted(range(900), key=lambda k: (k % 7, k))
+    assert [r["Device_Name"] for r in found] == [f"D{k}" for k in order]
+    assert hot.count(b"\x1f\x8b\x08") > 4  # members of several tasks, and the brackets
+    assert [json.loads(gzip.decompress(f.read_bytes())) for f in files[9:]] == [[], [], []]
+    assert read_snapshots(spark, path, SCHEMA).count() == 908
+
+
+def test_a_failing_write_leaves_nothing(spark, tmp_path):
+    path = str(tmp_path / "broken")
+    entries = snapshot_entries(records(spark, *[(0, k, k, record("A", 1.0)) for k in range(6)]), runs(spark, *range(6)), "site")
+    bad = entries.withColumn("record", F.when(F.col("poll_id") == 5, F.raise_error(F.lit("no"))).otherwise(F.col("record")))
+    with pytest.raises(Exception):
+        sinks.write_snapshot_files(bad, path)
+    assert list((tmp_path / "broken").iterdir()) == []
+
+
 def test_mixed_records_read_long(spark, tmp_path):
     path = str(tmp_path / "mixed")
     sinks.write_snapshots(package_snapshots(records(
