@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SNAPSHOT_NAME = r"^[^_]+_([^_]+)_(.+)_(\d{12})(?:-p\d+)?\.json\.gz$"
+SNAPSHOT_NAME = r"^[^_]+_([^_]+)_(.+)_(\d{12})(?:-2)?\.json\.gz$"
 
 
 def _utc(ts: Column) -> Column:
@@ -39,9 +39,15 @@ def config_stem(config: Column) -> Column:
 
 def file_name(prefix: str, serial: Column, config: Column, ts: Column,
               zone: str | Column = "UTC") -> Column:
-    """Snapshot file name: prefix, serial, configuration stem and local minute."""
+    """Snapshot file name: prefix, serial, configuration stem and local minute.
+
+    Where clocks are put back, an hour's local minutes come twice; names of the second
+    time end in `-2`, or its runs would replace those of the first.
+    """
+    local = F.from_utc_timestamp(_utc(minute(ts)), zone)
+    again = F.to_utc_timestamp(local, zone) != _utc(minute(ts))
     return F.concat(F.lit(prefix), F.lit("_"), serial, F.lit("_"), config_stem(config),
-                    F.lit("_"), local_minute(ts, zone), F.lit(".json.gz"))
+                    F.lit("_"), local_minute(ts, zone), F.when(again, "-2").otherwise(""), F.lit(".json.gz"))
 
 
 def parse_file_name(name: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from helioframe.functions import host as h
 from helioframe.functions import tags
+from helioframe.operators.lookup import lookup_join
 
 
 def cpu_serial(lines: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
@@ -35,7 +36,7 @@ def host_metrics(samples: DataFrame, serials: DataFrame, device_name: str = "LOG
     a readable temperature gives no record: see `unusable_samples`.
     """
     usable = samples.where(h.cpu_temp(F.col("cpu_temp_raw")).isNotNull())
-    return usable.join(serials, "host", "left").select(
+    return lookup_join(usable, serials, ["host"], "ts", how="left").select(
         F.lit(device_name).alias("Device_Name"),
         h.cpu_temp(F.col("cpu_temp_raw")).alias("CPU_Temp"),
         F.col("cpu_usage").alias("CPU_Usage"),

@@ -18,8 +18,10 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 
 def lookup_join(facts: DataFrame, lookup: DataFrame, on: list[str], spread: str,
-                rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Inner join `facts` with `lookup` without moving hot keys into one task.
+                rows: int = BROADCAST_ROWS, how: str = "inner") -> DataFrame:
+    """Join `facts` with `lookup` without moving hot keys into one task.
+
+    `how` is "inner", or "left" to keep facts that have no entry.
 
     A lookup of proven size is broadcast and `facts` does not shuffle. A larger
     one is joined by a shuffle on the key *and* a salt taken from `spread`, a
@@ -28,7 +30,7 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, on: list[str], spread: str,
     later grouping on (key, spread) cannot inherit the skewed partitioning.
     """
     if is_small(lookup, rows):
-        return facts.join(F.broadcast(lookup), on)
+        return facts.join(F.broadcast(lookup), on, how)
     salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return facts.withColumn("_salt", salt).join(copies, [*on, "_salt"]).drop("_salt")
+    return facts.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")

@@ -14,9 +14,12 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from helioframe.functions import tags
+from helioframe.operators.lookup import is_small
 from helioframe.operators.registry import enabled
 
 log = logging.getLogger(__name__)
+#: Enabled brokers at most.
+BROKERS = 10_000
 
 
 def broker_key(brokers: DataFrame) -> list[str]:
@@ -28,9 +31,12 @@ def fan_out(records: DataFrame, brokers: DataFrame) -> DataFrame:
     """Every record once per enabled broker.
 
     The brokers of a site are a short configured list. They enter as one array
-    value that is exploded per record, so records neither shuffle nor join.
+    value that is exploded per record, so records neither shuffle nor join. More
+    than `BROKERS` of them are an error: each record would become as many messages.
     """
     key = broker_key(brokers)
+    if not is_small(enabled(brokers), BROKERS):
+        raise ValueError(f"more than {BROKERS} enabled brokers")
     listed = enabled(brokers).agg(F.array_sort(F.collect_list(
         F.struct(*key, "topic"))).alias("brokers"))
     names = {"config": "broker_config"}

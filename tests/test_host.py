@@ -50,3 +50,13 @@ def test_metrics_and_union(spark):
     assert [r.host for r in host.unusable_samples(samples).collect()] == ["two"]
     both = host.union_records(metrics, spark.sql("SELECT 'A' AS Device_Name, 1.5D AS P"))
     assert both.count() == 2 and both.where("P IS NULL").count() == 1
+
+
+def test_hosts_beyond_a_broadcast_keep_every_sample(spark, monkeypatch):
+    """The salted join gives the same rows, samples of unknown hosts included."""
+    from helioframe.operators import lookup
+    facts = spark.createDataFrame([("h", k) for k in range(50)] + [("x", 1), (None, 2)], "host string, ts long")
+    serials = spark.createDataFrame([("h", "s1"), ("y", "s2")], "host string, serial string")
+    plain = lookup.lookup_join(facts, serials, ["host"], "ts", how="left")
+    salted = lookup.lookup_join(facts, serials, ["host"], "ts", rows=0, how="left")
+    assert plain.count() == 52 and plain.exceptAll(salted).isEmpty() and salted.exceptAll(plain).isEmpty()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helioframe import schemas, sinks
 from helioframe.functions import tags
+from helioframe.operators import messages
 from helioframe.operators.package import HOST_POSITION, package_snapshots, snapshot_entries
 from helioframe.plans import run
 from helioframe.sources.snapshots import read_snapshots, read_snapshots_long
@@ -92,6 +93,23 @@ def test_config_stem_and_name_round_trip(spark, config, stem):
     assert row.select(tags.parse_file_name(F.lit("x.json.gz"))).first()[0] is None
 
 
+def test_both_runs_of_a_repeated_local_minute_are_kept(spark, tmp_path):
+    """Clocks go back at 01:00 UTC; half past two in the morning comes twice."""
+    when = [F.timestamp_seconds(F.lit(1_729_989_000 + 3600 * k)) for k in range(3)]  # 2024-10-27 00:30, 01:30, 02:30 UTC
+    names = spark.range(1).select(*[tags.file_name("p", F.lit("a"), F.lit("c"), t, "Europe/Berlin").alias(f"n{k}")
+                                    for k, t in enumerate(when)]).first()
+    assert list(names) == ["p_a_c_202410270230.json.gz", "p_a_c_202410270230-2.json.gz", "p_a_c_202410270330.json.gz"]
+    parsed = spark.createDataFrame([(n,) for n in names], "n string").select(tags.parse_file_name(F.col("n")).alias("p")).collect()
+    assert [tuple(x.p) for x in parsed] == [("a", "c", "202410270230")] * 2 + [("a", "c", "202410270330")]
+
+
+def test_too_many_brokers_are_an_error(spark):
+    many = spark.range(10_001).select(F.col("id").alias("broker"), F.lit("t").alias("topic"), F.lit(True).alias("enabled"))
+    with pytest.raises(ValueError):
+        messages.fan_out(records(spark, (0, 1, 0, record("A", 0))), many)
+    assert messages.fan_out(records(spark, (0, 1, 0, record("A", 0))), many.limit(3)).count() == 3
+
+
 def test_gzip_round_trip_with_empty_and_truncated(spark, tmp_path):
     path = str(tmp_path / "s")
     packed = package_snapshots(
