@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -399,9 +400,10 @@ def register_driver(spark, sf):
 def decode_with(spark, sf):
     # Nested, so that it travels by value and workers need not have this module.
     def spread(polls: pd.DataFrame) -> pd.DataFrame:
-        registers = polls["registers_1"]
+        # Sizes are equal, so a batch is one matrix.
+        words = np.array(polls["registers_1"].tolist(), float).reshape(len(polls), -1)
         return pd.DataFrame({"poll_id": polls["poll_id"], "Device_Name": polls["device_name"],
-                             "spread": [float(max(r) - min(r)) for r in registers]})
+                             "spread": words.max(axis=1, initial=0) - words.min(axis=1, initial=1 << 16)})
 
     return decode.decode_with(_polls(spark, sf, STATION), spread,
                               "poll_id bigint, Device_Name string, spread double")
