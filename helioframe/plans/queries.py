@@ -666,6 +666,7 @@ def _delivered_twice(spark: SparkSession, sf: str) -> str:
     sinks.write_snapshot_files(package.snapshot_entries(
         _station_records(spark, sf), tb.runs(spark, sf, tb.LOGGERS[:1]), PREFIX, ZONE), f"{path}/first")
     files, root = fs.FileSystem.from_uri(path)
+    files.create_dir(f"{root}/second")
     fs.copy_files(f"{root}/first", f"{root}/second", files, files)
     return path
 
