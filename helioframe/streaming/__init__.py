@@ -67,11 +67,10 @@ def first_attempts(dispatched: DataFrame, delay: str = "10 minutes", catalog: Ca
         if certain:
             yield pd.DataFrame([row | {"attempt": attempt, "registers": pickle.loads(kept)}])
         state.update((seen, refused, turn, attempt, done or certain, None if done or certain else kept))
-        closes = int(key[POLL.index("poll_ts")].timestamp() * 1000)
-        if closes > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(closes)
-        else:
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 1)
+        at = key[POLL.index("poll_ts")]
+        # A poll without a time waits no longer than the watermark takes to move.
+        closes = 0 if pd.isna(at) else int(at.timestamp() * 1000)
+        state.setTimeoutTimestamp(max(closes, state.getCurrentWatermarkMs() + 1))
 
     return rank.groupBy(*keys).applyInPandasWithState(choose, shape, STATE, "append", "EventTimeTimeout")
 
