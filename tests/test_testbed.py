@@ -1,0 +1,24 @@
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from helioframe.plans import testbed as tb
+
+
+def tables(spark, folder, n):
+    start = datetime(2024, 3, 1, 12)
+    events = [(k, start + timedelta(seconds=k), k % 7, k / 4) for k in range(n)]
+    (spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, value double")
+     .coalesce(1).write.parquet(f"{folder}/events.parquet"))
+    (spark.createDataFrame([(k, k % 3) for k in range(5)], "s_suppkey long, s_nationkey int")
+     .write.parquet(f"{folder}/supplier.parquet"))
+
+
+def test_no_task_holds_more_events_than_its_share(spark, tmp_path, monkeypatch):
+    tables(spark, tmp_path, 400)
+    whole = tb.reads_of(spark, str(tmp_path), tb.METER).collect()
+    monkeypatch.setattr(tb, "EVENTS_A_TASK", 50)
+    reads = tb.reads_of(spark, str(tmp_path), tb.METER)
+    assert sorted(map(str, reads.collect())) == sorted(map(str, whole))
+    held = reads.groupBy(F.spark_partition_id()).agg(F.count_distinct("poll_id").alias("n")).collect()
+    assert len(held) >= 8 and max(r.n for r in held) <= 60
