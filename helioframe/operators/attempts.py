@@ -41,8 +41,15 @@ def dispatch(reads: DataFrame, devices: DataFrame, catalog: Catalog = CATALOG,
     return found.join(F.broadcast(blocks), ["driver", "block"])
 
 
+def _narrow(words: Column) -> list[Column]:
+    """Words as two bytes each in `narrow`, or as they are in `wide` where one is null or larger."""
+    fit = F.forall(words, lambda w: F.coalesce(w.between(0, 65535), F.lit(False)))
+    narrow = F.transform(words, lambda w: (w - 32768).cast("smallint"))
+    return [F.when(fit, narrow).alias("narrow"), F.when(~fit, words).alias("wide")]
+
+
 def address_blocks(spans: DataFrame, devices: DataFrame, catalog: Catalog = CATALOG,
-                   on: tuple[str, ...] = ("device_name",)) -> DataFrame:
+                   on: tuple[str, ...] = ("device_name",), usable: bool = False) -> DataFrame:
     """Reads known by address instead of block, as `dispatch` gives reads of blocks.
 
     `spans` has `kind` (input or holding) and `start`, the address of the first word, in
@@ -50,25 +57,35 @@ def address_blocks(spans: DataFrame, devices: DataFrame, catalog: Catalog = CATA
     parts of a block that came with one try are stitched: they are taken in order of address, where they
     overlap the first one counts, and a block with a gap is not there. Blocks are found by
     (driver, kind) and overlap, a join with the catalogue's few hundred rows that moves no
-    reads; only the parts of a block and try are then grouped.
+    reads. The parts of a poll then come together once; stitching them, and what groups by poll
+    afterwards, needs no further shuffle. With `usable`, tries that failed or are
+    beyond the allowed number are left out before that, for those who only choose among reads.
     """
     blocks = catalog.blocks_frame(spans.sparkSession).drop("accept")
     registry = enabled(devices).withColumnRenamed("name", "device_name").select("device_name", *DEVICE)
     known = registry.join(F.broadcast(blocks.select("driver").distinct()), "driver", "left_semi")
     found = lookup_join(spans, known, list(on), "poll_id").withColumnRenamed("start", "first")
     size = F.coalesce(F.size("registers"), F.lit(0))
+    good = F.col("ok") & (size > 0)
     # A try that failed has no words: it stands for the block that holds its first address.
     held = found.join(F.broadcast(blocks), ["driver", "kind"]).where(
         (F.col("first") < F.col("start") + F.col("count")) & (F.col("first") + F.greatest(size, F.lit(1)) > F.col("start")))
+    if usable:
+        held = held.where(good & (F.col("attempt") < F.col("max_attempts")))
     offset = F.col("first") - F.col("start")
     words = F.slice("registers", F.greatest(F.lit(1), 1 - offset).cast("int"),
                     F.least(F.col("count"), F.col("count") - offset).cast("int"))
-    piece = F.when(F.col("ok") & (size > 0), F.struct(F.greatest(offset, F.lit(0)).alias("at"), words.alias("words")))
-    extra = [c for c in blocks.columns if c not in ("driver", "block", "kind", "start", "count")]
-    joined = held.groupBy(*POLL, *DEVICE, "block", "attempt", "count", *extra).agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    parts = held.select(*POLL, *DEVICE, "block", "attempt", F.greatest(offset, F.lit(0)).alias("at"), F.when(good, words).alias("words"))
+    # By poll alone, which all that follows can use. What the catalogue says of a block is joined again, not moved.
+    parts = parts.select(*POLL, *DEVICE, "block", "attempt", "at", *_narrow(F.col("words"))).repartition(*POLL)
+    words = F.coalesce(F.transform("narrow", lambda w: w.cast("int") + 32768), "wide")
+    piece = F.when(F.col("narrow").isNotNull() | F.col("wide").isNotNull(), F.struct("at", words.alias("words")))
+    joined = (parts.groupBy(*POLL, *DEVICE, "block", "attempt").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+              .join(F.broadcast(blocks.drop("kind", "start")), ["driver", "block"]))
     stitched = F.expr("""aggregate(pieces, cast(array() AS array<int>), (have, p) ->
         if(p.at <= size(have), concat(have, slice(p.words, size(have) - p.at + 1, size(p.words))), have))""")
     told = joined.withColumn("registers", stitched).withColumn("ok", F.size("registers") >= F.col("count"))
+    extra = [c for c in blocks.columns if c not in ("driver", "block", "kind", "start", "count")]
     return (told.withColumn("registers", F.when(F.col("ok"), F.col("registers")))
             .select(*POLL, *DEVICE, "block", "attempt", "ok", "registers", *extra))
 

@@ -112,7 +112,7 @@ BY_ADDRESS = "inv_abb_pvs980"
 def address_blocks(spark, sf):
     """The blocks that count, put together from reads known by address."""
     own = CATALOG.only(BY_ADDRESS)
-    found = attempts.address_blocks(tb.spans_of(spark, sf, BY_ADDRESS), tb.devices_of(spark, sf, BY_ADDRESS), own)
+    found = attempts.address_blocks(tb.spans_of(spark, sf, BY_ADDRESS), tb.devices_of(spark, sf, BY_ADDRESS), own, usable=True)
     return attempts.choose_attempt(found, own).select(
         "poll_id", "device_name", "block", "attempt", F.size("registers").alias("n_words"),
         F.get("registers", F.lit(0)).alias("first_word"), F.element_at("registers", -1).alias("last_word"))
@@ -121,7 +121,7 @@ def address_blocks(spark, sf):
 @query
 def decode_by_address(spark, sf):
     own = CATALOG.only(BY_ADDRESS)
-    found = attempts.address_blocks(tb.spans_of(spark, sf, BY_ADDRESS), tb.devices_of(spark, sf, BY_ADDRESS), own)
+    found = attempts.address_blocks(tb.spans_of(spark, sf, BY_ADDRESS), tb.devices_of(spark, sf, BY_ADDRESS), own, usable=True)
     return decode.decode_wide(attempts.assemble(found, own), own[BY_ADDRESS])
 
 

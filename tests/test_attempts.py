@@ -190,3 +190,22 @@ def test_blocks_by_address(spark):
     assert got[3, 3, 0] is None and got[6, 3, 0] is None and (5, 3, 0) not in got
     assert got[7, 1, 0] == list(range(7)) and got[7, 3, 0] == list(range(103, 116)) and got[7, 2, 0] == list(range(49, 82))
     assert {r.poll_id for r in attempts.choose_attempt(found, own).where("block = 3").collect()} == {1, 2, 4, 6, 7}
+
+
+def test_parts_of_a_poll_come_together_in_one_shuffle(spark):
+    own = CATALOG.only("inv_abb_pvs980")
+    ds = devices(spark, ("A", "inv_abb_pvs980", True))
+    # Words beyond two bytes and null ones stay as they are; failed tries and those beyond the allowed number may go.
+    odd = [70000, None, -5, 65535, 0, 1, 2]
+    rows = [("A", 1, "holding", 42496, 0, False, None), ("A", 1, "holding", 42496, 1, True, odd),
+            ("A", 1, "holding", 42496, 77, True, [3] * 7), ("A", 2, "holding", 42500, 0, True, [5, 6, 65535]),
+            ("A", 2, "holding", 42496, 0, True, [1, 2, 3, 4])]
+    spans = spark.createDataFrame(rows,
+                                  "device_name string, poll_id long, kind string, start int, attempt int, ok boolean, registers array<int>"
+                                  ).withColumn("poll_ts", F.timestamp_seconds(F.col("poll_id")))
+    for usable, left in ((False, {(1, 0): None, (1, 77): [3] * 7}), (True, {})):
+        found = attempts.address_blocks(spans, ds, own, usable=usable)
+        assert {(r.poll_id, r.attempt): r.registers for r in found.collect()} == {
+            (1, 1): odd, (2, 0): [1, 2, 3, 4, 5, 6, 65535], **left}
+        plan = attempts.assemble(found, own)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(poll_id") == 1, plan
