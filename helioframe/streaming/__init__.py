@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from helioframe.catalog import CATALOG, Catalog
@@ -28,7 +31,9 @@ def single_block_polls(dispatched: DataFrame, catalog: Catalog = CATALOG) -> Dat
                                       .alias(f"registers_{k}") for k in catalog.block_numbers()]))
 
 
-STATE = "seen long, refused boolean, turn int, attempt int, done boolean, row binary"
+#: Polls are kept in so many buckets by hash, for a call a bucket and batch instead of one a poll.
+BUCKETS = 4096
+STATE = "polls binary"
 
 
 def first_attempts(dispatched: DataFrame, delay: str = "10 minutes", catalog: Catalog = CATALOG) -> DataFrame:
@@ -37,42 +42,68 @@ def first_attempts(dispatched: DataFrame, delay: str = "10 minutes", catalog: Ca
     The same reads as `attempts.choose_attempt`. State holds, per poll and block, the best read
     so far and the attempts seen. It is given out once, when every earlier attempt has been seen
     to fail, or when the watermark passes the poll by `delay`; until then later copies add
-    nothing. Reads that come after that are late and dropped by Spark.
+    nothing. Reads that come after that are late and dropped by Spark. The polls of a bucket
+    share one state, which holds those of the last `delay` only.
     """
     keys = [*POLL, *DEVICE, "n_blocks", "block"]
     shape = dispatched.select(*keys, "attempt", "registers").schema
-    rank = dispatched.where("attempt < max_attempts").withWatermark("poll_ts", delay).select(
-        *keys, "attempt", "ok", "registers", "max_attempts", accepted(catalog).alias("good"))
-
-    def choose(key, frames, state):
-        row = dict(zip(keys, key))
-        if state.hasTimedOut:
-            seen, refused, turn, attempt, done, kept = state.get
+    told = T.StructType([T.StructField(f.name, T.LongType() if f.name == "poll_ts" else f.dataType) for f in shape if f.name in keys])
+    # A key as text is exact and, unlike numbers with nulls, stays so in pandas.
+    key = F.to_json(F.struct(*[F.unix_micros(c).alias(c) if c == "poll_ts" else F.col(c) for c in keys]))
+    rank = (dispatched.where("attempt < max_attempts").withWatermark("poll_ts", delay)
+            .select("poll_ts", key.alias("key"), "attempt", F.coalesce("ok", F.lit(False)).alias("ok"), "registers", "max_attempts",
+                    accepted(catalog).alias("good"), F.coalesce(F.unix_millis("poll_ts"), F.lit(0)).alias("at"))
+            .withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")))
+
+    def choose(_, frames, state):
+        # A poll that is done is the time when it closes; others are what is known of them.
+        polls = pickle.loads(zlib.decompress(state.get[0])) if state.exists else {}
+        now, met, chosen = state.getCurrentWatermarkMs(), set(), []
+        for frame in () if state.hasTimedOut else frames:
+            for k, a, ok, registers, most, good, at in zip(*(frame[c] for c in (
+                    "key", "attempt", "ok", "registers", "max_attempts", "good", "at"))):
+                met.add(k)
+                # A poll without a time waits no longer than the watermark takes to move.
+                closes, one = max(at, now + 1), polls.get(k)
+                if isinstance(one, int):
+                    polls[k] = closes
+                    continue
+                seen, _, _, best, kept = one or (0, 0, 0, None, None)
+                mine = (not good, a if good else -a)
+                if ok and (best is None or mine < best):
+                    best, kept = mine, registers
+                polls[k] = (seen | 1 << a, most, closes, best, kept)
+        for k in met:
+            if isinstance(polls[k], int):
+                continue
+            seen, most, closes, best, kept = polls[k]
+            # An accepted read is certain once all before it are known; a refused one once all are.
+            before = 0 if best is None else (1 << (most if best[0] else best[1])) - 1
+            if best is not None and seen & before == before:
+                chosen.append((k, abs(best[1]), kept))
+                polls[k] = closes
+            elif isinstance(kept, np.ndarray):
+                # Words of a list with nulls are doubles in pandas; a copy lets the batch go.
+                polls[k] = (seen, most, closes, best, kept.copy())
+        for k in [k for k, one in polls.items() if k not in met and (one if isinstance(one, int) else one[2]) < now]:
+            one = polls.pop(k)
+            if not isinstance(one, int) and one[3] is not None:
+                chosen.append((k, abs(one[3][1]), one[4]))
+        if polls:
+            state.update((zlib.compress(pickle.dumps(polls), 1),))
+            state.setTimeoutTimestamp(min(one if isinstance(one, int) else one[2] for one in polls.values()))
+        else:
             state.remove()
-            if not done and kept is not None:
-                yield pd.DataFrame([row | {"attempt": attempt, "registers": pickle.loads(kept)}])
-            return
-        seen, refused, turn, attempt, done, kept = state.get if state.exists else (0, True, 0, 0, False, None)
-        last = 0
-        for frame in frames:
-            for a, ok, registers, most, good in zip(*(frame[c] for c in ("attempt", "ok", "registers", "max_attempts", "good"))):
-                seen, last = seen | 1 << int(a), int(most)
-                mine = (not good, int(a) if good else -int(a))
-                if ok and (kept is None or mine < (refused, turn)):
-                    refused, turn, attempt = mine[0], mine[1], int(a)
-                    kept = pickle.dumps(None if registers is None else [None if pd.isna(x) else int(x) for x in registers])
-        # An accepted read is certain once all before it are known; a refused one once all are.
-        before = (1 << (attempt if not refused else last)) - 1
-        certain = kept is not None and not done and seen & before == before
-        if certain:
-            yield pd.DataFrame([row | {"attempt": attempt, "registers": pickle.loads(kept)}])
-        state.update((seen, refused, turn, attempt, done or certain, None if done or certain else kept))
-        at = key[POLL.index("poll_ts")]
-        # A poll without a time waits no longer than the watermark takes to move.
-        closes = 0 if pd.isna(at) else int(at.timestamp() * 1000)
-        state.setTimeoutTimestamp(max(closes, state.getCurrentWatermarkMs() + 1))
-
-    return rank.groupBy(*keys).applyInPandasWithState(choose, shape, STATE, "append", "EventTimeTimeout")
+        if chosen:
+            yield pd.DataFrame({"key": [k for k, _, _ in chosen], "attempt": [a for _, a, _ in chosen], "registers": [
+                [None if pd.isna(x) else int(x) for x in kept] if isinstance(kept, np.ndarray) and kept.dtype.kind != "i" else kept
+                for _, _, kept in chosen]})
+
+    found = (rank.groupBy("bucket").applyInPandasWithState(
+        choose, "key string, attempt int, registers array<int>", STATE, "append", "EventTimeTimeout")
+             .select(F.from_json("key", told).alias("key"), "attempt", "registers").select("key.*", "attempt", "registers"))
+    return (found.withColumn("poll_ts", F.timestamp_micros("poll_ts"))
+            .select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in shape]))
 
 
 def stream_decode(reads: DataFrame, devices: DataFrame, catalog: Catalog = CATALOG,

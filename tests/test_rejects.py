@@ -91,6 +91,28 @@ def test_a_refused_read_waits_for_an_accepted_one(spark, tmp_path):
     assert got() == [(1, 1), (2, 1), (3, 0)]
 
 
+def test_first_attempts_of_one_bucket(spark, tmp_path, monkeypatch):
+    """Polls that share a state are decided alone; one call serves them all."""
+    monkeypatch.setattr(streaming, "BUCKETS", 1)
+    ds, own = devices(spark, ("A", SENSOR, True), ("B", SENSOR, True)), CATALOG.only(SENSOR)
+    stream = lambda: streaming.first_attempts(attempts.dispatch(
+        stream_registers(spark, f"{tmp_path}/landed", max_files=1), ds, own), catalog=own)
+    got = lambda: sorted((r.device_name, r.poll_id, r.attempt, r.registers, r.poll_ts is None)
+                         for r in drain(spark, stream(), tmp_path, "f").collect())
+    big = 2 ** 53 + 1
+    rows = reads(spark, ("A", big, 1, 0, True, [1, None], 0), ("B", big, 1, 0, True, [2], 0), ("A", 2, 1, 1, True, [3, None], 0),
+                 ("B", 2, 1, 1, True, None, 5), ("A", 3, 1, 2, True, [4], 0), ("B", 3, 1, 0, False, None, 0))
+    bare = reads(spark, ("A", 9, 1, 0, True, [9])).withColumn("poll_ts", F.lit(None).cast("timestamp"))
+    rows.unionByName(bare).coalesce(1).write.parquet(f"{tmp_path}/landed")
+    now = [("A", 9, 0, [9], True), ("A", big, 0, [1, None], False), ("B", big, 0, [2], False)]
+    assert got() == now
+    land(spark, tmp_path, ("A", 3, 1, 1, True, [5], 0), ("A", big, 1, 0, True, [7], 0))
+    assert got() == now
+    land(spark, tmp_path, ("A", 3, 1, 0, False, None, 0), ("B", 4, 1, 0, True, [8], 60))
+    assert got() == sorted([*now, ("A", 2, 1, [3, None], False), ("A", 3, 1, [5], False), ("B", 2, 1, None, False),
+                            ("B", 4, 0, [8], False)], key=lambda r: r[:3])
+
+
 def test_a_repeated_run_replaces_its_part_of_the_table(spark, tmp_path):
     rows = lambda *m: spark.createDataFrame([(i, x, v) for i, (x, v) in enumerate(m)], "poll_id long, Measurement_Suffix string, v double"
                                             ).withColumn("poll_ts", F.timestamp_seconds(F.lit(1_700_000_000)))
