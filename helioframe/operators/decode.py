@@ -63,9 +63,10 @@ def pivot_wide(long: DataFrame, driver: Driver) -> DataFrame:
     `position`, where the long rows have them (see `decode_long`).
     """
     place = [c for c in ("config", "position") if c in long.columns]
+    # `pivot` would group by field first and move every long row; so a poll is one row before the shuffle.
+    values = [F.first(F.when(F.col("field") == f.name, F.col("value")), ignorenulls=True).alias(f.name) for f in driver.fields]
     return (long.where(F.col("driver") == driver.name)
-            .groupBy("poll_id", *place, "Device_Name", "Measurement_Suffix", "Date")
-            .pivot("field", [f.name for f in driver.fields]).agg(F.first("value")))
+            .groupBy("poll_id", *place, "Device_Name", "Measurement_Suffix", "Date").agg(*values))
 
 
 def records(polls: DataFrame, catalog: Catalog = CATALOG, keep: tuple[str, ...] = ()) -> DataFrame:

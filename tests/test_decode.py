@@ -111,3 +111,16 @@ def test_scan_reads_only_needed_columns(spark, sf, tmp_path):
     plan = polls._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(ok,true)" in plan
     assert polls.where(F.col("poll_id") == 5).count() <= 1
+
+
+def test_a_pivot_moves_a_row_a_poll(spark):
+    own = CATALOG.only("sensor_lufft_ws600")
+    driver = own["sensor_lufft_ws600"]
+    long = spark.createDataFrame(
+        [(p, "D", "S", "T", driver.name, f.name, float(p) if k % 3 else None) for p in range(40) for k, f in enumerate(driver.fields)],
+        "poll_id long, Device_Name string, Measurement_Suffix string, Date string, driver string, field string, value double").coalesce(2)
+    found = decode.pivot_wide(long, driver)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(poll_id") == 1, plan
+    for r in found.collect():
+        assert [r[f.name] for f in driver.fields] == [float(r.poll_id) if k % 3 else None for k, f in enumerate(driver.fields)]
