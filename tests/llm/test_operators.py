@@ -637,6 +637,34 @@ def test_recall_of_fuzzy_lines(docs_of):
     assert sum(map(sum, met.values())) >= .85 * sum(map(len, met.values())), sorted(recall.items())
 
 
+def test_lines_of_crowded_blocks_find_each_other(docs_of):
+    """All pairs of near lines that agree in enough blocks are in one group, whoever is between them in the blocks."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghiklmnorstuvw") for _ in range(r.randint(5, 9)))
+    base, lines = [word() for _ in range(60)], []
+    for _ in range(120):
+        far = [word() if r.random() < .3 else w for w in base]
+        lines += [" ".join(far), " ".join(w[:-1] + "z" if r.random() < .2 else w for w in far)]
+    lines += ["tiny line 1", "tiny line 2", "aaaaaaaaaaaa", "aaaaaaaaaaaaa", "short", "shor"]
+    frame = docs_of(list(enumerate(lines)))
+    table, found = fuzzy_lines.groups(frame)
+    line, root = (dict(map(tuple, x)) for x in (table.select("doc_id", "line_id").collect(), found.collect()))
+    keys, held = defaultdict(set), fuzzy_lines.blocks_held
+    for x in fuzzy_lines.simhashes(table).select("line_id", "key", F.expr(held("sign")).alias("held")).collect():
+        keys[x.line_id, x.key & 1].add((x.key, x.held))
+    near = 0
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            x, y = line[i], line[j]
+            for turn in (0, 1):
+                both, least = keys[x, turn], min([h for k in (x, y) for _, h in keys[k, turn]], default=0)
+                agree = len({k for k, _ in both} & {k for k, _ in keys[y, turn]})
+                if agree >= max(1, 3 if least >= 6 else min(2, least)) and brute.edit(a, b) <= max(len(a), len(b)) // 10:
+                    near += 1
+                    assert root.get(x, x) == root.get(y, y), (a, b)
+    assert near >= 40
+
+
 def test_a_block_is_the_majority_of_its_features(spark):
     """Blocks that an edit leaves alone stay the same; its features' own blocks are counted by hand."""
     words = [f"feature{i}" for i in range(30)]
