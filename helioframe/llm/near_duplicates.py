@@ -27,8 +27,10 @@ to find. The others give out all their blocks once more, `FINE` times as many an
 so small that most hold one hash. Similar nodes then agree in all but a quarter of
 them, which half a text in common does not: nodes that share fewer drop out, twice,
 and who stays may leave out as many shared blocks as must agree, but one. It looks
-into its rarest blocks only, at nodes of larger components. With those pairs tested
-the components are exact.
+into its rarest blocks only, at nodes of larger components. The rarest block that two
+similar nodes share has as many after it, in either node, as must agree in the other;
+a pair where a block has fewer, or whose sketches of one to two bits a shingle differ
+too much, is no row of the join. With those pairs tested the components are exact.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ PERCENT = 80
 FINE = 4
 #: Keys are joined to their least node within about so many.
 FLUSH = 500_000
-#: Numbers of 64 bits of the short sketch that joins compare.
+#: Numbers of 64 bits, at least, of the short sketch that joins compare.
 SHORT = 4
 
 
@@ -105,8 +107,9 @@ def bit_sketch(hashes: np.ndarray) -> bytes:
 
 
 def short_sketch(hashes: np.ndarray) -> np.ndarray:
-    """Parities of the hashes over a fixed number of bits."""
-    parity = np.bincount((hashes & U(64 * SHORT - 1)).astype(np.int64), minlength=64 * SHORT) & 1
+    """Parities of the hashes over one to two bits per hash, a power of two."""
+    bits = max(64 * SHORT, 1 << (len(hashes) - 1).bit_length())
+    parity = np.bincount((hashes & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -314,6 +317,31 @@ def enough(rows: DataFrame) -> DataFrame:
             .drop("least"))
 
 
+def differing(x: str, y: str) -> str:
+    """Differing bits of two short sketches, in SQL; one of twice the other's length is folded."""
+    folded = lambda a, b: (f"if(size({a}) > size({b}), zip_with(slice({a}, 1, size({b})), "
+                           f"slice({a}, 1 + size({b}), size({b})), (p, q) -> p ^ q), {a})")
+    return f"aggregate(zip_with({folded(x, y)}, {folded(y, x)}, (p, q) -> bit_count(p ^ q)), 0, (t, d) -> t + d)"
+
+
+def between(fine: DataFrame, info: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of different components that can be similar.
+
+    `fine` has the blocks of `enough` and their `place` among the node's, from the rarest on. At
+    the first place that two nodes share, either has as many blocks left as the other one needs.
+    """
+    first = fine.where("place <= shared - need + 1").select(
+        "key", "node", "need", "group", "largest", (1 + F.col("shared") - F.col("place")).alias("left"))
+    looks = first.where("group < largest").drop("largest")
+    looking = looks.join(info, "node")
+    others = first.drop("largest").join(looks.select("key").distinct(), "key", "left_semi").join(info, "node")
+    return (looking.alias("x").join(others.alias("y"), F.expr(
+        "x.key = y.key AND x.group < y.group AND x.left >= y.need AND y.left >= x.need"
+        f" AND 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)"
+        f" AND {differing('x.short', 'y.short')} <= (x.n + y.n) div 9"))
+            .select(*_pair("x.node", "y.node")).distinct())
+
+
 def linked(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root) of all nodes with a link, over texts (t1, t2, text) and their distinct nodes."""
     stars = cut(texts.select("text").mapInArrow(block_rows, "key long, node long, hub long")
@@ -347,15 +375,8 @@ def linked(texts: DataFrame, nodes: DataFrame) -> DataFrame:
             .join(F.broadcast(held) if is_small(held) else held, "node"))
     fine = enough(fine).select("key", "node", "need", "group")
     fine = cut(enough(fine).withColumn("place", F.row_number().over(in_band().orderBy("crowd", "key"))))
-    looks = "place <= shared - need + 1 AND group < largest"
-    info = known.select("node", "n", "short")
-    looking = fine.where(looks).select("key", "node", "group").join(info, "node")
-    others = fine.join(fine.where(looks).select("key").distinct(), "key", "left_semi").select("key", "node", "group").join(info, "node")
-    apart_by = " + ".join(f"bit_count(x.short[{i}] ^ y.short[{i}])" for i in range(SHORT))
-    pairs = (looking.alias("x").join(others.alias("y"), F.expr(
-        f"x.key = y.key AND x.group < y.group AND 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)"
-        f" AND {apart_by} <= (x.n + y.n) div 9"))
-             .select(*_pair("x.node", "y.node")).distinct().join(tried, ["a", "b"], "left_anti"))
+    info = known.join(held.select("node"), "node", "left_semi").select("node", "n", "short")
+    pairs = between(fine, info).join(tried, ["a", "b"], "left_anti")
     rest = verified(texts, nodes, pairs)
     stars_found = found.select(F.col("root").alias("a"), F.col("node").alias("b"))
     return components(stars_found.unionByName(rest)) if rest.take(1) else found
