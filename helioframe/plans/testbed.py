@@ -130,28 +130,37 @@ def _ok(attempt: Column) -> Column:
 
 
 def _landed(events: DataFrame, n_devices: int) -> DataFrame:
-    """Events crossed with block and attempt numbers; word 0 in `base`."""
+    """Events crossed with block and attempt numbers; word 0 in `base`.
+
+    What is the same in all reads of an event stands before the crossing.
+    """
     e, b, a = F.col("poll_id"), F.col("block"), F.col("attempt")
-    reads = events.select(
+    polls = events.select(
         F.col("event_id").alias("poll_id"), as_instant(F.col("ts")).alias("poll_ts"),
         (F.col("user_id") % n_devices).alias("device"),
-        F.round(F.col("value") * 100).cast("bigint").alias("cents"),
-        F.explode(F.array(*[F.lit(k) for k in BLOCKS])).alias("block"))
+        F.round(F.col("value") * 100).cast("bigint").alias("cents"))
+    polls = polls.select("*", F.concat(F.lit("DEV_"), F.col("device")).alias("device_name"))
+    reads = polls.select("*", F.explode(F.array(*[F.lit(k) for k in BLOCKS])).alias("block"))
     reads = reads.select("*", F.explode(F.array(*[F.lit(k) for k in ATTEMPTS])).alias("attempt"))
     return reads.select(
-        F.concat(F.lit("DEV_"), F.col("device")).alias("device_name"), "device",
+        "device_name", "device",
         "poll_id", "poll_ts", "block", "attempt", _ok(a).alias("ok"),
         (e * 40503 + b * 7919 + a * 104729 + F.col("cents") * 31).alias("base"))
 
 
-def _registers(reads: DataFrame, driver: Column, count: Column) -> DataFrame:
+def _registers(reads: DataFrame, driver: Column, count: Column, most: int) -> DataFrame:
+    """The reads with `count` words each, `most` at most.
+
+    Every word is an expression of its own: unlike a function over an array these are compiled,
+    and `base`, which they share, is worked out once a read and not once a word.
+    """
     e, a = F.col("poll_id"), F.col("attempt")
     dead = ((driver == METER) & (F.col("block") == 1)
             & ((e % 13 == 0) | ((e + a) % 3 == 0)))
-    words = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.when(
-        dead & i.isin(16, 17), 0).otherwise(((F.col("base") + i * 9973) % 65536).cast("int")))
+    word = [((F.col("base") + i * 9973) % 65536).cast("int") for i in range(most)]
+    words = F.array(*[F.when(dead, 0).otherwise(w) if i in (16, 17) else w for i, w in enumerate(word)])
     return reads.select("device_name", "poll_id", "poll_ts", "block", "attempt", "ok",
-                        F.when(F.col("ok"), words).alias("registers"))
+                        F.when(F.col("ok"), F.slice(words, 1, count)).alias("registers"))
 
 
 def _events(spark: SparkSession, sf_dir: str, stream: bool) -> DataFrame:
@@ -178,7 +187,7 @@ def reads_of(spark: SparkSession, sf_dir: str, driver: str, stream: bool = False
         reads = reads.where(F.col("ok") & ~earlier)
     count = reduce(lambda rest, k: F.when(F.col("block") == k, counts[k]).otherwise(rest),
                    counts, F.lit(0))
-    return _registers(reads.where(F.col("block").isin(list(counts))), F.lit(driver), count)
+    return _registers(reads.where(F.col("block").isin(list(counts))), F.lit(driver), count, max(counts.values()))
 
 
 def reads(spark: SparkSession, sf_dir: str, catalog: Catalog = CATALOG,
@@ -190,11 +199,12 @@ def reads(spark: SparkSession, sf_dir: str, catalog: Catalog = CATALOG,
     landed = (_landed(_events(spark, sf_dir, stream), table(spark, sf_dir, "supplier").count())
               .withColumn("driver", _driver_of(F.col("device"))))
     blocks = catalog.blocks_frame(spark).select("driver", "block", "count")
+    most = max(4, *(b.count for rules in catalog.drivers.values() for b in rules.blocks))
     stray = spark.range(1).select(F.lit("unknown").alias("driver"), F.lit(1).alias("block"),
                                   F.lit(4).alias("count"))
     # Catalogue rows only.
     return _registers(landed.join(F.broadcast(blocks.union(stray)), ["driver", "block"]),
-                      F.col("driver"), F.col("count"))
+                      F.col("driver"), F.col("count"), most)
 
 
 def host_samples(spark: SparkSession, sf_dir: str) -> DataFrame:

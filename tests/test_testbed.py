@@ -22,3 +22,18 @@ def test_no_task_holds_more_events_than_its_share(spark, tmp_path, monkeypatch):
     assert sorted(map(str, reads.collect())) == sorted(map(str, whole))
     held = reads.groupBy(F.spark_partition_id()).agg(F.count_distinct("poll_id").alias("n")).collect()
     assert len(held) >= 8 and max(r.n for r in held) <= 60
+
+
+def test_words_of_reads_are_compiled_and_whole(spark, sf):
+    """No function over an array, which Spark interprets word by word, and the words that the formula gives."""
+    for found in (tb.reads(spark, sf), tb.reads_of(spark, sf, tb.METER)):
+        assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    events = {r["event_id"]: round(r["value"] * 100) for r in tb.table(spark, sf, "events").collect()}
+    counts = {b.block: b.count for b in tb.CATALOG[tb.METER].blocks}
+    rows = [r for r in tb.reads_of(spark, sf, tb.METER).where("poll_id < 60").collect() if r["ok"]]
+    for r in rows:
+        e, b, a = r["poll_id"], r["block"], r["attempt"]
+        base = e * 40503 + b * 7919 + a * 104729 + events[e] * 31
+        dead = b == 1 and (e % 13 == 0 or (e + a) % 3 == 0)
+        assert r["registers"] == [0 if dead and i in (16, 17) else (base + i * 9973) % 65536 for i in range(counts[b])]
+    assert rows
