@@ -692,6 +692,61 @@ def test_lines_of_crowded_blocks_find_each_other(docs_of):
     assert near >= 40
 
 
+def test_letters_rule_out_no_near_line(spark):
+    """The bound by characters holds at the edit distance itself, for lines of any length, and rules out others."""
+    r = random.Random(7)
+    lines, pairs = {}, []
+    for k, size in enumerate([4, 10, 11, 30, 31, 60, 200, 199, 3000] * 12):
+        line = "".join(r.choice("aaaeeiou bcdxyzäß漢😀") for _ in range(size))
+        near = list(line)
+        for _ in range(size // 10):
+            i = r.randrange(len(near))
+            near[i:i + 1] = r.choice(([], [r.choice("qjk")], [near[i], r.choice("qjk")]))
+        near = "".join(near)
+        far = "".join(r.choice("ghlmnp") for _ in range(size))
+        lines |= {3 * k: line, 3 * k + 1: near, 3 * k + 2: far}
+        pairs += [(3 * k, 3 * k + 1), (3 * k + 1, 3 * k), (3 * k, 3 * k + 2)]
+    lines[-1], lines[-2] = "a" * 40_000, "a" * 39_000 + "b" * 1_000  # counts beyond what a lane holds
+    pairs += [(-1, -2), (-2, -1)]
+    rows = [(k, x) for k, x in lines.items()] * 2  # a line read in two equal documents counts once
+    told = fuzzy_lines.letters(spark.createDataFrame(rows, "line_id long, line string")).cache()
+    assert {x.line_id: x.size for x in told.collect()} == {k: len(x) for k, x in lines.items()}
+    left = {tuple(x) for x in fuzzy_lines.with_near_letters(spark.createDataFrame(pairs, "a long, b long"), told).collect()}
+    assert {p for p in pairs if max(p) < 0 or p[0] // 3 == p[1] // 3 and 2 not in (p[0] % 3, p[1] % 3)} <= left
+    assert not any(len(lines[a]) >= 10 and b >= 0 and b % 3 == 2 for a, b in left)
+
+
+def test_lines_that_share_blocks_by_chance_are_no_pairs(docs_of, monkeypatch):
+    """Lines that agree in enough blocks but can't be near are ruled out before their texts are read; crowded blocks
+    and others find the same groups."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghiklmnorstuvw") for _ in range(8))
+    common, rows = [word() for _ in range(9)], []
+    for _ in range(60):
+        line = common + [word() for _ in range(9)]
+        rows += [" ".join(line), " ".join([*line[:-1], line[-1][:-1] + "z"])]
+    rows = list(enumerate(rows))
+    asked, real = [], fuzzy_lines.verified
+    monkeypatch.setattr(fuzzy_lines, "verified", lambda docs, lines, pairs: asked.append(pairs.count()) or real(docs, lines, pairs))
+    found = []
+    for crowd in (fuzzy_lines.CROWD, 2):
+        monkeypatch.setattr(fuzzy_lines, "CROWD", crowd)
+        lines, roots = fuzzy_lines.groups(docs_of(rows))
+        line, root = (dict(map(tuple, x)) for x in (lines.select("doc_id", "line_id").collect(), roots.collect()))
+        found.append({i: root.get(x, x) for i, x in line.items()})
+        assert all(found[-1][2 * i] == found[-1][2 * i + 1] for i in range(60))
+    assert found[0] == found[1] and len(set(found[0].values())) == 60
+    assert max(asked) <= 300
+
+
+def test_shuffles_of_a_written_table_go(spark, tmp_path):
+    """The setting by which shuffle files go holds while a table is written, and only then."""
+    before = spark.conf.get(shared.SHUFFLES_GO, "false")
+    with shared.scratch():
+        assert shared.cut(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()).count() == 7
+    assert spark.conf.get(shared.SHUFFLES_GO, "false") == before
+
+
 def test_a_block_is_the_majority_of_its_features(spark):
     """Blocks that an edit leaves alone stay the same; its features' own blocks are counted by hand."""
     words = [f"feature{i}" for i in range(30)]
