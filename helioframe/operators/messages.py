@@ -53,17 +53,18 @@ def build_messages(records: DataFrame, brokers: DataFrame) -> DataFrame:
 
 
 def deliver(records: DataFrame, brokers: DataFrame,
-            publish: Callable[[Row, DataFrame], None]) -> dict[int | tuple[str, int], bool]:
+            publish: Callable[[Row, DataFrame], None], kept: bool = False) -> dict[int | tuple[str, int], bool]:
     """Hand each enabled broker the messages of all records, one try per broker.
 
     `publish(broker, messages)` gets a DataFrame and is expected to write it
     with a Spark writer or `foreachPartition`. A broker that fails is logged and
     the next one goes on. The loop is over the configured broker list; records
-    are decoded once and kept once, not once per broker. The result has a key per
+    are decoded once and kept once, not once per broker; with `kept` they are read
+    from files as they are, and no copy of them is made. The result has a key per
     broker: its number, or (config, number) where brokers carry `config`.
     """
     done, names = {}, broker_key(brokers)
-    records = records.persist(StorageLevel.DISK_ONLY)
+    records = records if kept else records.persist(StorageLevel.DISK_ONLY)
     try:
         for broker in enabled(brokers).orderBy(*names).toLocalIterator():
             own = brokers.where(reduce(and_, [F.col(k).eqNullSafe(F.lit(broker[k])) for k in names]))
@@ -75,7 +76,8 @@ def deliver(records: DataFrame, brokers: DataFrame,
                 log.exception("sending to broker %s failed", key)
                 done[key] = False
     finally:
-        records.unpersist()
+        if not kept:
+            records.unpersist()
     return done
 
 

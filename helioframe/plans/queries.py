@@ -589,7 +589,7 @@ def collection_run(spark, sf):
     one = Collection(tb.damaged_reads(tb.reads_of(spark, sf, INVERTER)), tb.devices_of(spark, sf, INVERTER), f"{out}/polls", own)
 
     def publish(broker, batch):
-        batch.write.parquet(f"{out}/messages/to={broker['broker']}")
+        batch.write.option("compression", "zstd").parquet(f"{out}/messages/to={broker['broker']}")
 
     one.send(tb.runs(spark, sf, tb.LOGGERS[:1]), PREFIX, ("files", "messages"), path=f"{out}/files",
              brokers=tb.brokers(spark, sf), publish=publish, zone=ZONE)

@@ -14,6 +14,7 @@ from helioframe.operators.attempts import assemble, dispatch, graded, rejects
 from helioframe.operators.decode import TAGS, records
 from helioframe.operators.messages import deliver
 from helioframe.operators.package import HOST_POSITION, snapshot_entries
+from helioframe.session import shuffles_go
 
 SINKS = ("console", "messages", "files")
 KEPT = ["poll_id", "config", "position", "poll_ts"]
@@ -51,7 +52,10 @@ class Collection:
         told = self._with_records(polls, catalog)
         seen = Observation()
         whole_, torn, unusable = (F.count(F.when(F.col("outcome") == x, 1)).alias(x) for x in ("whole", "torn", "unusable"))
-        told.observe(seen, whole_, torn, unusable).write.mode("overwrite").partitionBy("outcome").parquet(folder)
+        # Records are text whose keys come again and again: zstd takes far less disk for them.
+        with shuffles_go(self.spark):
+            (told.observe(seen, whole_, torn, unusable).write.mode("overwrite").option("compression", "zstd")
+             .partitionBy("outcome").parquet(folder))
         self.counts = dict(seen.get)
         self.table = self.spark.read.schema(told.schema).parquet(folder)
 
@@ -70,16 +74,17 @@ class Collection:
 
     def send(self, runs: DataFrame, prefix: str, sinks: Iterable[str] = ("files",), **options) -> None:
         """Sends the records to the chosen sinks, with the options of `run`."""
-        run(self.records(), runs, prefix, sinks=sinks, **options)
+        run(self.records(), runs, prefix, sinks=sinks, kept=True, **options)
 
 
 def run(found: DataFrame, runs: DataFrame, prefix: str, path: str | None = None,
         brokers: DataFrame | None = None, publish: Callable | None = None,
-        sinks: Iterable[str] = ("files",), zone: str = "UTC") -> None:
+        sinks: Iterable[str] = ("files",), zone: str = "UTC", kept: bool = False) -> None:
     """Send records to the chosen sinks. Leave out "files" for a dry run.
 
     Messages go out first, and a failing broker does not keep the files back.
-    Files are named by run, so a run that is repeated replaces its own.
+    Files are named by run, so a run that is repeated replaces its own. Say `kept` of
+    records that are read from a written table (see `messages.deliver`).
     """
     unknown = set(sinks) - set(SINKS)
     if unknown:
@@ -87,6 +92,6 @@ def run(found: DataFrame, runs: DataFrame, prefix: str, path: str | None = None,
     if "console" in sinks:
         out.dump(found)
     if "messages" in sinks:
-        deliver(found, brokers, publish)
+        deliver(found, brokers, publish, kept)
     if "files" in sinks:
         out.write_snapshot_files(snapshot_entries(found, runs, prefix, zone), path)

@@ -40,7 +40,8 @@ def write_snapshot_files(entries: DataFrame, path: str) -> None:
 
     Entries are dealt out by ranges of (run, position): a run with most of the records is
     written by many tasks, each of which writes its part as a gzip member of its own and
-    holds no more than a record. Members of a run are then joined in order, bytes only.
+    holds no more than a record. Members of a run are then joined in order, bytes only, and
+    go as soon as its file is there, so that the records are not on disk twice.
     All of this happens in a folder beside the files, which goes in any case: if the run
     fails while it writes, no file has appeared. A repeated task or run replaces a file.
     `path` has to be visible to all executors.
@@ -70,6 +71,8 @@ def write_snapshot_files(entries: DataFrame, path: str) -> None:
         target, folder = fs.FileSystem.from_uri(stage)
         _, home = fs.FileSystem.from_uri(path)
         for row in names:
+            if target.get_file_info(f"{folder}/{row['name']}").type == fs.FileType.NotFound:
+                continue  # a task that failed later on has made this file
             found = target.get_file_info(fs.FileSelector(f"{folder}/{row['name']}"))
             members = sorted(f.path for f in found if not f.path.endswith("-empty"))
             draft = f"{folder}/{uuid.uuid4().hex}"
@@ -81,6 +84,10 @@ def write_snapshot_files(entries: DataFrame, path: str) -> None:
                             out.write(some)
                 out.write(gzip.compress(b"]" if members else b"[]"))
             target.move(draft, f"{home}/{row['name']}")
+            # By another name first: no other try of this task finds some of the members.
+            gone = f"{folder}/{uuid.uuid4().hex}"
+            target.move(f"{folder}/{row['name']}", gone)
+            target.delete_dir(gone)
 
     key = ["file_name", "position", "poll_id"]
     try:

@@ -156,6 +156,29 @@ def test_a_run_with_most_records_is_written_by_many_tasks(spark, tmp_path):
     assert read_snapshots(spark, path, SCHEMA).count() == 908
 
 
+def test_members_go_as_soon_as_their_file_is_there(spark, tmp_path, monkeypatch):
+    entries, left = snapshot_entries(records(spark, *[(0, k, k, record("A", 1.0)) for k in range(3)]), runs(spark, *range(3)), "site"), []
+    from_uri = sinks.fs.FileSystem.from_uri
+
+    class Seen:
+        def __init__(self, files):
+            self.files = files
+
+        def __getattr__(self, name):
+            return getattr(self.files, name)
+
+        def delete_dir(self, folder):
+            left.extend(p.name for p in (tmp_path / "out").glob("_staging-*/*"))
+            self.files.delete_dir(folder)
+
+    kinds = type("Kinds", (), {"FileSystem": type("Found", (), {"from_uri": staticmethod(
+        lambda uri: (Seen(from_uri(uri)[0]), from_uri(uri)[1]))}), "FileSelector": sinks.fs.FileSelector, "FileType": sinks.fs.FileType})
+    # Tasks have the module as it is; only the driver's end of it is watched.
+    monkeypatch.setattr(sinks, "fs", kinds)
+    sinks.write_snapshot_files(entries, str(tmp_path / "out"))
+    assert left == [] and len(list((tmp_path / "out").glob("*.gz"))) == 3
+
+
 def test_a_failing_write_leaves_nothing(spark, tmp_path):
     path = str(tmp_path / "broken")
     entries = snapshot_entries(records(spark, *[(0, k, k, record("A", 1.0)) for k in range(6)]), runs(spark, *range(6)), "site")

@@ -1,5 +1,6 @@
 """Rejects, replays, outboxes and registries that change, on streams and in one run."""
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +185,16 @@ def test_a_collection_reads_once_and_counts(spark, tmp_path):
     assert "Aggregate" not in plan  # what follows reads the written table
     again = Collection(rows, ds, f"{tmp_path}/polls", own)
     assert again.table.count() == 3
+
+
+def test_a_collection_sends_what_it_has_written_without_another_copy(spark, tmp_path):
+    ds, own = devices(spark, ("A", INVERTER, True)), CATALOG.only(INVERTER)
+    one = Collection(reads(spark, *poll(1, 0), *poll(2, 1)), ds, f"{tmp_path}/polls", own)
+    held = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before, sent = held(), []
+    one.send(None, "site", ("messages",), brokers=brokers(spark, (0, "x", True)), publish=lambda broker, batch: sent.append(
+        (batch.count(), held())))
+    assert sent == [(2, before)]
+    (table,) = tmp_path.glob("polls/outcome=whole/*.parquet")
+    written = pq.ParquetFile(table).metadata.row_group(0)
+    assert {written.column(k).compression for k in range(written.num_columns)} == {"ZSTD"}
