@@ -7,6 +7,7 @@ they belong to.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -643,7 +644,8 @@ def stream_late_reads(spark, sf):
     out = shared_folder(spark, "late-reads")
     reads = tb.reads_of(spark, sf, INVERTER)
     late = F.expr("poll_id % 7 = 0 AND block = 2")
-    for part in (reads.where(~late), reads.where(late)):
+    in_time = (tb.reads_of(spark, sf, INVERTER, events=part) for part in tb.landings(spark, sf, f"{out}/events"))
+    for part in chain((some.where(~late) for some in in_time), [reads.where(late)]):
         part.write.mode("append").parquet(f"{out}/landed")
         polls = streaming.stream_polls(stream_registers(spark, f"{out}/landed"), tb.devices_of(spark, sf, INVERTER),
                                        catalog=CATALOG.only(INVERTER))

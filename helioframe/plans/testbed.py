@@ -7,6 +7,7 @@ engine can repeat. Everything grows with its table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
@@ -22,6 +23,8 @@ METER = "ekk_schneider_ion_7650"
 #: Events of a task: each becomes sixteen reads of up to 116 words, and a file that is small
 #: for its events would be one task's work otherwise.
 EVENTS_A_TASK = 16_000
+#: Events that land at once, in `landings`.
+EVENTS_A_LANDING = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -163,8 +166,30 @@ def _registers(reads: DataFrame, driver: Column, count: Column, most: int) -> Da
                         F.when(F.col("ok"), F.slice(words, 1, count)).alias("registers"))
 
 
-def _events(spark: SparkSession, sf_dir: str, stream: bool) -> DataFrame:
+def landings(spark: SparkSession, sf_dir: str, folder: str) -> Iterator[DataFrame]:
+    """The events in parts of about `EVENTS_A_LANDING`, one after the other in time, as a site lands them.
+
+    A stream over them has the polls of one part and of its delay as state, not all there are. The
+    parts are written to `folder` first, where there are several.
+    """
+    found = table(spark, sf_dir, "events")
+    parts = -(-found.count() // EVENTS_A_LANDING)
+    if parts < 2:
+        yield found
+        return
+    # With the id, many events of one time are several parts as well: none of them is late for another.
+    dealt = found.repartitionByRange(parts, F.asc_nulls_first("ts"), F.asc_nulls_first("event_id"))
+    dealt.withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(folder)
+    staged = spark.read.parquet(folder)
+    for (part,) in staged.select("part").distinct().orderBy("part").collect():
+        yield staged.where(F.col("part") == part).drop("part")
+
+
+def _events(spark: SparkSession, sf_dir: str, stream: bool, events: DataFrame | None = None) -> DataFrame:
     """The events, what polls need of them, dealt out to tasks evenly and in no order."""
+    if events is not None:
+        tasks = 1 + (EVENTS_A_LANDING if events.isStreaming else events.count()) // EVENTS_A_TASK
+        return events.select("event_id", "ts", "user_id", "value").repartition(tasks)
     found = table(spark, sf_dir, "events")
     tasks = 1 + found.count() // EVENTS_A_TASK
     if stream:
@@ -175,13 +200,14 @@ def _events(spark: SparkSession, sf_dir: str, stream: bool) -> DataFrame:
 
 
 def reads_of(spark: SparkSession, sf_dir: str, driver: str, stream: bool = False,
-             resolved: bool = False) -> DataFrame:
+             resolved: bool = False, events: DataFrame | None = None) -> DataFrame:
     """Landed reads where every event is a poll of one driver.
 
-    With `resolved`, only the first good attempt has been landed.
+    With `resolved`, only the first good attempt has been landed. `events` are those to take, or
+    a stream of them, in place of the table's.
     """
     counts = {b.block: b.count for b in CATALOG[driver].blocks}
-    reads = _landed(_events(spark, sf_dir, stream), table(spark, sf_dir, "supplier").count())
+    reads = _landed(_events(spark, sf_dir, stream, events), table(spark, sf_dir, "supplier").count())
     if resolved:
         earlier = reduce(or_, [(F.col("attempt") > a) & _ok(F.lit(a)) for a in ATTEMPTS])
         reads = reads.where(F.col("ok") & ~earlier)

@@ -1,8 +1,11 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from helioframe import streaming
 from helioframe.plans import testbed as tb
+from helioframe.plans.queries import QUERIES
 
 
 def tables(spark, folder, n):
@@ -37,3 +40,37 @@ def test_words_of_reads_are_compiled_and_whole(spark, sf):
         dead = b == 1 and (e % 13 == 0 or (e + a) % 3 == 0)
         assert r["registers"] == [0 if dead and i in (16, 17) else (base + i * 9973) % 65536 for i in range(counts[b])]
     assert rows
+
+
+def test_events_land_in_order_of_time_and_all_of_them(spark, tmp_path, monkeypatch):
+    start = datetime(2024, 3, 1, 12)
+    odd = [(k, start, 1, 0.5) for k in range(200)] + [(None, None, 1, 0.5)] * 3
+    rows = [(1000 + k, start + timedelta(seconds=k * 37 % 400), 1, 0.5) for k in range(400)] + odd
+    (spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double")
+     .repartition(5).write.parquet(f"{tmp_path}/events.parquet"))
+    assert len(list(tb.landings(spark, str(tmp_path), f"{tmp_path}/none"))) == 1
+    monkeypatch.setattr(tb, "EVENTS_A_LANDING", 100)
+    parts = [[tuple(r) for r in part.collect()] for part in tb.landings(spark, str(tmp_path), f"{tmp_path}/parts")]
+    assert sorted(map(str, sum(parts, []))) == sorted(map(str, rows))
+    assert len(parts) >= 5 and max(map(len, parts)) <= 200
+    times = [[r[1] for r in part if r[1]] for part in parts]
+    assert all(max(a) <= min(b) for a, b in zip(times, times[1:]))
+
+
+@pytest.mark.parametrize("name", ["stream_late_reads"])
+def test_a_stream_holds_the_polls_of_a_part_and_gives_the_same_rows(spark, tmp_path, monkeypatch, name):
+    tables(spark, tmp_path, 3000)
+    held, append = [], streaming.append_table
+
+    def seen(*args, **options):
+        query = append(*args, **options)
+        query.awaitTermination()
+        held.extend(p.stateOperators[0].numRowsTotal for p in query.recentProgress)
+        return query
+
+    monkeypatch.setattr(streaming, "append_table", seen)
+    whole, most = sorted(map(str, QUERIES[name](spark, str(tmp_path)).collect())), max(held)
+    held.clear()
+    monkeypatch.setattr(tb, "EVENTS_A_LANDING", 1500)
+    assert sorted(map(str, QUERIES[name](spark, str(tmp_path)).collect())) == whole and whole
+    assert most > 2500 and max(held) < 2400  # a part, and ten minutes
