@@ -656,10 +656,14 @@ def stream_late_reads(spark, sf):
 
 @query
 def stream_assemble(spark, sf):
-    reads = tb.reads_of(spark, sf, INVERTER, stream=True)
-    return _table(spark, streaming.stream_assemble(
-        reads, tb.devices_of(spark, sf, INVERTER), catalog=CATALOG.only(INVERTER)),
-        "stream-assemble")
+    """Events land part by part in order of time; what is open of a part waits for the next one."""
+    out, devices = shared_folder(spark, "stream-assemble"), tb.devices_of(spark, sf, INVERTER)
+    for part in tb.landings(spark, sf, f"{out}/events"):
+        part.write.mode("append").parquet(f"{out}/landed")
+        landed = spark.readStream.schema(part.schema).parquet(f"{out}/landed")
+        stream = streaming.stream_assemble(tb.reads_of(spark, sf, INVERTER, events=landed), devices, catalog=CATALOG.only(INVERTER))
+        streaming.append_table(stream, f"{out}/table", f"{out}/checkpoint", plain=("poll_id", "value")).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/table")
 
 
 def _delivered_twice(spark: SparkSession, sf: str) -> str:

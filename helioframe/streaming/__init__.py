@@ -200,8 +200,12 @@ def stream_runs(reads: DataFrame, read_devices: Callable[[], DataFrame],
             .trigger(availableNow=True).start())
 
 
-def append_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append what is available now to a parquet table, exactly once."""
-    return (stream.writeStream.format("parquet").outputMode("append")
+def append_table(stream: DataFrame, path: str, checkpoint: str, plain: tuple[str, ...] = ()) -> StreamingQuery:
+    """Append what is available now to a parquet table, exactly once.
+
+    Columns in `plain` are written without a dictionary, which costs time where most values differ.
+    """
+    written = {f"parquet.enable.dictionary#{c}": "false" for c in plain}
+    return (stream.writeStream.format("parquet").outputMode("append").options(**written)
             .option("path", path).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -57,7 +57,7 @@ def test_events_land_in_order_of_time_and_all_of_them(spark, tmp_path, monkeypat
     assert all(max(a) <= min(b) for a, b in zip(times, times[1:]))
 
 
-@pytest.mark.parametrize("name", ["stream_late_reads"])
+@pytest.mark.parametrize("name", ["stream_assemble", "stream_late_reads"])
 def test_a_stream_holds_the_polls_of_a_part_and_gives_the_same_rows(spark, tmp_path, monkeypatch, name):
     tables(spark, tmp_path, 3000)
     held, append = [], streaming.append_table
